@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from inkstone.llm import mixing
+from inkstone.llm import language_id, license_scan, mixing, quality, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op4_mix_sources": mixing.op4_mix_sources}
+    return {
+        "op1_license_scan": license_scan.op1_license_scan,
+        "op2_warc_bundles": warc.op2_warc_bundles,
+        "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_language_id": language_id.op5_language_id,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op10_quality": quality.op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.OP4_SQL}
+    return {"op2_warc_bundles": warc.OP2_SQL, "op4_mix_sources": mixing.OP4_SQL}

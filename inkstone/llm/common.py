@@ -90,3 +90,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     got = got.sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id")
     got = sorted(zip(got["doc_id"], got["text"], got["_y"], strict=True), key=lambda r: zlib.crc32(str(r[0]).encode()))
     return [(t or "", int(y)) for _, t, y in got]
+
+
+def without_copies(sample: list[tuple[str, int]], words: int = 5, size: int = 6, same: int = 4) -> list[tuple[str, int]]:
+    """The sample without texts whose sketch shares ``same`` of its ``size`` smallest shingle hashes with one kept.
+
+    Copies of one text would else count as so many witnesses for each of its words.
+    """
+    holders: dict[int, list[int]] = {}
+    out = []
+    for text, y in sample:
+        w = text.lower().split()
+        sketch = sorted({zlib.crc32(" ".join(w[i : i + words]).encode()) for i in range(max(1, len(w) - words + 1))})[:size]
+        shared: dict[int, int] = {}
+        for h in sketch:
+            for k in holders.get(h, ()):
+                shared[k] = shared.get(k, 0) + 1
+        if max(shared.values(), default=0) < min(same, len(sketch)):
+            for h in sketch:
+                holders.setdefault(h, []).append(len(out))
+            out.append((text, y))
+    return out

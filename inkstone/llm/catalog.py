@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from inkstone.llm import language_id, license_scan, mixing, quality, toxicity, warc
+from inkstone.llm import ann, language_id, license_scan, mixing, quality, repeats, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_warc_bundles": warc.op2_warc_bundles,
+        "op3_repeats": repeats.op3_repeats,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_language_id": language_id.op5_language_id,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_nearest": ann.op7_nearest,
+        "op8_simhash": simhash.op8_simhash,
         "op10_quality": quality.op10_quality,
     }
 

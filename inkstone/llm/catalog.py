@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from inkstone.llm import ann, language_id, license_scan, mixing, quality, repeats, simhash, toxicity, warc
+from inkstone.llm import ann, decontaminate, language_id, license_scan, mixing, quality, repeats, simhash, toxicity, warc
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_warc_bundles": warc.op2_warc_bundles,
         "op3_repeats": repeats.op3_repeats,
@@ -15,6 +22,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_nearest": ann.op7_nearest,
         "op8_simhash": simhash.op8_simhash,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_quality": quality.op10_quality,
     }
 

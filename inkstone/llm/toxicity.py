@@ -264,6 +264,19 @@ def toxicity_scores(docs: DataFrame, model: Model, held_out: Column | None = Non
     return arrow_map(docs.select("doc_id", (F.lit(False) if held_out is None else held_out).alias("held_out"), "text"), partial(_score, model=model), "doc_id long, held_out boolean, score double")
 
 
+def _without(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
+    symbols = Symbols(model)
+    for batch in batches:
+        data, off = utf8_view(batch.column(at))
+        raw = data.tobytes()
+        yield batch.filter(pa.array([symbols.score(raw[off[i] : off[i + 1]]) < THRESHOLD for i in range(batch.num_rows)], pa.bool_()))
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the documents whose score reaches the threshold; nothing is shuffled."""
+    return arrow_map(docs, partial(_without, model=model, at=docs.columns.index("text")), docs.schema)
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     return learn(without_copies(labelled_sample(docs, labels, "toxic", 3, 1, SAMPLE)))
 

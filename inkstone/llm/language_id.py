@@ -1,7 +1,7 @@
 """Operator 5: language identification of words by a linear-chain conditional random field.
 
-Each word has features: its beginnings and ends, the pairs and triples of characters in it and the
-word itself (the lexicon), hashed into DIM buckets with a weight for each language. Learned weights of
+Each word has features: its beginnings and ends, the runs of 2 to 4 bytes in it and the word itself
+(the lexicon), hashed into DIM buckets with a weight for each language. Learned weights of
 the transitions tie neighbouring words together. Forward-backward gives each word's probability of
 each language, so code-switched texts are labelled word by word; a text's language is the one with the
 largest sum of these, and its score that sum over the number of words.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import arrow_map, crc_mod, table, utf8_view
 
-DIM = 1 << 17
+DIM_BITS = 18
+DIM = 1 << DIM_BITS
 SAMPLE = 1500
 EPOCHS = 8
 RATE, L2 = 0.5, 1e-5
@@ -39,18 +40,24 @@ UNKNOWN = "und"
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
-def word_features(token: bytes) -> list[int]:
-    """Buckets of a word's features; it is taken in lower case, its first letter's case apart."""
-    text = token.decode("utf-8", "replace")
-    if not any(c.isalpha() for c in text):
-        return []
-    w = f"^{text.lower()}$"
-    got = {f"w{w}"}
-    got.update(f"p{w[:k]}" for k in (2, 3, 4) if len(w) > k)
-    got.update(f"s{w[-k:]}" for k in (2, 3, 4) if len(w) > k)
-    got.update(w[i : i + 2] for i in range(len(w) - 1))
-    got.update(w[i : i + 3] for i in range(len(w) - 2))
-    return [zlib.crc32(g.encode()) % DIM for g in got]
+def word_features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, owners, how many) of the features of words: runs of 2, 3 and 4 bytes of ^word$, and the word.
+
+    Runs with ^ or $ are the beginnings and ends. Words are taken in lower case.
+    """
+    words = [b"^" + t.decode("utf-8", "replace").lower().encode() + b"$" for t in tokens]
+    length = np.array([len(w) for w in words], np.int64)
+    data = np.frombuffer(b"".join(words) + b"   ", np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), length)
+    to_end = np.repeat(np.cumsum(length), length) - np.arange(len(owner))
+    code, buckets, owners = data[: len(owner)], [np.array([zlib.crc32(w) % DIM for w in words], np.int64)], [np.arange(len(words))]
+    for n in (2, 3, 4):
+        code = (code << np.uint64(8)) | data[n - 1 : n - 1 + len(owner)]
+        whole = to_end >= n
+        buckets.append((((code[whole] << np.uint64(3)) + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - DIM_BITS)).astype(np.int64))
+        owners.append(owner[whole])
+    owners = np.concatenate(owners)
+    return np.concatenate(buckets), owners, np.bincount(owners, minlength=len(words))
 
 
 @dataclass
@@ -114,10 +121,8 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS) -> Crf | None:
         if ids:
             texts.append(np.array(ids, np.int64))
             gold.append(langs.index(y))
-    feats = [word_features(t) for t in types]
-    flat = np.array([b for f in feats for b in f], np.int64)
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    size = np.maximum(1, np.array([len(f) for f in feats]))[:, None] if feats else np.ones((0, 1))
+    flat, owner, size = word_features(list(types))
+    n_types, size = len(types), size[:, None]
     lengths, gold = np.array([len(t) for t in texts], np.int64), np.array(gold, np.int64)
     emit, trans = np.zeros((DIM, k)), np.zeros((k, k))
     g_emit, g_trans = np.full((DIM, k), 1e-6), np.full((k, k), 1e-2)
@@ -131,14 +136,14 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS) -> Crf | None:
             words = np.zeros(inside.shape, np.int64)
             for j, r in enumerate(rows):
                 words[: n[j], j] = texts[r]
-            type_scores = np.stack([np.bincount(owner, emit[flat, c], len(feats)) for c in range(k)], 1) / np.sqrt(size)
+            type_scores = np.stack([np.bincount(owner, emit[flat, c], n_types) for c in range(k)], 1) / np.sqrt(size)
             scores = np.exp(np.clip(type_scores[words] - type_scores[words].max(2, keepdims=True), -30, 0))
             marginal, _, pair = forward_backward(scores, n, trans, pairs=True)
             miss = -marginal
             miss[place, np.arange(len(rows))[None, :], gold[rows][None, :]] += 1
             miss *= inside[:, :, None]
             total = inside.sum()
-            by_type = np.stack([np.bincount(words.ravel(), miss[:, :, c].ravel(), len(feats)) for c in range(k)], 1) / np.sqrt(size) / total
+            by_type = np.stack([np.bincount(words.ravel(), miss[:, :, c].ravel(), n_types) for c in range(k)], 1) / np.sqrt(size) / total
             grad = np.stack([np.bincount(flat, by_type[owner, c], DIM) for c in range(k)], 1) - L2 * emit
             g_emit += grad * grad
             emit += RATE * grad / np.sqrt(g_emit)
@@ -166,12 +171,8 @@ class Emissions:
         if new:
             while len(rows) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            feats = [word_features(t) for t in new]
-            size = np.array([len(f) for f in feats])
-            flat = np.fromiter((b for f in feats for b in f), np.int64, size.sum())
-            total = np.concatenate([np.zeros((1, self.table.shape[1])), np.cumsum(self.model.emit[flat], 0, dtype=np.float64)])
-            ends = np.concatenate([[0], np.cumsum(size)])
-            s = (total[ends[1:]] - total[ends[:-1]]) / np.sqrt(np.maximum(1, size))[:, None]
+            flat, owner, size = word_features(new)
+            s = np.stack([np.bincount(owner, self.model.emit[flat, c], len(new)) for c in range(self.table.shape[1])], 1) / np.sqrt(size)[:, None]
             self.table[len(rows) - len(new) : len(rows)] = np.exp(np.clip(s - s.max(1, keepdims=True), -30, 0))
         return np.fromiter(map(rows.__getitem__, tokens), np.int64, len(tokens))
 

@@ -7,6 +7,8 @@ to two words in each gap by a join on the first word and a look at the words aft
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,11 @@ STYLE_POS = ("verb", "adjective", "adverb", "noun")
 STRICT_GAP = r"(?:\w+[''\w]*\s+){0,2}"
 WORD = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"
 
-#: Built-in rules, our own: (rule, level, message, action, tokens).
+#: Built-in rules, our own: (rule, level, message, action, tokens); an underscore is a blank, what is after = a replacement.
 BUILT_IN = (
     ("formal_transitions", "warning", "A formal transition.", None, "moreover furthermore additionally consequently nevertheless nonetheless notably importantly specifically thereby"),
-    ("hedging_phrases", "warning", "A hedge that adds nothing.", "remove", "arguably seemingly presumably ostensibly"),
+    ("hedging_phrases", "warning", "A hedge that adds nothing.", "remove", "arguably seemingly presumably ostensibly it_is_worth_noting_that it_should_be_noted_that"),
+    ("filler_phrases", "warning", "A filler phrase.", "remove", "at_the_end_of_the_day in_order_to when_it_comes_to in_today's_world"),
     ("serves_as", "suggestion", "A dodge for a plain verb.", None, "serves represents embodies exemplifies"),
     ("overused_words", "suggestion", "An overused word.", None, "delve tapestry testament pivotal intricate meticulous vibrant underscore showcase realm"),
     ("plain_words", "suggestion", "A plainer word is there.", "replace", "utilize=use leverage=use facilitate=help commence=start"),
@@ -44,7 +47,7 @@ def built_in_rules(spark: SparkSession) -> DataFrame:
     for rule, level, message, action, tokens in BUILT_IN:
         for t in tokens.split():
             token, _, replacement = t.partition("=")
-            rows.append((rule, level, message, action, token, replacement or None))
+            rows.append((rule, level, message, action, token.replace("_", " "), replacement or None))
     return spark.createDataFrame(rows, RULE_TOKEN)
 
 
@@ -69,6 +72,28 @@ def words_at(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*keep, "at", F.col("_z.x.w").alias("word"), F.lower("_z.x.w").alias("word_lc"), (F.col("_z.e") - F.length("_z.x.w") + 1).alias("span_start"), F.col("_z.e").alias("span_end"))
 
 
+def phrase_hits(lines: DataFrame, rules: DataFrame, most: int = 8) -> DataFrame:
+    """Hits of tokens of 2 to ``most`` words, which stand in a line with any blanks or marks between them.
+
+    The first word is joined; the words after it, a bounded slice of the line's, are compared with the rest.
+    """
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    listed = lines.withColumn("_all", words)
+    starts = words_at(listed).withColumn("_next", F.expr(f"transform(slice(_all, at + 2, {most - 1}), w -> lower(w))"))
+    w = F.split(F.lower("token"), " +")
+    many = rules.withColumn("_w", w).where(F.size("_w").between(2, most)).withColumn("_first", F.col("_w")[0]).withColumn("_rest", F.expr("slice(_w, 2, size(_w))"))
+    hits = starts.join(many, F.col("word_lc") == F.col("_first")).where(F.expr("slice(_next, 1, size(_rest)) = _rest"))
+    # the end of the phrase: its words and what stands between them, as the line has them
+    tail = lines.select("doc_id", "line", F.col("text").alias("_text"))
+    hits = hits.join(tail, ["doc_id", "line"]).withColumn("_from", F.expr("substring(_text, span_start)"))
+    gap = r"[^\p{L}\p{N}]+"
+    pattern = F.concat(F.lit("(?i)^"), F.array_join(F.transform("_w", lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), gap))
+    hits = hits.withColumn("match", F.regexp_substr("_from", pattern)).where("match is not null")
+    return hits.select(
+        "doc_id", "fmt", "line", "rule", "level", "message", "action", "replacement", "match", "span_start", (F.col("span_start") + F.length("match") - 1).alias("span_end")
+    )
+
+
 def severity(level: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
     return F.coalesce(F.element_at(table, level), F.lit(UNKNOWN_SEVERITY))
@@ -131,7 +156,7 @@ def strict_pattern(trigram: str) -> str:
 
 def lexical(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of the layer, with their format's overrides."""
-    hits = overridden(word_hits(lines, rules).unionByName(pattern_hits(lines)))
+    hits = overridden(word_hits(lines, rules).unionByName(phrase_hits(lines, rules)).unionByName(pattern_hits(lines)))
     action = F.when(F.col("action").isNotNull(), F.map_from_arrays(F.array(F.lit("action"), F.lit("replacement")), F.array("action", F.coalesce("replacement", F.lit("")))))
     return finding(hits, "lexical", F.col("rule"), severity(F.col("level")), F.col("message"), "line", ("span_start", "span_end"), "match", action)
 
@@ -185,3 +210,12 @@ def tier_tables(lines: DataFrame) -> DataFrame:
 def cell_words(cell: Column) -> Column:
     """Words of a table cell: without what is in parentheses, cut at slashes."""
     return F.filter(F.transform(F.split(F.regexp_replace(cell, r"\([^)]*\)", ""), "/"), lambda c: F.trim(c)), lambda w: w != "")
+
+
+def phrase_pattern(cell: str) -> str | None:
+    """The pattern of a phrase in a table cell: "[a/b]" is a choice; a template has none."""
+    bare = re.sub(r"[.…]+$", "", cell.strip().strip('"').strip()).rstrip(", ").strip()
+    if bare.lower() == "not just x, but y":
+        return None
+    parts = re.split(r"\[([^\]]+)\]", bare)
+    return "".join("(?:" + "|".join(map(re.escape, p.split("/"))) + ")" if i % 2 else re.escape(p) for i, p in enumerate(parts))

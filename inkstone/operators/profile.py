@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import word_count
-from inkstone.operators.features import is_key_tell
+from inkstone.operators.features import NO_RATE, is_key_tell
+from inkstone.operators.findings import finding
 
 QUANTILES = (0.05, 0.50, 0.95)
 LEAST_DOCS, DOC_WORDS = 3, 300
 SEGMENT_WORDS, LEAST_SEGMENTS, SCAN_SEGMENTS = 500, 10, 4
 P_CUTOFF = 0.05
 MOST_FINDINGS = 12
+SHORT_DOCUMENT = 2500
 REPLICAS, SEED = 2000, 0
 #: Segments of a profile that the bootstrap sends to each task; a larger profile is refused, not cut.
 MOST_PROFILE_SEGMENTS = 200_000
@@ -161,3 +163,26 @@ def simulated_bands(profile: DataFrame, target: int, replicas: int = REPLICAS, s
     drawn = spark.range(replicas).mapInPandas(run, "replica long, feature string, rate double")
     out = drawn.groupBy("feature").agg(band_linear(F.col("rate"), QUANTILES).alias("_q"), F.stddev_pop("rate").alias("sd"))
     return out.select("feature", F.col("_q")[0].alias("p05"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p95"), "sd")
+
+
+def chosen_bands(simulated: DataFrame | None, doc_bands: DataFrame, segment_bands: DataFrame | None, words: int) -> DataFrame:
+    """Bands to compare a document with: simulated ones where the profile has segments, with the documents' own for
+    what isn't a rate; else, for a short document, those of segments, and else those of documents."""
+    if simulated is not None:
+        return simulated.unionByName(doc_bands.where(F.col("feature").isin(*NO_RATE)).select("feature", "p05", "p50", "p95"), allowMissingColumns=True)
+    return segment_bands if segment_bands is not None and words < SHORT_DOCUMENT else doc_bands
+
+
+def structural(features: DataFrame, bands_: DataFrame) -> DataFrame:
+    """Findings of the features out of their band, the MOST_FINDINGS with the largest sigma for each document."""
+    top = top_features(out_of_band(features, bands_))
+    text = F.concat(F.lit("A rate "), F.when(F.col("side") > 0, "above").otherwise("below"), F.lit(" the band."))
+    detail = F.map_from_arrays(F.array(F.lit("sigma"), F.lit("rate")), F.array(F.col("sigma").cast("string"), F.col("rate").cast("string")))
+    return finding(top, "structural", F.col("feature"), F.col("severity"), text, payload=detail)
+
+
+def segment_findings(scan: DataFrame) -> DataFrame:
+    """Findings of a segment scan, with p, the map of segments and whether the whole document hides the deviation."""
+    names = ("p", "map", "worst", "in_band")
+    detail = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(n).cast("string") for n in names]))
+    return finding(scan, "structural", F.concat(F.lit("segments:"), F.col("feature")), F.col("severity"), F.concat(F.lit("Segments deviate: "), F.col("map")), payload=detail)

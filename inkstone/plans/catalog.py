@@ -203,9 +203,7 @@ def simulated(spark, sf) -> DataFrame:
 
 def structural(spark, sf) -> DataFrame:
     """Deviations from simulated bands as findings."""
-    top = PR.top_features(PR.out_of_band(feature_counts(spark, sf), simulated(spark, sf)))
-    detail = F.map_from_arrays(F.array(F.lit("sigma"), F.lit("rate")), F.array(F.col("sigma").cast("string"), F.col("rate").cast("string")))
-    return shown(FI.finding(top, "structural", F.col("feature"), F.col("severity"), F.lit("A rate outside the band."), payload=detail))
+    return shown(PR.structural(feature_counts(spark, sf), simulated(spark, sf)))
 
 
 def scan(spark, sf) -> DataFrame:

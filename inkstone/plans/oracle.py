@@ -267,6 +267,22 @@ T["sampled"] = (
 T["turns"] = r"SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
 
 
+T["sent_words"] = "SELECT doc_id, para_id, sent_id, unnest(range(len(l))) AS i, unnest(l) AS word FROM (SELECT doc_id, para_id, sent_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)*') AS l FROM sents)"
+
+
+def _plain() -> str:
+    """Visible text of a page's html."""
+    c = "regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<head\\b.*?</head>|<nav\\b.*?</nav>|<!--.*?-->', ' ', 'g')"
+    c = f"regexp_replace({c}, '(?i)</(?:p|div|li|h[1-6]|tr|article|section)>|<br ?/?>', chr(10), 'g')"
+    c = f"regexp_replace({c}, '<[^>]*>', ' ', 'g')"
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+PLAIN = _plain()
+
+
 def parsed(source: str) -> str:
     """The markdown parser in windows over lines: fences, headings, blank lines."""
     return (
@@ -327,6 +343,8 @@ Q: dict[str, str] = {
     "flagged_units": "SELECT pair, doc_id, unit_id, round(b, 6) AS b, round(delta_mean, 6) AS delta_mean, rank, flagged, round(flagged / total, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY pair, doc_id ORDER BY b, unit_id) AS rank FROM (SELECT u.*, count(*) FILTER (WHERE f) OVER (PARTITION BY pair, doc_id) AS flagged, count(*) OVER (PARTITION BY pair, doc_id) AS total FROM (SELECT u.*, u.b < s.unit_b[2] - 1e-9::DOUBLE OR delta_mean > s.unit_delta[2] + 1e-9::DOUBLE AS f FROM pair_units u JOIN bands s USING (pair)) u) WHERE f) WHERE rank <= 3",
     "consensus": "SELECT doc_id, unit_id, round(mr, 6) AS mean_rank, round(mb, 6) AS min_b, votes, pairs, row_number() OVER (PARTITION BY doc_id ORDER BY mr, unit_id) AS place FROM (SELECT doc_id, unit_id, avg(r) AS mr, min(b) AS mb, count(*) FILTER (WHERE delta_mean > 0) AS votes, count(*) AS pairs FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, pair ORDER BY b, unit_id) - 1)::DOUBLE / greatest(1, count(*) OVER (PARTITION BY doc_id, pair) - 1) AS r FROM pair_units) GROUP BY doc_id, unit_id)",
     "untested_axes": "SELECT DISTINCT doc_id, 0 AS line, 0 AS span_start, 0 AS span_end, 'statistical' AS layer, 'untested_axes' AS rule, 0.3::DOUBLE AS severity, '' AS match FROM documents",
+    "page_text": rf"SELECT doc_id, length(t) AS chars, {words('t')} AS words FROM (SELECT page_id AS doc_id, regexp_replace({PLAIN}, '[ \t]+', ' ', 'g') AS t FROM pages)",
+    "trigram_hits": "SELECT doc_id, trigram, count(*) AS n FROM (SELECT DISTINCT a.doc_id, a.para_id, a.sent_id, a.i, trigram FROM sent_words a JOIN (VALUES ('of the and', 'of', 'the', 'and'), ('the in of', 'the', 'in', 'of'), ('is the of', 'is', 'the', 'of'), ('to and that', 'to', 'and', 'that')) r(trigram, x, y, z) ON a.word = x JOIN sent_words b ON b.doc_id = a.doc_id AND b.para_id = a.para_id AND b.sent_id = a.sent_id AND b.word = y AND b.i BETWEEN a.i + 1 AND a.i + 3 JOIN sent_words c ON c.doc_id = a.doc_id AND c.para_id = a.para_id AND c.sent_id = a.sent_id AND c.word = z AND c.i BETWEEN b.i + 1 AND b.i + 3) GROUP BY ALL",
     "findings_per_1k": "SELECT doc_id, words, coalesce(n, 0) AS findings, coalesce(s, 0) AS strong, round(1000.0::DOUBLE * coalesce(n, 0) / greatest(1, words), 6) AS per_1k, round(1000.0::DOUBLE * coalesce(s, 0) / greatest(1, words), 6) AS strong_per_1k FROM doc_words LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE severity >= 0.6) AS s FROM found GROUP BY doc_id) USING (doc_id)",
     "recurring_rules": "SELECT doc_id, rule, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, rule) AS r FROM (SELECT doc_id, rule, count(*) AS n FROM found WHERE line > 0 GROUP BY ALL HAVING count(*) >= 3)) WHERE r <= 10",
     "worklist": "SELECT *, CASE WHEN severity >= 0.9 THEN 'ERR' WHEN severity >= 0.6 THEN 'WARN' ELSE 'sugg' END AS label FROM found WHERE line > 0",

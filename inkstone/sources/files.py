@@ -41,7 +41,7 @@ def conversation_documents(conversations: DataFrame) -> DataFrame:
 
 def page_documents(pages: DataFrame) -> DataFrame:
     """Web pages as documents: their visible text, a line for each block."""
-    t = F.regexp_replace("html", r"(?is)<(script|style|head|nav)\b.*?</\1>|<!--.*?-->", " ")
+    t = F.regexp_replace("html", r"(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<nav\b.*?</nav>|<!--.*?-->", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)</(?:p|div|li|h[1-6]|tr|article|section)>|<br ?/?>", "\n"), r"<[^>]*>", " ")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))

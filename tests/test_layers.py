@@ -215,3 +215,57 @@ def test_stream(spark, tmp_path):
     q = write_measures(document_stream(spark, str(tmp_path / "in"), "doc_id long, text string"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert q.awaitTermination(60) is not False
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_phrases(spark):
+    rules = L.built_in_rules(spark)
+    got = {(r.rule, r.match, r.span_start, r.span_end) for r in L.phrase_hits(lines_of(spark, "So, in order, in  Order to go; at the end."), rules).collect()}
+    assert got == {("filler_phrases", "in  Order to", 15, 26)}
+    assert L.phrase_pattern('"in today\'s [fast-paced/digital] world…"') == r"in\ today's\ (?:fast\-paced|digital)\ world"
+    assert L.phrase_pattern("not just X, but Y") is None
+
+
+def test_bands_by_basis(spark):
+    doc = spark.createDataFrame([("f_43_type_token", 0.1, 0.2, 0.3), ("f_35_because", 1.0, 2.0, 3.0)], "feature string, p05 double, p50 double, p95 double")
+    sim = spark.createDataFrame([("f_35_because", 1.0, 2.0, 3.0, 0.5)], "feature string, p05 double, p50 double, p95 double, sd double")
+    assert {r.feature: r.sd for r in PR.chosen_bands(sim, doc, None, 10).collect()} == {"f_35_because": 0.5, "f_43_type_token": None}
+    assert PR.chosen_bands(None, doc, sim, 100) is sim and PR.chosen_bands(None, doc, sim, 3000) is doc
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from inkstone.__main__ import main
+
+    rng = np.random.default_rng(1)
+    for i in range(4):
+        sents = [" ".join(rng.choice("the a we they walk because of stones and very old rivers here".split(), int(rng.integers(4, 20)))).capitalize() + "." for _ in range(90)]
+        (tmp_path / f"d{i}.md").write_text("\n\n".join(" ".join(sents[k : k + 9]) for k in range(0, 90, 9)))
+    assert main(["baseline", str(tmp_path), "--name", "n", "--profiles", str(tmp_path / "profiles")]) == 0
+    assert main(["report", str(tmp_path / "d0.md"), "--profile", "n", "--profiles", str(tmp_path / "profiles"), "--json"]) == 0
+    assert '"sentences":' in capsys.readouterr().out
+    assert main(["fix"]) == 2
+
+
+def test_entry_and_sql_agree_on_names():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_archives_and_feeds(spark, tmp_path):
+    import gzip
+    import io
+    import tarfile
+
+    (tmp_path / "src").mkdir()
+    with tarfile.open(tmp_path / "src" / "a.tar", "w") as tar:
+        for name, text in (("x.tex", "\\begin{document} longer text"), ("y.tex", "\\begin{document}"), ("z.tex", "no")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text.encode()))
+    (tmp_path / "src" / "b.gz").write_bytes(gzip.compress(b"\\begin{document} one"))
+    (tmp_path / "src" / "c.bin").write_bytes(b"junk")
+    got = {(r.project.rsplit("/", 1)[-1], r.name): r.is_main for r in files.source_archives(spark, str(tmp_path / "src")).collect()}
+    assert got == {("a.tar", "x.tex"): True, ("a.tar", "y.tex"): False, ("a.tar", "z.tex"): False, ("b.gz", "main.tex"): True}
+    feed = '<feed><entry><id>1</id><title>A\n b</title><published>2020-01-02T00:00:00Z</published><x:primary_category term="cs.CL" scheme="s"/><x:doi>10.1/2</x:doi></entry></feed>'
+    row = files.atom_entries(spark.createDataFrame([(feed,)], "xml string")).first()
+    assert (row.id, row.title, row.category, row.doi, row.journal_ref) == ("1", "A b", "cs.CL", "10.1/2", None) and row.published.year == 2020

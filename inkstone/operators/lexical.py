@@ -20,6 +20,8 @@ from inkstone.schema import RULE_TOKEN
 SEVERITY = {"suggestion": 0.3, "warning": 0.6, "error": 0.9}
 UNKNOWN_SEVERITY = 0.3
 OVERRIDES = (("formal_transitions", None, "suggestion", True), ("em_dash_usage", "tex", None, False))
+#: Tokens of a rule table that is broadcast.
+MOST_RULES = 100_000
 STYLE_POS = ("verb", "adjective", "adverb", "noun")
 #: A gap of up to two words as the literal pattern has it, which wants no blank before the gap.
 STRICT_GAP = r"(?:\w+[''\w]*\s+){0,2}"
@@ -51,6 +53,12 @@ def built_in_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RULE_TOKEN)
 
 
+def small(rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """A rule table to broadcast, if it has at most ``most`` tokens; a larger one is joined as it is."""
+    rows = rules.limit(most + 1).collect()
+    return F.broadcast(rules.sparkSession.createDataFrame(rows, rules.schema)) if len(rows) <= most else rules
+
+
 def words_at(rows: DataFrame, text: str = "text") -> DataFrame:
     """A row for each word of a line: its lower case, and its span in characters from 1, both ends included.
 
@@ -82,7 +90,7 @@ def phrase_hits(lines: DataFrame, rules: DataFrame, most: int = 8) -> DataFrame:
     starts = words_at(listed).withColumn("_next", F.expr(f"transform(slice(_all, at + 2, {most - 1}), w -> lower(w))"))
     w = F.split(F.lower("token"), " +")
     many = rules.withColumn("_w", w).where(F.size("_w").between(2, most)).withColumn("_first", F.col("_w")[0]).withColumn("_rest", F.expr("slice(_w, 2, size(_w))"))
-    hits = starts.join(many, F.col("word_lc") == F.col("_first")).where(F.expr("slice(_next, 1, size(_rest)) = _rest"))
+    hits = starts.join(small(many), F.col("word_lc") == F.col("_first")).where(F.expr("slice(_next, 1, size(_rest)) = _rest"))
     # the end of the phrase: its words and what stands between them, as the line has them
     tail = lines.select("doc_id", "line", F.col("text").alias("_text"))
     hits = hits.join(tail, ["doc_id", "line"]).withColumn("_from", F.expr("substring(_text, span_start)"))
@@ -110,7 +118,7 @@ def overridden(hits: DataFrame) -> DataFrame:
 def word_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, fmt, line, rule, level, message, action, replacement, match, span_start, span_end)."""
     one = rules.where(~F.col("token").contains(" ")).withColumn("_t", F.lower("token"))
-    hits = words_at(lines).join(one, F.col("word_lc") == F.col("_t"))
+    hits = words_at(lines).join(small(one), F.col("word_lc") == F.col("_t"))
     return hits.select("doc_id", "fmt", "line", "rule", "level", "message", "action", "replacement", F.col("word").alias("match"), "span_start", "span_end")
 
 
@@ -142,7 +150,7 @@ def trigram_hits(sents: DataFrame, trigrams: DataFrame, gap: int = 2) -> DataFra
     at = w.select("doc_id", "para_id", "sent_id", "_w", F.posexplode("_w").alias("_i", "_word")).select(
         "doc_id", "para_id", "sent_id", "_word", F.expr(f"slice(_w, _i + 2, {2 * gap + 2})").alias("_next")
     )
-    hit = at.join(rules, F.col("_word") == F.col("_a"))
+    hit = at.join(small(rules), F.col("_word") == F.col("_a"))
     near = lambda a, b: F.sequence(F.lit(a), F.lit(b))
     third = lambda i: F.exists(near(1, gap + 1), lambda j: F.get("_next", i + j).eqNullSafe(F.col("_c")))
     ok = F.exists(near(0, gap), lambda i: F.get("_next", i).eqNullSafe(F.col("_b")) & third(i))

@@ -24,10 +24,18 @@ REPLICAS, SEED = 2000, 0
 MOST_PROFILE_SEGMENTS = 200_000
 
 
-def band_nearest(value: Column, q: float) -> Column:
-    """Nearest-rank quantile: of n sorted values the one at round(q (n - 1)), halves to even."""
-    values = F.array_sort(F.collect_list(value))
-    return F.element_at(values, (F.bround(F.lit(q) * (F.count(value) - 1)).cast("int") + 1))
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, qs=QUANTILES) -> DataFrame:
+    """(by, n, q0, q1, ...): of n sorted values the one at round(q (n - 1)), halves to even.
+
+    Values are counted first, so that equal ones are a row before the shuffle, then ranked by running sums;
+    no group's values are ever held together.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
+    group = Window.partitionBy(*by)
+    counted = counted.withColumn("_upto", F.sum("_k").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_k").over(group))
+    at = lambda q: F.bround(F.lit(float(q)) * (F.col("n") - 1))
+    hit = lambda q: (F.col("_upto") > at(q)) & (F.col("_upto") - F.col("_k") <= at(q))
+    return counted.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(hit(q), F.col(value))).alias(f"q{i}") for i, q in enumerate(qs)])
 
 
 def band_linear(value: Column, qs) -> Column:
@@ -37,8 +45,9 @@ def band_linear(value: Column, qs) -> Column:
 
 def bands(features: DataFrame, by: list[str] = ("feature",), value: str = "rate", digits: int | None = 3) -> DataFrame:
     """(by, n, p05, p50, p95) by nearest rank, rounded as profiles are."""
-    shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    return features.groupBy(*by).agg(F.count(value).alias("n"), *[shown(band_nearest(F.col(value), q)).alias(f"p{int(q * 100):02d}") for q in QUANTILES])
+    shown = (lambda c: F.round(c, digits)) if digits is not None else F.col
+    ranks = nearest_ranks(features, list(by), value)
+    return ranks.select(*by, "n", *[shown(f"q{i}").alias(f"p{int(q * 100):02d}") for i, q in enumerate(QUANTILES)])
 
 
 def admitted(paras: DataFrame, least: int = DOC_WORDS) -> DataFrame:
@@ -84,17 +93,19 @@ def top_features(deviations: DataFrame, most: int = MOST_FINDINGS) -> DataFrame:
 def empirical_p(rates: DataFrame, reference: DataFrame, key: list[str]) -> DataFrame:
     """``rates`` with p: the add-one two-sided tail of a rate among the reference rates of its feature.
 
-    The counts at most and at least a value come from one sort of both tables together on (feature, rate),
-    in running sums, and not from a join of each rate with each reference.
+    The counts at most and at least a value come from running sums over the different rates of both tables
+    together, not from a join of each rate with each reference. Texts of some thousand words have few
+    different rates, however many texts there are.
     """
     n = reference.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = rates.select(*key, "feature", "rate", F.lit(0).alias("_ref")).unionByName(reference.select("feature", "rate", F.lit(1).alias("_ref")), allowMissingColumns=True)
+    asked = rates.groupBy("feature", "rate").agg(F.lit(0).cast("long").alias("_ref"), F.lit(True).alias("_asked"))
+    known = reference.groupBy("feature", "rate").agg(F.count(F.lit(1)).alias("_ref"), F.lit(False).alias("_asked"))
     order = Window.partitionBy("feature").orderBy("rate")
     upto = F.sum("_ref").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     above = F.sum("_ref").over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    counted = mixed.withColumn("_lo", upto).withColumn("_hi", above).where("_ref = 0").join(n, "feature")
+    counted = asked.unionByName(known).withColumn("_lo", upto).withColumn("_hi", above).where("_asked").join(n, "feature")
     p = F.least(F.lit(1.0), F.lit(2.0) * F.least((F.col("_lo") + 1) / (F.col("_n") + 1), (F.col("_hi") + 1) / (F.col("_n") + 1)))
-    return counted.select(*key, "feature", "rate", p.alias("p"))
+    return rates.select(*key, "feature", "rate").join(counted.select("feature", "rate", p.alias("p")), ["feature", "rate"]).select(*key, "feature", "rate", "p")
 
 
 def segment_scan(segments: DataFrame, reference: DataFrame, least: int = SCAN_SEGMENTS, every: bool = False) -> DataFrame:

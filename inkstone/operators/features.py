@@ -7,6 +7,7 @@ optional tagger and are else absent, which is not a count of 0. f_43 and f_44 ar
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,9 +69,12 @@ def conditions() -> dict[str, Column]:
     """The condition of each feature on the columns p2, p1, t, n1, n2, n3: a token and its neighbours."""
     t, p1, p2, n1, n2, n3 = (F.col(c) for c in ("t", "p1", "p2", "n1", "n2", "n3"))
     start = p1.isNull() | p1.isin(*END)
-    participle = lambda c: c.rlike("^[a-z]{2,}(?:ed|en)$")
-    adverb = lambda c: c.rlike("^[a-z]{2,}ly$")
-    verb_like = lambda c: c.rlike("^[a-z]{2,}(?:ed|s)$")
+    # a look at the ending first: most tokens never get to a pattern
+    ends = lambda c, *e: reduce(lambda a, b: a | b, [c.endswith(x) for x in e])
+    participle = lambda c: ends(c, "ed", "en") & c.rlike("^[a-z]{2,}(?:ed|en)$")
+    adverb = lambda c: ends(c, "ly") & c.rlike("^[a-z]{2,}ly$")
+    verb_like = lambda c: ends(c, "ed", "s") & c.rlike("^[a-z]{2,}(?:ed|s)$")
+    quoted = t.contains("'") | t.contains("’")
     out = {name: t.isin(*words.split()) for name, words in LEXICON.items()}
     passive = t.isin(*BE) & (participle(n1) | (adverb(n1) & participle(n2)))
     by = F.when(participle(n1), n2 == "by").otherwise(n3 == "by")
@@ -79,7 +83,7 @@ def conditions() -> dict[str, Column]:
         "f_02_perfect_aspect": t.isin(*HAVE) & (participle(n1) | participle(n2) | participle(n3)),
         "f_10_demonstrative_pronoun": t.isin(*DEMONSTRATIVES) & demonstrative,
         "f_13_wh_question": start & t.isin(*WH) & n1.isin(*AUX),
-        "f_14_nominalizations": t.rlike("^[a-z]{2,}(?:tion|ment|ness|ity|tions|ments|nesses|ities)$") & (F.length(t) > 5),
+        "f_14_nominalizations": ends(t, "tion", "ment", "ness", "ity", "tions", "ments", "nesses", "ities") & t.rlike("^[a-z]{2,}(?:tion|ment|ness|ity|tions|ments|nesses|ities)$") & (F.length(t) > 5),
         "f_17_agentless_passives": passive & ~F.coalesce(by, F.lit(False)),
         "f_18_by_passives": passive & by,
         "f_19_be_main_verb": t.isin(*BE) & (n1.isin(*DETERMINERS) | n1.isin(*PREPOSITIONS)),
@@ -95,13 +99,13 @@ def conditions() -> dict[str, Column]:
         "f_42_adverbs": adverb(t),
         "f_50_discourse_particles": start & t.isin(*PARTICLES),
         "f_51_demonstratives": t.isin(*DEMONSTRATIVES) & ~F.coalesce(demonstrative, F.lit(False)),
-        "f_59_contractions": t.rlike("^[a-z]+['’](?:s|t|re|ve|ll|d|m)$"),
+        "f_59_contractions": quoted & t.rlike("^[a-z]+['’](?:s|t|re|ve|ll|d|m)$"),
         "f_61_stranded_preposition": t.isin(*PREPOSITIONS) & n1.isin(*END, ",", ";", ":"),
         "f_62_split_infinitive": (t == "to") & adverb(n1) & n2.rlike("^[a-z]+$"),
         "f_63_split_auxiliary": t.isin(*AUX) & adverb(n1) & n2.rlike("^[a-z]{3,}$"),
         "f_65_clausal_coordination": t.isin("and", "but", "or") & (start | ((p1 == ",") & n1.isin(*SUBJECTS, *DEMONSTRATIVES))),
         "f_66_neg_synthetic": t.isin("neither", "nor") | ((t == "no") & is_word(n1)),
-        "f_67_neg_analytic": (t == "not") | t.rlike("^[a-z]+n['’]t$"),
+        "f_67_neg_analytic": (t == "not") | quoted & t.rlike("^[a-z]+n['’]t$"),
     }
     return dict(sorted(out.items()))
 

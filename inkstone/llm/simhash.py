@@ -11,8 +11,12 @@ is missed. Such a list has at most 256 ** (n - m) different fingerprints, whatev
 one entry; a list gives the links of a spanning forest of its close pairs, not all pairs.
 
 For wider fingerprints and larger distances (``similar``) the sets are a fixed choice of KEYS sets of
-KEY_BYTES positions; pairs that differ in at most SURE bits are linked, those up to MAYBE are linked if
-the Jaccard similarity of their shingle sets reaches the threshold.
+KEY_BYTES positions. Pairs that differ in at most MAYBE bits give loose clusters, again by forests. In a
+cluster the exact Jaccard similarity of the shingle sets decides, from each text to those not yet
+reached; clusters of more than CLUSTER texts are dealt out as pairs of blocks.
+
+Copies of a fingerprint within a batch of rows are one row with their ids, so that a fingerprint
+of a third of all documents is dealt a row for each batch.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; texts of fewer words
 than a shingle have their whole sequence as one; rows with one doc_id are one document; a null doc_id
@@ -40,9 +44,12 @@ SHINGLE, DISTANCE = 3, 2
 #: ``similar``: shingles of five words, 512 bits, Jaccard similarity of at least 0.8. Such a pair differs in
 #: 77 bits on average (deviation 8) and meets in one of KEYS lists with a chance of 0.9 or, from 0.85 on, 0.99.
 WIDE_SHINGLE, WIDE_WORDS, SIMILARITY = 5, 8, 0.8
-KEYS, KEY_BYTES, SURE, MAYBE = 150, 3, 48, 108
+KEYS, KEY_BYTES, MAYBE = 150, 3, 108
+CLUSTER = 10_000
+#: Most ids that are broadcast to pick rows without dealing out their texts; more are joined.
+BROADCAST_IDS = 2_000_000
 #: Lists of up to so many entries are compared by offset, all lists of a batch at once.
-SMALL_LIST = 24
+SMALL_LIST = 8
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -88,13 +95,15 @@ def fingerprint(text: bytes, words: int = SHINGLE, width: int = 1, repeats: bool
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, width: int, repeats: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = utf8_view(batch.column(1))
-        raw = data.tobytes()
-        out = [fingerprint(raw[off[i] : off[i + 1]], words, width, repeats) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())], ["doc_id", "fp"])
+        raw, held = data.tobytes(), {}
+        for i, doc_id in enumerate(batch.column(0).to_pylist()):
+            held.setdefault(fingerprint(raw[off[i] : off[i + 1]], words, width, repeats), []).append(doc_id)
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.list_(pa.int64()))], ["fp", "ids"])
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, width: int = 1, repeats: bool = True) -> DataFrame:
-    return arrow_map(docs.select("doc_id", "text"), partial(_fingerprints, words=words, width=width, repeats=repeats), "doc_id long, fp binary")
+    """(fp, ids): the fingerprints of each batch of rows, with the ids of the rows that have them."""
+    return arrow_map(docs.select("doc_id", "text"), partial(_fingerprints, words=words, width=width, repeats=repeats), "fp binary, ids array<bigint>")
 
 
 def position_sets(octets: int, size: int, most: int | None = None) -> list[tuple[int, ...]]:
@@ -142,62 +151,44 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Tally of bytes that are the same in their positions."""
     x = a ^ b
-    return (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape[:-1], -1) == 0).sum(-1)
+    return (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape[:-1], 8 * x.shape[-1]) == 0).sum(-1)
 
 
-def list_links(fps: np.ndarray, sure: int, maybe: int) -> Iterator[tuple[int, int, bool]]:
-    """Links of a posting list: a forest over pairs within ``sure``, and pairs within ``maybe`` across its trees.
+def list_links(fps: np.ndarray, most: int) -> np.ndarray:
+    """For each entry of a posting list the first one of its tree, in a forest over pairs within ``most`` bits.
 
     Each entry is compared with those not yet reached, so a list of close copies costs about its length.
     """
-    left, tree, open_pairs = np.arange(len(fps)), np.zeros(len(fps), np.int64), []
+    left, tree = np.arange(len(fps)), np.arange(len(fps))
     while len(left):
-        root, left = left[0], left[1:]
-        tree[root], todo = root, [root]
+        root, left, todo = left[0], left[1:], [left[0]]
         while todo and len(left):
-            q = todo.pop()
-            d = distance(fps[q], fps[left])
-            near = d <= sure
-            for j in left[near]:
-                tree[j] = root
-                todo.append(j)
-                yield int(q), int(j), True
-            if maybe > sure:
-                open_pairs += [(q, j) for j in left[~near & (d <= maybe)]]
+            near = distance(fps[todo.pop()], fps[left]) <= most
+            tree[left[near]] = root
+            todo += left[near].tolist()
             left = left[~near]
-    for i, j in open_pairs:
-        if tree[i] != tree[j]:
-            yield int(i), int(j), False
+    return tree
 
 
-def _links_of(key: np.ndarray, rep: np.ndarray, fps: np.ndarray, sure: int, maybe: int, least: int) -> pa.RecordBatch:
-    """Links of whole lists, given in order of their keys."""
+def _links_of(key: np.ndarray, rep: np.ndarray, fps: np.ndarray, most: int, least: int) -> pa.RecordBatch:
+    """Links of whole lists, given in order of their keys and representatives."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
-    a, b, s = [], [], []
-    of = np.repeat(size, size)
-    for step in range(1, SMALL_LIST):
-        i = np.flatnonzero((of[:-step] > step) & (of[:-step] <= SMALL_LIST) & (key[:-step] == key[step:])) if len(key) > step else np.zeros(0, np.int64)
-        if not len(i):
-            break
+    of, pairs = np.repeat(size, size), [np.zeros((2, 0), np.int64)]
+    for step in range(1, min(SMALL_LIST, len(key))):
+        i = np.flatnonzero((of[:-step] > step) & (of[:-step] <= SMALL_LIST) & (key[:-step] == key[step:]))
         i = i[shared_bytes(fps[i], fps[i + step]) >= least]
-        d = distance(fps[i], fps[i + step])
-        i, d = i[d <= maybe], d[d <= maybe]
-        a.append(rep[i])
-        b.append(rep[i + step])
-        s.append(d <= sure)
+        i = i[distance(fps[i], fps[i + step]) <= most]
+        pairs.append(np.stack([rep[i + step], rep[i]]))
     for at, n in zip(first[size > SMALL_LIST], size[size > SMALL_LIST], strict=True):
-        got = list(list_links(fps[at : at + n], sure, maybe))
-        if got:
-            i, j, y = (np.array(x) for x in zip(*got, strict=True))
-            a.append(rep[at + i])
-            b.append(rep[at + j])
-            s.append(y)
-    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return pa.RecordBatch.from_arrays([pa.array(cat(a, np.int64), pa.int64()), pa.array(cat(b, np.int64), pa.int64()), pa.array(cat(s, bool), pa.bool_())], ["a", "b", "sure"])
+        tree = list_links(fps[at : at + n], most)
+        i = np.flatnonzero(tree != np.arange(n))
+        pairs.append(np.stack([rep[at + i], rep[at + tree[i]]]))
+    pairs = np.unique(np.concatenate(pairs, 1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
 
 
-def _link(batches: Iterator[pa.RecordBatch], octets: int, sure: int, maybe: int, least: int) -> Iterator[pa.RecordBatch]:
+def _link(batches: Iterator[pa.RecordBatch], octets: int, most: int, least: int) -> Iterator[pa.RecordBatch]:
     """Links of the lists of a partition in order of its keys; the last list of a batch waits for the next."""
     held: list = []
     for batch in batches:
@@ -210,36 +201,36 @@ def _link(batches: Iterator[pa.RecordBatch], octets: int, sure: int, maybe: int,
             continue
         got = [np.concatenate([h[c] for h in held] + [got[c]]) for c in range(3)]
         cut = np.searchsorted(got[0], got[0][-1])
-        yield _links_of(*[x[:cut] for x in got], sure, maybe, least)
+        yield _links_of(*[x[:cut] for x in got], most, least)
         held = [[x[cut:] for x in got]]
     if held:
-        yield _links_of(*[np.concatenate([h[c] for h in held]) for c in range(3)], sure, maybe, least)
+        yield _links_of(*[np.concatenate([h[c] for h in held]) for c in range(3)], most, least)
 
 
-def close_links(reps: DataFrame, octets: int, sets: list[tuple[int, ...]], sure: int, maybe: int, least: int) -> DataFrame:
-    """(a, b, sure): links between the representatives in ``reps`` (rep, fp), one row for each fingerprint."""
+def close_links(reps: DataFrame, octets: int, sets: list[tuple[int, ...]], most: int, least: int) -> DataFrame:
+    """(a, b): links between the representatives in ``reps`` (rep, fp), one row for each fingerprint."""
     lists = arrow_map(reps.select("rep", "fp"), partial(_postings, sets=sets, octets=octets), "key long, rep long")
     lists = arrow_map(lists.repartition("key").sortWithinPartitions("key"), _meet, "key long, rep long")
     lists = lists.join(reps, "rep").select("key", "rep", "fp").repartition("key").sortWithinPartitions("key", "rep")
-    return arrow_map(lists, partial(_link, octets=octets, sure=sure, maybe=maybe, least=least), "a long, b long, sure boolean").distinct()
+    return arrow_map(lists, partial(_link, octets=octets, most=most, least=least), "a long, b long").distinct()
 
 
 def representatives(fps: DataFrame) -> DataFrame:
-    return fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    return fps.groupBy("fp").agg(F.min(F.array_min("ids")).alias("rep"))
 
 
 def with_components(fps: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
-    """``fps`` with component_id; copies of one fingerprint may be many, which AQE's skew join splits."""
-    star = components(links.select("a", "b"))
+    """(doc_id, fp, component_id) for each row whose fingerprint is in ``fps``."""
+    star = components(links)
     classes = reps.join(star, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(classes, "fp")
+    return fps.join(classes, "fp").select(F.explode("ids").alias("doc_id"), "fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, words: int = SHINGLE, bits: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id): all links of at most ``bits`` differing bits of 64, exactly."""
     fps = checkpointed(fingerprints(docs, words))
     reps = representatives(fps)
-    links = close_links(reps.where("rep is not null"), 8, position_sets(8, 8 - bits), bits, bits, 8 - bits)
+    links = close_links(reps.where("rep is not null"), 8, position_sets(8, 8 - bits), bits, 8 - bits)
     return with_components(fps, reps, links).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
@@ -251,27 +242,78 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
-def similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def cluster_links(rep: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (member, first of its tree) of a forest over pairs of sets with a Jaccard similarity of ``similarity``.
+
+    Shared elements are counted from postings of the sets not yet reached, built anew when half of them are.
+    """
+    size = np.array([len(s) for s in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    left, links, held = np.arange(len(sets)), [], None
+    while len(left) > 1:
+        root, left, todo = left[0], left[1:], [left[0]]
+        while todo and len(left):
+            if held is None or 2 * len(left) < held[0]:
+                flat = np.concatenate([element[ends[i] : ends[i + 1]] for i in left])
+                order = np.argsort(flat, kind="stable")
+                held = (len(left), flat[order], np.repeat(left, size[left])[order])
+            q = todo.pop()
+            mine = element[ends[q] : ends[q + 1]]
+            low, high = np.searchsorted(held[1], mine), np.searchsorted(held[1], mine, side="right")
+            n = high - low
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            both = np.bincount(held[2][at], minlength=len(sets))[left]
+            near = both >= similarity * (size[q] + size[left] - both)
+            links += [(int(rep[i]), int(rep[root])) for i in left[near]]
+            todo += left[near].tolist()
+            left = left[~near]
+    return links
+
+
+def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of clusters, or pairs of blocks of one, given in their order: (root, i, j, rep, shingles)."""
+    held, key = [], None
+
+    def work() -> pa.RecordBatch:
+        links = cluster_links(np.array([r for r, _ in held]), [s for _, s in held], similarity) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        keys = zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True)
+        for k, (root, i, j, rep) in enumerate(keys):
+            if (root, i, j) != key:
+                yield work()
+                held, key = [], (root, i, j)
+            held.append((rep, np.array(batch.column(4)[k].values.to_numpy(zero_copy_only=False))))
+    yield work()
+
+
+def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows whose doc_id is in ``ids`` (left_semi) or isn't (left_anti); few ids are broadcast, so that no text moves."""
+    ids = checkpointed(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, cluster: int = CLUSTER) -> DataFrame:
     """(doc_id, fp, component_id) with links between texts of a shingle similarity of at least ``similarity``."""
     fps = checkpointed(fingerprints(docs, WIDE_SHINGLE, WIDE_WORDS, repeats=False))
     reps = representatives(fps)
-    links = checkpointed(close_links(reps.where("rep is not null"), 8 * WIDE_WORDS, position_sets(8 * WIDE_WORDS, KEY_BYTES, KEYS), SURE, MAYBE, KEY_BYTES))
-    sure = links.where("sure").select("a", "b")
-    star = checkpointed(components(sure))
-    root = lambda c: F.coalesce(F.col(f"_root_{c}"), F.col(c))
-    doubt = links.where("not sure").select("a", "b")
-    for c in ("a", "b"):
-        doubt = doubt.join(star.select(F.col("node").alias(c), F.col("root").alias(f"_root_{c}")), c, "left")
-    doubt = checkpointed(doubt.where(root("a") != root("b")).select("a", "b"))
-    ids = doubt.select(F.col("a").alias("doc_id")).union(doubt.select("b")).distinct()
-    sets = arrow_map(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), partial(_shingle_sets, words=WIDE_SHINGLE), "doc_id long, shingles array<bigint>")
-    sets = checkpointed(sets.dropDuplicates(["doc_id"]))
-    for c in ("a", "b"):
-        doubt = doubt.join(sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"_{c}")), c)
-    both = F.size(F.array_intersect("_a", "_b"))
-    alike = both >= similarity * (F.size("_a") + F.size("_b") - both)
-    verified = sure.unionByName(doubt.where((F.size("_a") > 0) & alike).select("a", "b"))
-    return with_components(fps, reps, verified)
+    loose = close_links(reps.where("rep is not null"), 8 * WIDE_WORDS, position_sets(8 * WIDE_WORDS, KEY_BYTES, KEYS), MAYBE, KEY_BYTES)
+    star = checkpointed(components(loose))
+    member = star.select(F.col("node").alias("rep"), "root").unionByName(star.select(F.col("root").alias("rep"), "root").distinct())
+    blocks = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(cluster)).cast("int").alias("_blocks"))
+    member = member.join(blocks, "root").withColumn("_own", F.pmod(F.xxhash64("rep"), "_blocks").cast("int"))
+    member = member.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_blocks = 1 or _own <> _other")
+    member = member.select("root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "rep")
+    sets = arrow_map(
+        picked(docs.select("doc_id", "text"), member.select(F.col("rep").alias("doc_id")).distinct(), "left_semi"),
+        partial(_shingle_sets, words=WIDE_SHINGLE), "doc_id long, shingles array<bigint>",
+    )
+    dealt = member.join(sets.dropDuplicates(["doc_id"]).where(F.size("shingles") > 0), F.col("rep") == F.col("doc_id")).select("root", "i", "j", "rep", "shingles")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
+    links = arrow_map(dealt, partial(_verify, similarity=similarity), "a long, b long").distinct()
+    return with_components(fps, reps, links)
 
 
 def first_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -279,8 +321,8 @@ def first_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Texts without words are alike and leave one; rows without a doc_id stay.
     """
-    found = similar(docs, similarity).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found.where("doc_id is not null"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    later = similar(docs, similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    return picked(docs, later, "left_anti").select(docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from inkstone.llm.common import arrow_map, checkpointed, table, utf8_view
 MIN, GRAM = 100, 32
 SPAN = MIN - GRAM + 1  # grams in a window
 CAP = 20_000
-SLICE, SORT_BLOCK = 1 << 20, 1 << 21
+SLICE, SORT_BLOCK = 1 << 20, 1 << 20
 #: Bytes of a text in its piece of work; a longer text is cut into pieces that overlap by MIN - 1 bytes.
 PIECE = 1 << 20
 LAST = (1 << 63) - 1

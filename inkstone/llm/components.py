@@ -6,7 +6,7 @@ executors. The number of rounds grows with the logarithm of the longest path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import checkpointed
@@ -18,7 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     Links of an id with itself or with a null are left out; no links give no rows.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = checkpointed(edges)
+    # ids linked to several smaller ones are linked to the least of them, and those to each other: links told by
+    # many posting lists fold up before the rounds, without a join
+    least = edges.withColumn("_m", F.min("b").over(Window.partitionBy("a")))
+    folded = least.where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+    edges = checkpointed(folded.unionByName(least.select("a", F.col("_m").alias("b"))).distinct())
     known = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

@@ -31,7 +31,7 @@ from inkstone.llm.common import arrow_map, crc_mod, labelled_sample, table, utf8
 
 SAMPLE = 6000
 THRESHOLD = 0.7
-CACHE = 200_000
+CACHE = 100_000
 #: Lengths of word beginnings that terms are backed off to, and how many texts the shorter one counts as.
 STEMS, BACKOFF = (3, 4, 5, 6, 7, 8, 9), 4.0
 #: For a term to count as an insult: the least chance that a text with it is toxic, and the least

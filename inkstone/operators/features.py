@@ -61,13 +61,15 @@ TAGGED = (
 ).split()
 NO_RATE = ("f_43_type_token", "f_44_mean_word_length")
 TYPE_TOKEN_WINDOW = 400
+#: Features summed in one pass; the code generated for many more is too large for the JVM to compile.
+AT_ONCE = 17
 #: Names of features that count more.
 KEY_TELLS = "participle nominalization phrasal_coordination that_verb_comp that_adj_comp agentless_passive downtoner".split()
 
 
 def conditions() -> dict[str, Column]:
-    """The condition of each feature on the columns p2, p1, t, n1, n2, n3: a token and its neighbours."""
-    t, p1, p2, n1, n2, n3 = (F.col(c) for c in ("t", "p1", "p2", "n1", "n2", "n3"))
+    """The condition of each feature on the columns p1, t, n1, n2, n3: a token and its neighbours."""
+    t, p1, n1, n2, n3 = (F.col(c) for c in ("t", "p1", "n1", "n2", "n3"))
     start = p1.isNull() | p1.isin(*END)
     # a look at the ending first: most tokens never get to a pattern
     ends = lambda c, *e: reduce(lambda a, b: a | b, [c.endswith(x) for x in e])
@@ -111,11 +113,16 @@ def conditions() -> dict[str, Column]:
 
 
 def neighbours(docs: DataFrame, key: list[str]) -> DataFrame:
-    """The key's columns, at, and each token with its neighbours; a row's tokens never leave its task."""
+    """The key's columns and each token with its neighbours p1, n1, n2, n3; a row's tokens never leave its task.
+
+    The neighbours are the token array moved by so many places; zipped before they are taken apart, so that
+    no row carries an array.
+    """
     t = docs.select(*key, tokens(F.col("text")).alias("_t"))
-    t = t.select(*key, "_t", F.posexplode("_t").alias("at", "t"))
-    near = {"p2": -2, "p1": -1, "n1": 1, "n2": 2, "n3": 3}
-    return t.select(*key, "at", "t", *[F.get("_t", F.col("at") + k).alias(c) for c, k in near.items()])
+    after = lambda k: F.slice("_t", k + 1, F.size("_t"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("_t"))
+    zipped = F.arrays_zip(F.col("_t").alias("t"), before.alias("p1"), after(1).alias("n1"), after(2).alias("n2"), after(3).alias("n3"))
+    return t.select(*key, F.explode(zipped).alias("_z")).select(*key, "_z.*").where("t is not null")
 
 
 def wide_counts(docs: DataFrame, key: list[str], names: list[str] | None = None) -> DataFrame:
@@ -130,12 +137,14 @@ def counts(docs: DataFrame, key: list[str] = ("doc_id",), tagger: Callable[[Data
 
     ``tagger`` gives (key, feature, n) of features in TAGGED; without it these have no rows.
     """
-    key = list(key)
-    wide = wide_counts(docs, key)
-    names = [c for c in wide.columns if c not in (*key, "tokens")]
-    long = wide.unpivot([*key, "tokens"], names, "feature", "n")
+    key, names, long = list(key), list(conditions()), None
+    for at in range(0, len(names), AT_ONCE):
+        part = names[at : at + AT_ONCE]
+        one = wide_counts(docs, key, part).unpivot([*key, "tokens"], part, "feature", "n")
+        long = one if long is None else long.unionByName(one)
     if tagger:
-        long = long.unionByName(tagger(docs).join(wide.select(*key, "tokens"), key).select(*key, "tokens", "feature", "n"))
+        words = wide_counts(docs, key, []).select(*key, "tokens")
+        long = long.unionByName(tagger(docs).join(words, key).select(*key, "tokens", "feature", "n"))
     return long.where("tokens > 0").select(*key, "feature", "n", "tokens", (F.lit(1000.0) * F.col("n") / F.col("tokens")).alias("rate"))
 
 

@@ -20,10 +20,6 @@ UNIT_WORDS = 12
 CHUNK, OVERLAP = 4096, 256
 
 
-def as_documents(table: DataFrame, fmt: str = "md") -> DataFrame:
-    return table.select("doc_id", F.lit(fmt).alias("fmt"), "text")
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, fmt, line, text): lines from 1."""
     return docs.select("doc_id", "fmt", F.posexplode(F.split("text", LINE_BREAK)).alias("_p", "text")).select(

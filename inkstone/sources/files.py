@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from inkstone.schema import PAIR, RULE_TOKEN
 
-FORMATS = ("md", "txt", "tex")
 PROFILE_TABLES = ("bands", "segments", "metrics")
 
 

@@ -269,3 +269,44 @@ def test_archives_and_feeds(spark, tmp_path):
     feed = '<feed><entry><id>1</id><title>A\n b</title><published>2020-01-02T00:00:00Z</published><x:primary_category term="cs.CL" scheme="s"/><x:doi>10.1/2</x:doi></entry></feed>'
     row = files.atom_entries(spark.createDataFrame([(feed,)], "xml string")).first()
     assert (row.id, row.title, row.category, row.doi, row.journal_ref) == ("1", "A b", "cs.CL", "10.1/2", None) and row.published.year == 2020
+
+
+def test_sections_and_chance_flags(spark):
+    rows = [(1, 0, 0, 0, "s", r, 0.5, "m", "", p) for r, p in (("a", {"sigma": "2.5"}), ("b", {"sigma": "9"}), ("c", {"p": "0.01"}), ("d", None))]
+    parts = FI.profile_sections(spark.createDataFrame(rows, FINDING))
+    assert {k: [r.rule for r in v.collect()] for k, v in parts.items()} == {"rates": ["b", "a"], "segments": ["c"], "other": ["d"]}
+    got = spark.createDataFrame([(1,), (67,)], "m int").select(FI.chance_flags(F.col("m")).alias("f")).collect()
+    assert [r.f for r in got] == [1, 3]
+
+
+def test_stores_and_vocabularies(spark, tmp_path):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "pair string, x int")
+    new = spark.createDataFrame([("b", 3), ("c", 4)], "pair string, x int")
+    assert sorted(map(tuple, M.upserted(old, new).collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    a, b = (spark.createDataFrame([(t,) for t in x], "token string") for x in (["u", "v"], ["u", "w"]))
+    M.check_vocabulary(a, a)
+    with pytest.raises(ValueError, match="vocabulary"):
+        M.check_vocabulary(a, b)
+    (tmp_path / "v.csv").write_text("word,type,pos\nx,style,verb\n")
+    (tmp_path / "l.json").write_text('[["x", "1"], ["y"]]')
+    assert [r.token for r in L.compile_excess(files.vocabulary_csv(spark, str(tmp_path / "v.csv"))).collect()] == ["x"]
+    assert [r.token for r in L.compile_list(files.json_list(spark, str(tmp_path / "l.json"))).collect()] == ["x", "y"]
+
+
+def test_fixed_documents(spark):
+    lines = lines_of(spark, "one\nthe paradigm holds\nend")
+    fixed = spark.createDataFrame([(1, 2, "the model holds")], "doc_id long, line int, fixed string")
+    row = E.fixed_documents(lines, fixed).first()
+    assert row.fixed == "one\nthe model holds\nend" and row.text.startswith("one\nthe paradigm")
+
+
+def test_odd_documents_in_all_layers(spark):
+    """Null, empty and repeated rows give no findings, and empty tables no rows."""
+    df = spark.createDataFrame([(1, "md", None), (2, "md", ""), (2, "md", ""), (None, "md", "x")], "doc_id long, fmt string, text string")
+    for docs in (df, df.limit(0)):
+        paras = P.line_paragraphs(docs)
+        found, metrics = H.heuristics(paras, P.sentences(paras))
+        assert found.count() == 0 and metrics.count() <= 1
+        assert L.lexical(P.lines(docs), L.built_in_rules(spark)).count() == 0
+        assert X.counts(docs).where("doc_id is not null").count() == 0
+        assert P.units(P.scored_sentences(paras)).count() == 0

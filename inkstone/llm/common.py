@@ -30,10 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table written to the shared folder, packed and pruned when read again."""
+    """Cut the lineage by a table written to the shared folder, packed and pruned when read again.
+
+    The table goes when the application ends, which is after any use of what is read from it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkstone-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 

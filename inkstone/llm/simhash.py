@@ -10,10 +10,13 @@ posting list of some m positions, so with all sets of m positions (28 for 8 byte
 is missed. Such a list has at most 256 ** (n - m) different fingerprints, whatever the corpus. Copies are
 one entry; a list gives the links of a spanning forest of its close pairs, not all pairs.
 
-For wider fingerprints and larger distances (``similar``) the sets are a fixed choice of KEYS sets of
-KEY_BYTES positions. Pairs that differ in at most MAYBE bits give loose clusters, again by forests. In a
-cluster the exact Jaccard similarity of the shingle sets decides, from each text to those not yet
-reached; clusters of more than CLUSTER texts are dealt out as pairs of blocks.
+``similar`` finds all pairs of texts whose shingle sets have a Jaccard similarity of at least 0.8. Of the shingles
+in one fixed order the first n - ceil(0.8 n) + 1 of a set of n are its prefix; two similar sets share a shingle of
+their prefixes, so they meet in its list. Shingles that are common in a sample come last in that order, which
+shortens lists and loses no pair. In a list, sizes and a lower bound of the sets' difference (the differing bits of
+the parities of their hashes in buckets) leave a forest of pairs that may be similar, whose trees are loose
+clusters. In a cluster the exact similarity decides, from each text to those not yet reached; clusters of more
+than CLUSTER texts are dealt out as pairs of blocks.
 
 Copies of a fingerprint within a batch of rows are one row with their ids, so that a fingerprint
 of a third of all documents is dealt a row for each batch.
@@ -25,7 +28,8 @@ gets the component of its fingerprint; other columns are not read; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import accumulate, combinations
 
@@ -41,17 +45,18 @@ from inkstone.llm.components import components
 SEED = 42
 #: Query op8.
 SHINGLE, DISTANCE = 3, 2
-#: ``similar``: shingles of five words, 512 bits, Jaccard similarity of at least 0.8. Such a pair differs in
-#: 77 bits on average (deviation 8) and meets in one of KEYS lists with a chance of 0.9 or, from 0.85 on, 0.99.
-WIDE_SHINGLE, WIDE_WORDS, SIMILARITY = 5, 8, 0.8
-KEYS, KEY_BYTES, MAYBE = 150, 3, 108
+#: ``similar``: shingles of five words, Jaccard similarity of at least 0.8.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Parities of a set are in as many buckets as it has shingles or more, a power of two between these.
+LEAST_BITS, MOST_BITS = 512, 1 << 15
+#: Shingles that COMMON or more of about SAMPLE texts have are last in the order, at most MOST_COMMON of them.
+SAMPLE, COMMON, MOST_COMMON = 10_000, 10, 100_000
 CLUSTER = 10_000
 #: Most ids that are broadcast to pick rows without dealing out their texts; more are joined.
 BROADCAST_IDS = 2_000_000
 #: Lists of up to so many entries are compared by offset, all lists of a batch at once.
 SMALL_LIST = 8
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -75,43 +80,38 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(octets[:, j], minlength=256) @ BITS for j in range(8)])
 
 
-def fingerprint(text: bytes, words: int = SHINGLE, width: int = 1, repeats: bool = True) -> bytes:
-    """The fingerprint's 8 * width bytes, the most significant bit first."""
+def fingerprint(text: bytes, words: int = SHINGLE) -> bytes:
+    """The fingerprint's 8 bytes, the most significant bit first."""
     h = shingle_hashes(text, words)
-    if not repeats:
-        h = np.unique(h)
-    out = b""
-    for k in range(width):
-        x = h
-        if k:  # further hashes of a shingle from its first
-            x = (h ^ np.uint64(k * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF)) * MIX1
-            x = (x ^ (x >> np.uint64(31))) * MIX2
-            x ^= x >> np.uint64(29)
-        bits = 2 * bit_counts(x) > len(h) if len(h) else np.zeros(64, bool)
-        out += np.packbits(bits, bitorder="little").tobytes()[::-1]
-    return out
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, width: int, repeats: bool) -> Iterator[pa.RecordBatch]:
+    bits = 2 * bit_counts(h) > len(h) if len(h) else np.zeros(64, bool)
+    return np.packbits(bits, bitorder="little").tobytes()[::-1]
+
+
+def sketch(text: bytes, words: int = WIDE_SHINGLE) -> bytes:
+    """A set of shingles as its digest of 16 bytes, its size in 8, and the parities of its buckets."""
+    h = np.unique(shingle_hashes(text, words))
+    width = min(max(LEAST_BITS, 1 << (max(1, len(h)) - 1).bit_length()), MOST_BITS)
+    odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() + len(h).to_bytes(8, "little") + np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, of: Callable[[bytes, int], bytes]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = utf8_view(batch.column(1))
         raw, held = data.tobytes(), {}
         for i, doc_id in enumerate(batch.column(0).to_pylist()):
-            held.setdefault(fingerprint(raw[off[i] : off[i + 1]], words, width, repeats), []).append(doc_id)
+            held.setdefault(of(raw[off[i] : off[i + 1]], words), []).append(doc_id)
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.list_(pa.int64()))], ["fp", "ids"])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, width: int = 1, repeats: bool = True) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = SHINGLE, of: Callable[[bytes, int], bytes] = fingerprint) -> DataFrame:
     """(fp, ids): the fingerprints of each batch of rows, with the ids of the rows that have them."""
-    return arrow_map(docs.select("doc_id", "text"), partial(_fingerprints, words=words, width=width, repeats=repeats), "fp binary, ids array<bigint>")
+    return arrow_map(docs.select("doc_id", "text"), partial(_fingerprints, words=words, of=of), "fp binary, ids array<bigint>")
 
 
-def position_sets(octets: int, size: int, most: int | None = None) -> list[tuple[int, ...]]:
-    """All sets of ``size`` byte positions, or ``most`` of them, the same in each run."""
-    every = list(combinations(range(octets), size))
-    if most is None or most >= len(every):
-        return every
-    return [every[i] for i in sorted(np.random.default_rng(SEED).choice(len(every), most, replace=False))]
+def position_sets(octets: int, size: int) -> list[tuple[int, ...]]:
+    """All sets of ``size`` byte positions."""
+    return list(combinations(range(octets), size))
 
 
 def _postings(batches: Iterator[pa.RecordBatch], sets: list[tuple[int, ...]], octets: int) -> Iterator[pa.RecordBatch]:
@@ -154,22 +154,27 @@ def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape[:-1], 8 * x.shape[-1]) == 0).sum(-1)
 
 
-def list_links(fps: np.ndarray, most: int) -> np.ndarray:
-    """For each entry of a posting list the first one of its tree, in a forest over pairs within ``most`` bits.
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each of n entries the first one of its tree, in a forest over pairs that are ``near``.
 
     Each entry is compared with those not yet reached, so a list of close copies costs about its length.
     """
-    left, tree = np.arange(len(fps)), np.arange(len(fps))
+    left, tree = np.arange(n), np.arange(n)
     while len(left):
         root, left, todo = left[0], left[1:], [left[0]]
         while todo and len(left):
-            near = distance(fps[todo.pop()], fps[left]) <= most
-            tree[left[near]] = root
-            todo += left[near].tolist()
-            left = left[~near]
+            hit = near(todo.pop(), left)
+            tree[left[hit]] = root
+            todo += left[hit].tolist()
+            left = left[~hit]
     return tree
 
 
+def list_links(fps: np.ndarray, most: int) -> np.ndarray:
+    """The forest of a posting list over pairs within ``most`` bits."""
+    return forest(len(fps), lambda q, left: distance(fps[q], fps[left]) <= most)
+
+
 def _links_of(key: np.ndarray, rep: np.ndarray, fps: np.ndarray, most: int, least: int) -> pa.RecordBatch:
     """Links of whole lists, given in order of their keys and representatives."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -295,21 +300,137 @@ def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], words: int, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, rep): the shingles of each text's prefix. ``common`` has the shingles that come last, rarest first."""
+    by_hash = np.argsort(common)
+    known = common[by_hash]
+    for batch in batches:
+        data, off = utf8_view(batch.column(1))
+        raw, out = data.tobytes(), []
+        for i in range(batch.num_rows):
+            h = np.unique(shingle_hashes(raw[off[i] : off[i + 1]], words))
+            n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+            if len(known) and n:
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                last = known[at] == h
+                h = np.concatenate([h[~last], h[last][np.argsort(by_hash[at[last]])]])
+            out.append(h[:n])
+        rep = np.repeat(batch.column(0).to_numpy(), [len(h) for h in out])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)), pa.array(rep)], ["key", "rep"])
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each list that has two or more, of postings in order of their keys."""
+
+    def work(rows: np.ndarray) -> pa.RecordBatch:
+        same = rows[0, 1:] == rows[0, :-1]
+        rows = rows[:, np.r_[False, same] | np.r_[same, False]]  # not those alone in their list
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        if rows.shape[1]:
+            rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)]]
+        size = np.unique(rows[0], return_counts=True)[1]
+        ends = np.r_[0, np.cumsum(size[size > 1])]
+        members = rows[1, np.repeat(size > 1, size)]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(members))], ["members"])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        if rows[0, 0] == rows[0, -1] and (not held or held[-1][0, 0] == rows[0, 0]):
+            held.append(rows)
+            continue
+        rows = np.concatenate([*held, rows], axis=1)
+        cut = int(np.searchsorted(rows[0], rows[0, -1]))
+        yield work(rows[:, :cut])
+        held = [rows[:, cut:]]
+    if held:
+        yield work(np.concatenate(held, axis=1))
+
+
+def folded(bits: np.ndarray, octets: int) -> np.ndarray:
+    """Parities in fewer buckets, from those in more."""
+    while len(bits) > octets:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def maybe_links(sketches: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links of forests over all pairs of a list that may have a Jaccard similarity of ``similarity``.
+
+    Such sets differ in at most (1 - s) / (1 + s) of their summed sizes, and each differing bit takes a differing
+    shingle. Sizes of such pairs are within that factor, so their numbers of buckets are the same or next.
+    """
+    size = np.array([int.from_bytes(x[16:24], "little") for x in sketches])
+    octets = np.array([len(x) - 24 for x in sketches])
+    share, links = (1 - similarity) / (1 + similarity), []
+    for w in np.unique(octets):
+        mine = np.flatnonzero((octets == w) | (octets == 2 * w))
+        bits = np.stack([folded(np.frombuffer(sketches[i], np.uint8, offset=24), w) for i in mine]).view(np.uint64)
+        n = size[mine]
+
+        def near(q: int, left: np.ndarray, n: np.ndarray = n, bits: np.ndarray = bits) -> np.ndarray:
+            fits = np.minimum(n[q], n[left]) >= similarity * np.maximum(n[q], n[left]) - 1e-9
+            fits[fits] = distance(bits[q], bits[left[fits]]) <= share * (n[q] + n[left[fits]]) + 1e-9
+            return fits
+
+        tree = forest(len(mine), near)
+        links += [(int(mine[i]), int(mine[t])) for i, t in enumerate(tree) if i != t]
+    return links
+
+
+def _maybe(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of lists given in their order: (list, rep, fp)."""
+    last, reps, sketches, out = None, [], [], []
+    for batch in batches:
+        for key, rep, fp in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+            if key != last:
+                out += [(reps[a], reps[b]) for a, b in maybe_links(sketches, similarity)]
+                last, reps, sketches = key, [], []
+            reps.append(rep)
+            sketches.append(fp)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        out = []
+    out = [(reps[a], reps[b]) for a, b in maybe_links(sketches, similarity)]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    return arrow_map(docs.select("doc_id", "text"), partial(_shingle_sets, words=WIDE_SHINGLE), "doc_id long, shingles array<bigint>")
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that many texts of a sample have, the rarest of them first."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(np.ceil(min(1.0, SAMPLE / max(1, docs.count())) * (1 << 30))))
+    counted = shingle_sets(some).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    top = counted.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    return np.array([r.key for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def maybe_similar(docs: DataFrame, fps: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links whose trees hold all pairs of representatives with a similarity of at least ``similarity``."""
+    ids = fps.select("fp", F.explode("ids").alias("doc_id")).where("doc_id is not null").join(reps, "fp")
+    copies = ids.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("rep")).alias("_copy")).where("_copy").select("doc_id")
+    texts = picked(docs.select("doc_id", "text").where("doc_id is not null"), copies, "left_anti")
+    run = partial(_prefixes, words=WIDE_SHINGLE, similarity=similarity, common=common_shingles(texts))
+    lists = arrow_map(texts.select("doc_id", "text"), run, "key long, rep long").repartition("key").sortWithinPartitions("key")
+    lists = arrow_map(lists, _lists, "members array<bigint>").distinct()
+    members = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(reps, "rep").select("list", "rep", "fp")
+    return arrow_map(members.repartition("list").sortWithinPartitions("list", "rep"), partial(_maybe, similarity=similarity), "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, similarity: float = SIMILARITY, cluster: int = CLUSTER) -> DataFrame:
     """(doc_id, fp, component_id) with links between texts of a shingle similarity of at least ``similarity``."""
-    fps = checkpointed(fingerprints(docs, WIDE_SHINGLE, WIDE_WORDS, repeats=False))
+    fps = checkpointed(fingerprints(docs, WIDE_SHINGLE, sketch))
     reps = representatives(fps)
-    loose = close_links(reps.where("rep is not null"), 8 * WIDE_WORDS, position_sets(8 * WIDE_WORDS, KEY_BYTES, KEYS), MAYBE, KEY_BYTES)
-    star = checkpointed(components(loose))
+    star = checkpointed(components(maybe_similar(docs, fps, reps.where("rep is not null"), similarity)))
     member = star.select(F.col("node").alias("rep"), "root").unionByName(star.select(F.col("root").alias("rep"), "root").distinct())
     blocks = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(cluster)).cast("int").alias("_blocks"))
     member = member.join(blocks, "root").withColumn("_own", F.pmod(F.xxhash64("rep"), "_blocks").cast("int"))
     member = member.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_blocks = 1 or _own <> _other")
     member = member.select("root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "rep")
-    sets = arrow_map(
-        picked(docs.select("doc_id", "text"), member.select(F.col("rep").alias("doc_id")).distinct(), "left_semi"),
-        partial(_shingle_sets, words=WIDE_SHINGLE), "doc_id long, shingles array<bigint>",
-    )
+    sets = shingle_sets(picked(docs.select("doc_id", "text"), member.select(F.col("rep").alias("doc_id")).distinct(), "left_semi"))
     dealt = member.join(sets.dropDuplicates(["doc_id"]).where(F.size("shingles") > 0), F.col("rep") == F.col("doc_id")).select("root", "i", "j", "rep", "shingles")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
     links = arrow_map(dealt, partial(_verify, similarity=similarity), "a long, b long").distinct()

@@ -406,6 +406,25 @@ def test_similar_against_jaccard(spark, cluster):
     assert kept == {i for i in got if got[i] == i}
 
 
+def test_no_similar_pair_is_lost(spark, monkeypatch):
+    """Short texts at a similarity of just 0.8 and above, a passage that many texts share, and no sample at all."""
+    rng = random.Random(12)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    passage = rng.choices(words, k=12)
+    for g in range(150):
+        base = rng.choices(words, k=rng.choice([12, 13, 14, 22, 31, 49, 58, 94]))
+        base = passage + base if g % 3 == 0 else base
+        cut = (len(base) - 4) // 9  # words whose loss at one end leaves 0.8 or a little more
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base[cut:] + rng.choices(words, k=cut)))]
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) >= 140
+    want = roots(sets, alike)
+    for common in (3, 10**9):
+        monkeypatch.setattr(simhash, "COMMON", common)
+        assert {r.doc_id: r.component_id for r in simhash.similar(docs_of(spark, rows)).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(11)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(None, 3), (5, None)]

@@ -17,8 +17,9 @@ strings that are equal always meet:
    bytes, in blocks of whole grams; previous smaller positions mark what is repeated. A gram with more
    than CAP different contexts is dealt out window by window instead, and minima found before a shuffle.
 
-Defined cases: a null text is empty; a null doc_id is after all others; rows that share a doc_id are taken
-as one document with one text; texts shorter than MIN bytes lose nothing; an empty table gives no rows;
+Defined cases: a null text is empty; rows that share a doc_id are taken as one document with one text, in
+whichever batches they are; rows with a null doc_id are documents told by a hash of their text, after all
+others (ids in the last OWN of the range excepted); texts shorter than MIN bytes lose nothing; an empty table gives no rows;
 other columns pass through ``without_repeats``.
 """
 
@@ -30,7 +31,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import arrow_map, checkpointed, table, utf8_view
@@ -41,7 +42,7 @@ CAP = 20_000
 SLICE, SORT_BLOCK = 1 << 20, 1 << 20
 #: Bytes of a text in its piece of work; a longer text is cut into pieces that overlap by MIN - 1 bytes.
 PIECE = 1 << 20
-LAST = (1 << 63) - 1
+LAST, OWN = (1 << 63) - 1, 1 << 48
 REPEAT = 255
 U = np.uint64
 MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
@@ -179,7 +180,7 @@ class Resolver:
     of a key's different contexts until the key ends: one alone is of no use, more are to be compared."""
 
     def __init__(self, cap: int):
-        self.cap, self.key, self.ctx, self.held, self.hot = cap, None, None, [], False
+        self.cap, self.key, self.ctx, self.place, self.held, self.hot = cap, None, None, (None, None), [], False
 
     def release(self) -> list[np.ndarray]:
         out = []
@@ -197,8 +198,14 @@ class Resolver:
             return
         same = np.r_[(key[0] == self.key) and (ctx[0] == self.ctx), (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])]
         first = packed >> 16
-        yield doc[same], np.zeros(same.sum(), np.int64), first[same], (first + (packed & 255) + MIN)[same], key[same]
-        self.ctx = ctx[-1]
+        # the first place of each row's context, -1 for one of an earlier batch; a row given twice is no repeat of itself
+        at = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
+        of_doc, of_first = doc[at], first[at]
+        if same[0]:
+            of_doc[at < 0], of_first[at < 0] = self.place
+        again = same & ((doc != of_doc) | (first != of_first))
+        yield doc[again], np.zeros(again.sum(), np.int64), first[again], (first + (packed & 255) + MIN)[again], key[again]
+        self.ctx, self.place = ctx[-1], (of_doc[-1], of_first[-1])
         key, doc, packed = key[~same], doc[~same], packed[~same]
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         if len(edge):
@@ -355,9 +362,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["digest", "doc", "a"])
 
 
+def document() -> Column:
+    """The id of a row's document: rows without one get an id of their text, after all others."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST) - F.pmod(F.xxhash64("text"), F.lit(OWN)))
+
+
 def repeated_spans(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """(doc, spans): for each document with repeats, the intervals [a, b) of its bytes that are to go."""
-    texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("doc"), "text")
+    texts = docs.select(document().alias("doc"), "text")
     anchors = arrow_map(texts, _anchors, "key long, ctx long, doc long, packed long")
     anchors = anchors.repartition("key").sortWithinPartitions("key", "ctx", "doc", "packed")
     resolved = checkpointed(arrow_map(anchors, partial(_resolve, cap=cap), RESOLVED))
@@ -405,7 +417,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_spans(docs: DataFrame, columns: list[str], cap: int = CAP) -> DataFrame:
     found = repeated_spans(docs, cap).withColumnsRenamed({"doc": "_doc", "spans": "_spans"})
-    return docs.join(found, F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("_doc"), "left").select(*columns, "_spans")
+    return docs.join(found, document() == F.col("_doc"), "left").select(*columns, "_spans")
 
 
 def digests(docs: DataFrame, cap: int = CAP) -> DataFrame:

@@ -153,6 +153,36 @@ def test_repeats_against_brute_force(spark, cap):
     assert got == plain_repeats(rows) and sum(x[1] for x in got.values()) > 1000
 
 
+def test_rows_given_twice_in_any_layout(spark):
+    rng = random.Random(13)
+    text = lambda: " ".join(rng.choices("the of and thing some other words ab cd ef".split(), k=60))
+    first, second, shared = text(), text(), text()
+    rows = [(1, first), (2, second), (3, f"{shared} end"), (4, f"and {shared}")] * 2
+    for n in (1, 2, 8):
+        df = spark.createDataFrame(spark.sparkContext.parallelize([(i, t, "en", "s", 1) for i, t in rows], n), DOCS)
+        got = {}
+        for r in repeats.without_repeats(df).collect():
+            got.setdefault(r.doc_id, set()).add(r.text)
+        assert got == {1: {first}, 2: {second}, 3: {f"{shared} end"}, 4: {"and "}}
+
+
+def test_resolver_over_batches():
+    key = np.full(3, 7)
+    rows = [(key, key, np.array([1, 1, 2]), np.array([5 << 16] * 3)), (key, key, np.array([2, 3, 3]), np.array([5 << 16] * 3))]
+    for first, second in ((rows[0], rows[1]), ([x[:1] for x in rows[0]], [x[1:] for x in rows[0]])):
+        state = repeats.Resolver(20)
+        found = [d for part in (first, second) for doc, kind, *_ in state.take(*part) for d, k in zip(doc, kind, strict=True) if k == 0]
+        assert 1 not in found and 2 in found
+
+
+def test_texts_without_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(14)
+    text = lambda: " ".join(rng.choices("the of and thing some other words ab cd ef".split(), k=60))
+    one, own, other = text(), text(), text()
+    df = docs_of(spark, [(1, one), (None, f"{one}{own}"), (None, other)])
+    assert {r.text for r in repeats.without_repeats(df).collect()} == {one, own, other}
+
+
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     data = np.frombuffer(("ab cde " * 300 + "".join(random.Random(5).choices("abcdef ", k=4000))).encode() * 2, np.uint8)
     monkeypatch.setattr(repeats, "PIECE", 1000)

@@ -20,8 +20,6 @@ P_CUTOFF = 0.05
 MOST_FINDINGS = 12
 SHORT_DOCUMENT = 2500
 REPLICAS, SEED = 2000, 0
-#: Segments of a profile that the bootstrap sends to each task; a larger profile is refused, not cut.
-MOST_PROFILE_SEGMENTS = 200_000
 
 
 def nearest_ranks(rows: DataFrame, by: list[str], value: str, qs=QUANTILES) -> DataFrame:
@@ -141,39 +139,67 @@ def segment_scan(segments: DataFrame, reference: DataFrame, least: int = SCAN_SE
     )
 
 
-def _replicas(batches, docs: list[np.ndarray], tokens: np.ndarray, counts: np.ndarray, names: list[str], target: int, seed: int):
-    for batch in batches:
-        rows = []
-        for r in batch["id"]:
-            rng = np.random.default_rng([seed, int(r)])
-            mine, picked, held = docs[rng.integers(len(docs))], [], 0
-            while held < target:
-                s = mine[rng.integers(len(mine))]
-                picked.append(s)
-                held += int(tokens[s])
-            rows.append(1000.0 * counts[picked].sum(0) / held)
-        rates = np.array(rows).reshape(len(rows), len(names))
-        yield pd.DataFrame({"replica": np.repeat(batch["id"].to_numpy(), len(names)), "feature": np.tile(names, len(rows)), "rate": rates.ravel()})
-
-
-def simulated_bands(profile: DataFrame, target: int, replicas: int = REPLICAS, seed: int = SEED) -> DataFrame:
-    """(feature, p05, p50, p95, sd): rates that texts of ``target`` words would have if the corpus had written them.
+def _drawn(replicas: pd.DataFrame, segments: pd.DataFrame, n_docs: int, names: list[str], longest: int, seed: int) -> pd.DataFrame:
+    """Of a document's replicas, for each feature the running sums of words and counts over the segments drawn."""
+    if replicas.empty or segments.empty:
+        return pd.DataFrame({"feature": [], "replica": [], "tokens": [], "counts": []})
+    wide = segments.pivot_table(index=["seg", "tokens"], columns="feature", values="n", aggfunc="first").reindex(columns=names).fillna(0)
+    tokens, counts, rows = wide.index.get_level_values("tokens").to_numpy(), wide.to_numpy(np.int64), []
+    for r in sorted(replicas["replica"]):
+        rng = np.random.default_rng([seed, int(r)])
+        rng.integers(n_docs)  # the draw of the document
+        picked, held = [], 0
+        while held < longest:
+            picked.append(int(rng.integers(len(tokens))))
+            held += int(tokens[picked[-1]])
+        upto, sums = np.cumsum(tokens[picked], dtype=np.int64), counts[picked].cumsum(0)
+        rows += [(name, int(r), upto, sums[:, k]) for k, name in enumerate(names)]
+    return pd.DataFrame(rows, columns=["feature", "replica", "tokens", "counts"])
+
+
+def _bands_of(drawn: pd.DataFrame, lengths: list[int]) -> pd.DataFrame:
+    """A feature's bands for texts of each length, from the running sums of its replicas."""
+    most, rows = max(map(len, drawn["tokens"])), []
+    tokens = np.stack([np.pad(x, (0, most - len(x)), mode="edge") for x in drawn["tokens"]])
+    counts = np.stack([np.pad(x, (0, most - len(x)), mode="edge") for x in drawn["counts"]])
+    each, at = np.arange(len(drawn)), np.zeros(len(drawn), np.int64)
+    for length in sorted(lengths):
+        while (low := tokens[each, at] < length).any():
+            at += low
+        rates = 1000.0 * counts[each, at] / tokens[each, at]
+        rows.append((length, drawn["feature"].iloc[0], *np.quantile(rates, QUANTILES), rates.std()))
+    return pd.DataFrame(rows, columns=["words", "feature", "p05", "p50", "p95", "sd"])
+
+
+def length_bands(profile: DataFrame, lengths: list[int], replicas: int = REPLICAS, seed: int = SEED) -> DataFrame:
+    """(words, feature, p05, p50, p95, sd): rates that texts of each of ``lengths`` words would have if the corpus had
+    written them.
 
     A replica picks a document of the profile (doc, seg, tokens, feature, n), then draws its segments with
-    replacement until they have ``target`` words; the last one isn't cut. Each replica has a seed of its own.
+    replacement until they have so many words; the last one isn't cut. Each replica has a seed of its own, and
+    a shorter text is the start of a longer one. Only the documents picked are fetched, each to one task.
     """
     spark = profile.sparkSession
-    if profile.select("doc", "seg").distinct().count() > MOST_PROFILE_SEGMENTS:
-        raise ValueError(f"a profile for simulation has at most {MOST_PROFILE_SEGMENTS} segments")
-    got = profile.groupBy("doc", "seg", "tokens").pivot("feature").agg(F.first("n")).where("tokens > 0").orderBy("doc", "seg").toPandas().fillna(0)
-    names = [c for c in got.columns if c not in ("doc", "seg", "tokens")]
-    if got.empty:
-        return spark.createDataFrame([], "feature string, p05 double, p50 double, p95 double, sd double")
-    docs = list(got.groupby("doc", sort=True).indices.values())
-    run = partial(_replicas, docs=docs, tokens=got["tokens"].to_numpy(), counts=got[names].to_numpy(np.int64), names=names, target=target, seed=seed)
-    drawn = spark.range(replicas).mapInPandas(run, "replica long, feature string, rate double")
-    out = drawn.groupBy("feature").agg(band_linear(F.col("rate"), QUANTILES).alias("_q"), F.stddev_pop("rate").alias("sd"))
-    return out.select("feature", F.col("_q")[0].alias("p05"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p95"), "sd")
+    known = profile.where("tokens > 0 and doc is not null")
+    every = known.select("doc").distinct().orderBy("doc").rdd.map(lambda r: r[0]).cache()
+    n_docs = every.count()
+    if not n_docs or not lengths:
+        return spark.createDataFrame([], "words long, feature string, p05 double, p50 double, p95 double, sd double")
+    picked = [int(np.random.default_rng([seed, r]).integers(n_docs)) for r in range(replicas)]
+    wanted = set(picked)
+    doc_at = {i: doc for doc, i in every.zipWithIndex().filter(lambda x: x[1] in wanted).collect()}
+    every.unpersist()
+    names = sorted(r.feature for r in known.select("feature").distinct().collect())
+    plan = spark.createDataFrame([(r, doc_at[i]) for r, i in enumerate(picked)], f"replica long, doc {known.schema['doc'].dataType.simpleString()}")
+    own = known.join(F.broadcast(plan.select("doc").distinct()), "doc", "left_semi").select("doc", "seg", "tokens", "feature", "n")
+    draw = partial(_drawn, n_docs=n_docs, names=names, longest=max(lengths), seed=seed)
+    drawn = plan.groupBy("doc").cogroup(own.groupBy("doc")).applyInPandas(lambda a, b: draw(a, b), "feature string, replica long, tokens array<bigint>, counts array<bigint>")
+    return drawn.groupBy("feature").applyInPandas(lambda x: _bands_of(x, lengths), "words long, feature string, p05 double, p50 double, p95 double, sd double")
+
+
+def simulated_bands(profile: DataFrame, target: int, replicas: int = REPLICAS, seed: int = SEED) -> DataFrame:
+    """(feature, p05, p50, p95, sd): the ``length_bands`` of texts of ``target`` words."""
+    return length_bands(profile, [target], replicas, seed).drop("words")
 
 
 def chosen_bands(simulated: DataFrame | None, doc_bands: DataFrame, segment_bands: DataFrame | None, words: int) -> DataFrame:

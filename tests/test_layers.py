@@ -114,6 +114,35 @@ def test_simulated_bands_shrink_and_repeat(spark):
     assert long.sd < short.sd and long == again
 
 
+def test_simulation_over_a_profile_of_any_size(spark):
+    one = spark.range(2).selectExpr("id as doc", "0 as seg", "100 as tokens", "'f' as feature", "int(1 + id) as n")
+    many = spark.range(200_001).selectExpr("5L as doc", "int(id) as seg", "100 as tokens", "'f' as feature", "4 as n")
+    assert PR.simulated_bands(many, 250, 20).first().p50 == 40.0
+    got = {r.words: r for r in PR.length_bands(one, [50, 100, 101], 40).collect()}
+    assert {w: (r.p05, r.p95) for w, r in got.items()} == dict.fromkeys((50, 100, 101), (10.0, 20.0))
+
+
+def test_simulation_against_the_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(d, s, int(rng.integers(200, 400)), f, int(rng.integers(9))) for d in range(5) for s in range(1 + d) for f in "ab"]
+    rows = [(d, s, next(t for e, u, t, *_ in rows if (e, u) == (d, s)), f, n) for d, s, _, f, n in rows]
+    by_doc = [sorted({(s, t, *[n for e, u, _, _, n in rows if (e, u) == (d, s)]) for e, s, t, *_ in rows if e == d}) for d in range(5)]
+    df = spark.createDataFrame(rows, "doc long, seg int, tokens int, feature string, n int").repartition(3)
+    for target in (300, 2000):
+        rates = []
+        for r in range(50):
+            draw, held, total = np.random.default_rng([0, r]), 0, np.zeros(2)
+            mine = by_doc[draw.integers(5)]
+            while held < target:
+                _, tokens, *n = mine[draw.integers(len(mine))]
+                held, total = held + tokens, total + n
+            rates.append(1000 * total / held)
+        got = {r.feature: (r.p05, r.p50, r.p95, r.sd) for r in PR.simulated_bands(df, target, 50).collect()}
+        for k, f in enumerate("ab"):
+            x = np.array(rates)[:, k]
+            assert got[f] == pytest.approx((*np.quantile(x, (0.05, 0.5, 0.95)), x.std()))
+
+
 def test_deviation_needs_to_be_beyond_the_band(spark):
     f = spark.createDataFrame([(1, "f_46_downtoners", 5.0), (2, "f_46_downtoners", 5.5)], "doc_id long, feature string, rate double")
     b = spark.createDataFrame([("f_46_downtoners", 1.0, 3.0, 5.0, 0.5)], "feature string, p05 double, p50 double, p95 double, sd double")

@@ -12,16 +12,15 @@ from inkstone.operators import features, findings, heuristics, lexical, parse, p
 from inkstone.sources import files
 
 
-def layers(spark: SparkSession, docs: DataFrame, rules: DataFrame, known: dict | None, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def layers(spark: SparkSession, docs: DataFrame, rules: DataFrame, known: dict | None) -> tuple[DataFrame, DataFrame]:
     """(findings, metrics) of the layers that can run."""
     paras = parse.paragraphs(docs)
     found, metrics = heuristics.heuristics(paras, parse.sentences(paras))
     parts = [lexical.lexical(parse.lines(docs), rules), found]
     if known:
-        prose = parse.prose(paras)
-        mean = words.agg(F.avg("words")).first()[0] or 0
-        bands = profile.simulated_bands(known["segments"], max(1, int(mean)))
-        parts.append(profile.structural(features.counts(prose), profile.chosen_bands(bands, known["bands"], None, int(mean))))
+        counts = features.counts(parse.prose(paras))
+        bands = profile.length_bands(known["segments"], profile.lengths(counts))
+        parts.append(profile.structural(counts, profile.chosen_bands(bands, known["bands"], None, 0)))
         segments = features.counts(parse.segments(paras), ["doc_id", "seg_id", "words"])
         parts.append(profile.segment_findings(profile.segment_scan(segments, known["segments"].select("feature", "rate"))))
     return findings.union(*parts), metrics
@@ -29,13 +28,11 @@ def layers(spark: SparkSession, docs: DataFrame, rules: DataFrame, known: dict |
 
 def report(spark: SparkSession, args) -> int:
     docs = files.corpus(spark, *args.paths)
-    paras = parse.paragraphs(docs)
-    words = profile.admitted(paras).select("doc_id", "words")
     rules = lexical.built_in_rules(spark)
     if args.rules:
         rules = rules.unionByName(files.rules_from_yaml(spark, *args.rules))
     known = files.load_profile(spark, args.profiles, args.profile) if args.profile else None
-    found, metrics = layers(spark, docs, rules, known, words)
+    found, metrics = layers(spark, docs, rules, known)
     kept = findings.at_least(findings.merge(found), args.min_severity)
     out = findings.reports(kept, metrics.join(docs.select("doc_id", "path"), "doc_id"))
     if args.out:

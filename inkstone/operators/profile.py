@@ -69,11 +69,17 @@ def metric_bands(metrics: DataFrame, names: list[str]) -> DataFrame:
 def out_of_band(features: DataFrame, bands_: DataFrame) -> DataFrame:
     """(doc_id, feature, rate, side, sigma, key, severity) of features outside their band.
 
-    ``bands_`` has (feature, p05, p50, p95) and, from simulation, sd. Sigma is the distance from the median
+    ``bands_`` has (feature, p05, p50, p95) and, from simulation, sd and words: a band with words is for documents of
+    so many tokens, one without for all. Sigma is the distance from the median
     in sds or, without a spread, the distance beyond the edge in band widths.
     """
     b = bands_ if "sd" in bands_.columns else bands_.withColumn("sd", F.lit(None).cast("double"))
-    rows = features.join(b, "feature").where((F.col("rate") < F.col("p05")) | (F.col("rate") > F.col("p95")))
+    if "words" in b.columns:
+        own = features.join(b.where("words is not null").withColumnRenamed("words", "tokens"), ["feature", "tokens"])
+        rows = own.unionByName(features.join(b.where("words is null").drop("words"), "feature"))
+    else:
+        rows = features.join(b, "feature")
+    rows = rows.where((F.col("rate") < F.col("p05")) | (F.col("rate") > F.col("p95")))
     above = F.col("rate") > F.col("p95")
     edge = F.when(above, F.col("rate") - F.col("p95")).otherwise(F.col("p05") - F.col("rate"))
     width = F.greatest(F.col("p95") - F.col("p05"), F.lit(1e-9))
@@ -171,8 +177,8 @@ def _bands_of(drawn: pd.DataFrame, lengths: list[int]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["words", "feature", "p05", "p50", "p95", "sd"])
 
 
-def length_bands(profile: DataFrame, lengths: list[int], replicas: int = REPLICAS, seed: int = SEED) -> DataFrame:
-    """(words, feature, p05, p50, p95, sd): rates that texts of each of ``lengths`` words would have if the corpus had
+def length_bands(profile: DataFrame, at: list[int], replicas: int = REPLICAS, seed: int = SEED) -> DataFrame:
+    """(words, feature, p05, p50, p95, sd): rates that texts of each of ``at`` words would have if the corpus had
     written them.
 
     A replica picks a document of the profile (doc, seg, tokens, feature, n), then draws its segments with
@@ -183,7 +189,7 @@ def length_bands(profile: DataFrame, lengths: list[int], replicas: int = REPLICA
     known = profile.where("tokens > 0 and doc is not null")
     every = known.select("doc").distinct().orderBy("doc").rdd.map(lambda r: r[0]).cache()
     n_docs = every.count()
-    if not n_docs or not lengths:
+    if not n_docs or not at:
         return spark.createDataFrame([], "words long, feature string, p05 double, p50 double, p95 double, sd double")
     picked = [int(np.random.default_rng([seed, r]).integers(n_docs)) for r in range(replicas)]
     wanted = set(picked)
@@ -192,9 +198,14 @@ def length_bands(profile: DataFrame, lengths: list[int], replicas: int = REPLICA
     names = sorted(r.feature for r in known.select("feature").distinct().collect())
     plan = spark.createDataFrame([(r, doc_at[i]) for r, i in enumerate(picked)], f"replica long, doc {known.schema['doc'].dataType.simpleString()}")
     own = known.join(F.broadcast(plan.select("doc").distinct()), "doc", "left_semi").select("doc", "seg", "tokens", "feature", "n")
-    draw = partial(_drawn, n_docs=n_docs, names=names, longest=max(lengths), seed=seed)
+    draw = partial(_drawn, n_docs=n_docs, names=names, longest=max(at), seed=seed)
     drawn = plan.groupBy("doc").cogroup(own.groupBy("doc")).applyInPandas(lambda a, b: draw(a, b), "feature string, replica long, tokens array<bigint>, counts array<bigint>")
-    return drawn.groupBy("feature").applyInPandas(lambda x: _bands_of(x, lengths), "words long, feature string, p05 double, p50 double, p95 double, sd double")
+    return drawn.groupBy("feature").applyInPandas(lambda x: _bands_of(x, at), "words long, feature string, p05 double, p50 double, p95 double, sd double")
+
+
+def lengths(features: DataFrame) -> list[int]:
+    """The different lengths of documents in words, which are far fewer than documents."""
+    return sorted(r.tokens for r in features.select("tokens").distinct().collect())
 
 
 def simulated_bands(profile: DataFrame, target: int, replicas: int = REPLICAS, seed: int = SEED) -> DataFrame:

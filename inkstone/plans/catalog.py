@@ -202,8 +202,9 @@ def simulated(spark, sf) -> DataFrame:
 
 
 def structural(spark, sf) -> DataFrame:
-    """Deviations from simulated bands as findings."""
-    return shown(PR.structural(feature_counts(spark, sf), simulated(spark, sf)))
+    """Deviations from the bands simulated for each document's own length as findings."""
+    counts = feature_counts(spark, sf)
+    return shown(PR.structural(counts, PR.length_bands(profile_segments(spark, sf), PR.lengths(counts))))
 
 
 def scan(spark, sf) -> DataFrame:

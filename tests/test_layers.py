@@ -143,6 +143,13 @@ def test_simulation_against_the_plain_loop(spark):
             assert got[f] == pytest.approx((*np.quantile(x, (0.05, 0.5, 0.95)), x.std()))
 
 
+def test_each_document_has_the_bands_of_its_length(spark):
+    profile = spark.createDataFrame([(d, s, 100, "f", s % 2) for d in range(4) for s in range(20)], "doc long, seg int, tokens int, feature string, n int")
+    docs = spark.createDataFrame([(1, "f", 1, 100, 9.0), (2, "f", 180, 20_000, 9.0)], "doc_id long, feature string, n int, tokens int, rate double")
+    sims = PR.chosen_bands(PR.length_bands(profile, PR.lengths(docs), 300), spark.createDataFrame([], "feature string, p05 double, p50 double, p95 double"), None, 0)
+    assert [r.doc_id for r in PR.out_of_band(docs, sims).collect()] == [2]
+
+
 def test_deviation_needs_to_be_beyond_the_band(spark):
     f = spark.createDataFrame([(1, "f_46_downtoners", 5.0), (2, "f_46_downtoners", 5.5)], "doc_id long, feature string, rate double")
     b = spark.createDataFrame([("f_46_downtoners", 1.0, 3.0, 5.0, 0.5)], "feature string, p05 double, p50 double, p95 double, sd double")

@@ -163,8 +163,9 @@ def _by_keyword() -> tuple[tuple[bytes, tuple[tuple[int, Rule, re.Pattern], ...]
     return tuple((k.encode(), tuple(v)) for k, v in found.items())
 
 
-#: "under" alone is a common word; its rules also need one of these.
-GRANTS = (b"licen", b"released under", b"distributed under", b"available under", b"provided under", b"published under", b"covered under")
+#: "under" alone is a common word; its rules also need one of these, and then a grant in the joined words.
+GRANTS = (b"licen", b"released", b"distributed", b"available", b"provided", b"published", b"covered")
+GRANT = re.compile(r"(?<= )(?:licen[sc]ed|released|distributed|available|provided|published|covered) under ")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORDS = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -195,6 +196,8 @@ def scan(text: str | bytes | None) -> list[Detection]:
         return []
     words = WORDS.findall(lowered.decode("utf-8", "replace"))
     joined = f" {' '.join(words)} "
+    if not GRANT.search(joined):
+        found = [f for f in found if f[1].keyword != "under"]
     at = [0] * (len(joined) + 1)  # word that starts at a character
     k = 0
     for i, w in enumerate(words):

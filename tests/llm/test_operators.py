@@ -56,6 +56,14 @@ def test_license_base_rules_against_brute_force(spark):
         assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
 
 
+def test_grants_over_line_breaks_and_markup():
+    labels = lambda t: license_scan.summary(license_scan.scan(t))[4]
+    for text in ("Distributed\nunder the Apache 2.0", "released **under** GPL 3", "available  under the terms of the Apache 2.0"):
+        assert labels(text) and labels(text) == labels(" ".join(re.findall(r"\w+", text))), text
+    every = [r for r in license_scan.rules() if r.keyword == "under"]
+    assert all(r.pattern.startswith(license_scan.LEAD) for r in every)
+
+
 def test_license_suppression(spark):
     assert len(license_scan.rules()) > 250
     hits = license_scan.scan("Licensed under the Apache License, Version 2.0 (c) all rights reserved")

@@ -349,6 +349,45 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert [got[0][k][0] for k in range(1, 6)] == [100, 101, 102, 103, 104]
 
 
+def plain_nearest(x, ids, q, top=5):
+    y = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    s = (y * y[q]).sum(1) / np.sqrt((y * y).sum(1) * (y[q] * y[q]).sum())
+    return sorted((-s[i], ids[i]) for i in range(len(x)) if i != q)[:top]
+
+
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(17)
+    x = np.concatenate([rng.normal(size=(59, 4)), [[1e-200, 1e-200, 0, 0], [1e200, 1e200, 0, 0], [5e-324, 0, 0, 0], [1.7e308, -1.7e308, 1.7e308, 1.0]]])
+    ids = [*range(59), 450, 500, 550, 600]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, label int")
+    got = {}
+    for r in ann.nearest(df, share=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert sorted(got) == [0, 50, 450, 500, 550, 600]
+    for q, hits in got.items():
+        want = plain_nearest(x, ids, ids.index(q))
+        assert [i for _, i in hits] == [i for _, i in want] and np.allclose([s for s, _ in hits], [s for s, _ in want], rtol=0, atol=1e-12)
+
+
+def test_the_share_follows_the_structure():
+    rng = np.random.default_rng(18)
+    centers = rng.normal(size=(40, 32))
+    clustered = centers[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 32))
+    loose, tight = ann.fitted(rng.normal(size=(4000, 32))), ann.fitted(clustered)
+    assert tight.share < 0.1 < loose.share < 0.6
+
+
+def test_blocks_hold_all_cells():
+    rng = np.random.default_rng(19)
+    counts = rng.integers(0, 30, 200)
+    counts[7] = 1000
+    blocks = ann.Blocks.of(counts, 64)
+    load = np.zeros(int((blocks.first + blocks.n_sub).max()))
+    for c in np.flatnonzero(counts):
+        load[blocks.first[c] : blocks.first[c] + blocks.n_sub[c]] += counts[c] / blocks.n_sub[c]
+    assert load.sum() == pytest.approx(counts.sum()) and load.max() <= 64 and (load > 0).all()
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [2.0, 1.0], 0), (50, [1.0, 2.0, 3.0], 0)], "vec_id long, embedding array<float>, label int")
     assert [(r.query_id, r.vec_id) for r in ann.nearest(df).collect()] == [(0, 1)]

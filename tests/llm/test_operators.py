@@ -309,17 +309,55 @@ def test_toxicity_learns_and_scores():
     rng.shuffle(rows)
     model = toxicity.learn(rows)
     s = toxicity.Symbols(model)
-    assert s.score(b"a river snorkfoox walks") >= toxicity.THRESHOLD and s.score(b"a river stone walks") == 0.0 and s.score(b"") == 0.0
+    assert s.score(b"a river snorkfoox walks") >= toxicity.THRESHOLD and s.score(b"a river stone walks") < 0.1 and 0 < s.score(b"") < 0.1
 
 
-def test_grammar_marks_scopes():
-    g = toxicity.grammar()
-    kinds = lambda s: [k for k, _ in g.run(s) if k[0] in "IH"]
-    assert kinds("TOI") == ["I@"] and kinds("OI") == ["I"] and kinds("TNOI") == ["I-@"] and kinds("NOOOI") == ["I"]
-    assert kinds("ROI") == ['I"'] and kinds("RO.I") == ["I"] and kinds("T,I") == ["I"] and kinds("TH") == ["H@"]
+def test_grammar_gives_clauses():
+    assert [m.__name__ for m in toxicity.MACHINES] == ["insult_machine", "threat_machine", "negation_machine", "report_machine", "target_machine"]
+    ends = lambda s: [g for x, (g, _) in zip(s, toxicity.grammar().run(s), strict=True) if x in ",."]
+    assert ends("TOi.") == ["I@"] and ends("iT.") == ["I@"] and ends("Oi.") == ["I"] and ends("TNOi.") == ["I-@"] and ends("NOOOi.") == ["I"]
+    assert ends("ROi.") == ['I"'] and ends("RO.i.") == [".", "I"] and ends("RO,i.") == [",", 'I"'] and ends("T,i.") == [",", "I"]
+    assert ends("wOhT.") == ["H@"] and ends("hT.") == ["V@"] and ends("wNh.") == ["H-"] and ends("iOi,i.") == ["J", "I"] and ends("Nih.") == ["I-"]
     seeds = toxicity.Symbols(toxicity.learn([]))
-    assert seeds.score(b"you are an idiot") > seeds.score(b"you are not an idiot") > 0
-    assert seeds.score(b"you are an idiot") > seeds.score(b"she said you are an idiot")
+    assert seeds.score(b"you are an idiot") >= toxicity.THRESHOLD > seeds.score(b"you are not an idiot") > seeds.score(b"you are here")
+    assert seeds.score(b"you are an idiot") > seeds.score(b"an idiot") > seeds.score(b"she said you are an idiot")
+    assert seeds.score(b"i will kill you") >= toxicity.THRESHOLD > seeds.score(b"to kill time")
+
+
+def test_the_composed_machine_is_its_parts():
+    rng = random.Random(20)
+    for _ in range(200):
+        tape = rng.choices(toxicity.BASE, k=rng.randint(1, 30))
+        want = tape
+        for machine in toxicity.MACHINES:
+            want = [g for g, _ in machine().run(want)]
+        assert [g for g, _ in toxicity.grammar().run(tape)] == want
+
+
+def test_clause_weights_decide_on_rows_held_out():
+    """Insults that are reported or negated are clean here, and aimed ones toxic: words alone can't tell."""
+    rng = random.Random(21)
+    filler = lambda: " ".join(rng.choices("the river walks slowly past a stone house and old trees".split(), k=rng.randint(3, 20)))
+    toxic = lambda: rng.choice(["you are such a snorkler", "he is a snorkler", "you pathetic snorkler"])
+    clean = lambda: rng.choice(["never a snorkler", "she said a snorkler walks", "not one snorkler"])
+    rows = [(f"{filler()}. {toxic()}. {filler()}", 1) for _ in range(400)] + [(f"{filler()}. {clean()}. {filler()}", 0) for _ in range(120)]
+    rows += [(filler(), 0) for _ in range(600)]
+    rng.shuffle(rows)
+    train, held = rows[:700], rows[700:]
+    model = toxicity.learn(train)
+    flat = toxicity.Model(model.chance, dict.fromkeys(toxicity.KINDS, max(model.kinds.values())), model.hints, model.bias, model.hint_weight)
+    right = lambda m: sum((toxicity.Symbols(m).score(t.encode()) >= toxicity.THRESHOLD) == bool(y) for t, y in held) / len(held)
+    assert right(model) > 0.98 and right(flat) < 0.95
+
+
+def test_weights_against_a_plain_descent():
+    rng = np.random.default_rng(22)
+    x = np.concatenate([np.ones((300, 1)), rng.normal(size=(300, 3))], 1)
+    y = (rng.random(300) < 1 / (1 + np.exp(-x @ [-1, 2, 0, -1]))).astype(float)
+    lean, w = np.array([0.0, 1, 1, 1]), np.zeros(4)
+    for _ in range(20_000):
+        w += 0.005 * (x.T @ (y - 1 / (1 + np.exp(-x @ w))) - toxicity.RIDGE * (w - lean))
+    assert np.allclose(toxicity.weighed(x, y, lean), w, atol=1e-6)
 
 
 # 7
@@ -586,7 +624,7 @@ def test_odd_rows(spark, odd):
     got = {k: df.collect() for k, df in everything(spark, odd).items()}
     for k in ("licences", "repeats", "cut", "plan", "language", "toxic", "clean", "simhash", "unleaked", "quality"):
         assert len(got[k]) == len(ODD), k
-    assert {r.lang_pred for r in got["language"]} == {"und"} and all(r.score == 0 for r in got["toxic"])
+    assert {r.lang_pred for r in got["language"]} == {"und"} and all(0 < r.score < toxicity.THRESHOLD for r in got["toxic"])
     assert set(got["cut"][0].asDict()) == set(odd.columns) == set(got["first"][0].asDict()) == set(got["mix"][0].asDict())
     zero = {r.doc_id: r for r in got["simhash"]}
     assert zero[1].fingerprint == "0" * 16 and zero[2].component_id == 1

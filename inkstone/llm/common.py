@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# workers live on between tasks: memory that a batch has used goes back to the system, not to a pool
-pa.set_memory_pool(pa.system_memory_pool())
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of its own only where none is named, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; one of its own only on a local master where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkstone-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -44,11 +45,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 #: Bytes of a batch that Spark hands to Python, so that a worker's memory doesn't follow the length of texts.
 BATCH_BYTES = "8m"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _worker(batches: Iterator[pa.RecordBatch], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``fn`` in a worker, which lives on between tasks: memory that a task has used goes back to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        yield from fn(batches)
+    finally:
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(fn, schema)
+    """``df.mapInArrow`` in batches of at most BATCH_BYTES, unless the session has a bound of its own."""
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, BATCH_BYTES)
+    return df.mapInArrow(partial(_worker, fn=fn), schema)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column in ``taken`` has it in any case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -95,21 +119,43 @@ def word_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, most: int) -> list[tuple[str, int]]:
-    """At most ``most`` (text, label) rows of the folds that may be learnt from.
+#: Bytes of text that a training sample brings to the driver at most.
+SAMPLE_BYTES = 64 << 20
+
 
-    The rows are those first in the order of a hash of doc_id, so the sample has a fixed bound at any
-    size of the tables and is the same in each run. Null texts count as empty.
+def collected(rows: DataFrame, most_bytes: int = SAMPLE_BYTES) -> list:
+    """Rows (doc_id, text, ...), in order of the CRC-32 of doc_id, as long as their texts fit in ``most_bytes``.
+
+    A text that doesn't fit is left out as a whole, and the next ones are tried.
+    """
+    rows = checkpointed(rows)
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n")).collect()
+    left, wanted = most_bytes, []
+    for doc_id, n in sorted(sizes, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0])):
+        if n <= left:
+            left -= n
+            wanted.append(doc_id)
+    if len(wanted) < len(sizes):
+        ids = rows.sparkSession.createDataFrame([(i,) for i in wanted], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}")
+        rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    return sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, most: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most ``most`` (text, label) rows of the folds that may be learnt from, in whole texts of ``most_bytes`` at most.
+
+    The rows are those first in the order of a hash of doc_id, so the sample has a fixed bound at any size of the
+    tables and is the same in each run. An id is one row before anything is collected: of several texts it has the
+    smallest, of several labels the largest; a label other than 0 and 1 or null is none. Null texts count as empty.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_mod("doc_id", folds) != left_out))
         .groupBy("doc_id").agg(F.max(label).alias("_y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_y").toPandas()
-    got = got.sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id")
-    got = sorted(zip(got["doc_id"], got["text"], got["_y"], strict=True), key=lambda r: zlib.crc32(str(r[0]).encode()))
-    return [(t or "", int(y)) for _, t, y in got]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    got = collected(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y")), most_bytes)
+    return [(r.text, int(r["_y"])) for r in got]
 
 
 def without_copies(sample: list[tuple[str, int]], words: int = 5, size: int = 6, same: int = 4) -> list[tuple[str, int]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import arrow_map, crc_mod, table, utf8_view
+from inkstone.llm.common import SAMPLE_BYTES, arrow_map, collected, crc_mod, table, utf8_view
 
 DIM_BITS = 18
 DIM = 1 << DIM_BITS
@@ -233,14 +233,17 @@ def identify(docs: DataFrame, model: Crf | None, held_out: Column | None = None)
     return arrow_map(docs.select("doc_id", (F.lit(False) if held_out is None else held_out).alias("held_out"), "text"), partial(_predict, model=model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def fitted(docs: DataFrame) -> Crf | None:
-    """A model of at most SAMPLE texts, those first in the order of a hash of doc_id, of the folds other than 2."""
+def fitted(docs: DataFrame, most_bytes: int = SAMPLE_BYTES) -> Crf | None:
+    """A model of at most SAMPLE texts, those first in the order of a hash of doc_id, of the folds other than 2.
+
+    An id is one row, with its smallest text, before anything is collected; the texts have ``most_bytes`` at most.
+    """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2))
     order = F.xxhash64("doc_id")
     ids = known.select("doc_id").distinct().orderBy(order, "doc_id").limit(SAMPLE)
-    got = known.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").toPandas()
-    got = got.sort_values(["doc_id", "text", "lang"]).drop_duplicates("doc_id")
-    return train(list(zip(got["text"], got["lang"], strict=True)))
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("_x"))
+    got = collected(rows.select("doc_id", "_x.text", "_x.lang"), most_bytes)
+    return train([(r.text, r.lang) for r in got])
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

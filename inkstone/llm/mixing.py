@@ -6,7 +6,7 @@ is below the rate's fraction.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null
 doc_id draws as the empty id; rows that repeat a doc_id draw alike; an empty table gives no rows;
-a source of size 0 gets target 0 and rate 0; columns of other names pass through ``mix``.
+a source of size 0 gets target 0 and rate 0; columns of any other names pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.llm.common import checkpointed
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -21,71 +23,97 @@ SEED = "mix-1"
 #: Largest number of sources whose rates are broadcast; more go through a join on salted keys.
 BROADCAST_SOURCES = 50_000
 SALTS = 32
+#: Ranges that many sources are ordered in, and rows of the sample for each.
+SPLITS, SPLIT = 256, 16
 
 
 def text_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """(source, source_size, target): one row for each source.
+def in_order(per: DataFrame, by: str, sums: dict[str, str]) -> DataFrame:
+    """``per`` with running sums over the rows before each, in order of ``by`` and source (nulls last).
+
+    The order is cut at every SPLIT-th of a bounded sample of rows; sums are formed within each range and lifted by
+    the totals of the ranges before it, so that no task orders all rows.
+    """
+    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    key = key if by == "source" else F.struct(F.col(by).alias("first"), key.alias("then"))
+    per = per.withColumn("at", key)
+    some = per.select("at").orderBy(F.xxhash64("at"), "at").limit(SPLITS * SPLIT)
+    cuts = some.agg(F.sort_array(F.collect_list("at")).alias("all")).select(F.expr(f"filter(all, (x, i) -> i % {SPLIT} = 0)").alias("cuts"))
+    per = per.crossJoin(F.broadcast(cuts)).withColumn("part", F.expr("size(filter(cuts, x -> x <= at))")).drop("cuts")
+    totals = per.groupBy("part").agg(*[F.sum(c).alias(f"all_{n}") for n, c in sums.items()])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most SPLITS + 1 rows
+    totals = totals.select("part", *[F.coalesce(F.sum(f"all_{n}").over(before), F.lit(0)).alias(f"lift_{n}") for n in sums])
+    within = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.join(F.broadcast(totals), "part")
+    per = per.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"lift_{n}") for n, c in sums.items()})
+    return per.drop("at", "part", *[f"lift_{n}" for n in sums])
+
+
+def targets_of(per: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """(source, source_size, target) of (source, source_size), one row for each source.
 
     A source is capped at max_repeat times its size; what is above a cap is shared anew by weight.
     That ends at a level L with target = min(cap, L * weight) and the targets adding up to all sizes.
     With the sources in order of cap / weight, those before the first that reaches
     (all - caps before) / (all weights - weights before) are capped and that quotient is L.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("_w", weight.cast("long")).withColumn("_cap", F.col("source_size") * max_repeat)
-    ratio = F.col("_cap").cast("double") / F.col("_w").cast("double")
-    before = Window.orderBy("_ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    per = per.withColumn("_ratio", ratio)
-    per = per.withColumn("_left", F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
-    per = per.withColumn("_wleft", F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
-    per = per.withColumn("_level", F.col("_left").cast("double") / F.col("_wleft").cast("double"))
-    level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "source", "_level"))).over(everything)["_level"]
-    per = per.withColumn("_l", level)
-    target = F.least(F.col("_cap").cast("double"), F.col("_l") * F.col("_w").cast("double"))
+    per = in_order(per.withColumn("one", F.lit(1).cast("long")), "source", {"place": "one"})
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    per = per.withColumn("w", weight.cast("long")).withColumn("cap", F.col("source_size") * max_repeat)
+    per = in_order(per.withColumn("ratio", F.col("cap").cast("double") / F.col("w").cast("double")), "ratio", {"caps": "cap", "ws": "w"})
+    everything = F.broadcast(per.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w")))
+    level = (F.col("all_size") - F.col("caps")).cast("double") / (F.col("all_w") - F.col("ws")).cast("double")
+    per = per.crossJoin(everything).withColumn("level", level)
+    first = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", F.col("source").isNull().alias("none"), "source", "level")))
+    per = per.crossJoin(F.broadcast(per.agg(first["level"].alias("l"))))
+    target = F.least(F.col("cap").cast("double"), F.col("l") * F.col("w").cast("double"))
     return per.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """(source, source_size, target) of rows (source, size)."""
+    return targets_of(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
+
+
 def draw(doc_id: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) from the first 32 bits of an MD5 of the seed and the id."""
     hexed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
     return F.conv(F.substring(hexed, 1, 8), 16, 10).cast("long").cast("double") / F.lit(4294967296.0)
 
 
-def mixing_plan(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """The kept columns with size, source_size, target and copies for each row of ``docs``."""
+def _planned(docs: DataFrame, keep: Column, weights: tuple[int, ...], max_repeat: int, seed: str) -> DataFrame:
+    """(row, size, source_size, target, copies) for each row of ``docs``; what is kept of it is one struct, so that
+    no name of its columns can clash with those used here."""
     spark = docs.sparkSession
-    sized = docs.select(*dict.fromkeys([*keep, "doc_id", "source"]), text_size(F.col("text")).alias("size"))
-    targets = source_targets(docs.select("source", text_size(F.col("text")).alias("size")), weights, max_repeat)
-    targets = targets.withColumnRenamed("source", "_source")
-    few = targets.limit(BROADCAST_SOURCES + 1).collect()
+    sized = docs.select(keep.alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), text_size(F.col("text")).alias("size"))
+    per = checkpointed(docs.select("source", text_size(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
+    few = per.limit(BROADCAST_SOURCES + 1).collect()
     if len(few) <= BROADCAST_SOURCES:
-        known = spark.createDataFrame(few, targets.schema)
-        joined = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source")), "left")
+        targets = targets_of(spark.createDataFrame(few, per.schema).coalesce(1), weights, max_repeat).withColumnRenamed("source", "known")
+        joined = sized.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("known")), "left")
     else:
-        salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        sized = sized.withColumn("_pick", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = sized.join(salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_pick") == F.col("_salt")), "left").drop("_salt", "_pick")
+        targets = targets_of(per, weights, max_repeat).withColumnRenamed("source", "known")
+        salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sized = sized.withColumn("pick", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        joined = sized.join(salted, F.col("source").eqNullSafe(F.col("known")) & (F.col("pick") == F.col("salt")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
-    whole = F.floor(F.col("_rate"))
-    copies = whole + F.when(draw(F.col("doc_id"), seed) < F.col("_rate") - whole, 1).otherwise(0)
-    return joined.drop("_source").withColumn("_rate", rate).withColumn("copies", copies.cast("long")).drop("_rate")
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; columns and their order stay."""
-    names = docs.columns
-    if clash := {"size", "source_size", "target", "copies"} & set(names):
-        docs = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    plan = mixing_plan(docs, docs.columns, **options).where("copies > 0")
-    plan = plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return plan.select(*[F.col(f"_own_{c}" if c in clash else c).alias(c) for c in names])
+    whole = F.floor(F.col("rate"))
+    copies = whole + F.when(draw(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    return joined.withColumn("rate", rate).select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def mixing_plan(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """The kept columns with size, source_size, target and copies for each row of ``docs``."""
+    return _planned(docs, F.struct(*keep), weights, max_repeat, seed).select("row.*", "size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; columns, whatever their names, and their order stay."""
+    plan = _planned(docs, F.struct("*"), weights, max_repeat, seed).where("copies > 0")
+    return plan.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ strings that are equal always meet:
 1. Each window of MIN bytes picks an anchor, the leftmost of its GRAM-byte grams with the least hash.
    Equal windows pick equal grams at equal offsets. Windows in a row with one anchor make a context.
 2. Contexts meet by the hash of their gram. Those that occur but once go. Of contexts that are equal as a
-   whole the first stays and the others are repeats, told in each batch of documents before the shuffle,
+   whole, which two independent hashes of 64 bits tell, the first stays and the others are repeats, told in each batch of documents before the shuffle,
    so that a passage held by a third of all documents is dealt a row for each batch.
 3. Contexts of one gram that differ are fetched as text and their suffixes sorted, by doubling up to MIN
    bytes, in blocks of whole grams; previous smaller positions mark what is repeated. A gram with more
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import arrow_map, checkpointed, table, utf8_view
+from inkstone.llm.common import arrow_map, checkpointed, fresh, table, utf8_view
 
 MIN, GRAM = 100, 32
 SPAN = MIN - GRAM + 1  # grams in a window
@@ -48,14 +48,18 @@ U = np.uint64
 MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 
 
+#: Odd bases of the two hashes of a string; the first also hashes grams.
+BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
+
+
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2 ** 64, those of its inverse, and a random value for each byte."""
-    base = 0x5851F42D4C957F2D
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of a base modulo 2 ** 64, those of its inverse, and a random value for each byte."""
+    base = BASES[which]
     inverse = pow(base, -1, 1 << 64)
     up, down = np.full(n, base, U), np.full(n, inverse, U)
     up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down), np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+    return np.cumprod(up), np.cumprod(down), np.random.default_rng([7, which]).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -64,12 +68,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, key, ctx, first window, anchor - first, last - first) of all contexts of the texts in ``data``."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, U, U, np.int64, np.int64, np.int64))
+    """(text, key, ctx, check, first window, anchor - first, last - first) of all contexts of the texts in ``data``.
+
+    key hashes the gram, ctx and check the whole context, each with a base and byte values of its own.
+    """
+    none = tuple(np.zeros(0, t) for t in (np.int64, U, U, U, np.int64, np.int64, np.int64))
     n = len(data)
     if n < MIN:
         return none
-    up, down, value = _powers(1 << max(16, int(n).bit_length()))
+    up, down, value = _powers(1 << max(16, int(n).bit_length()), 0)
     prefix = np.zeros(n + 1, U)
     np.cumsum(value[data] * up[:n], out=prefix[1:])
     grams = _mixed((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
@@ -96,8 +103,11 @@ def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     anchor = at[first].astype(np.int64)
     ctx = _mixed((prefix[last + MIN] - prefix[first]) * down[first])
     ctx = (ctx ^ ((anchor - first).astype(U) << U(8)) ^ (last - first).astype(U)) * MIX2
+    up, down, value = _powers(1 << max(16, int(n).bit_length()), 1)
+    np.cumsum(value[data] * up[:n], out=prefix[1:])
+    check = _mixed((prefix[last + MIN] - prefix[first]) * down[first])
     text = np.searchsorted(off, first, side="right") - 1
-    return text, grams[anchor], ctx, first - off[text], anchor - first, last - first
+    return text, grams[anchor], ctx, check, first - off[text], anchor - first, last - first
 
 
 def pieces(off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -118,8 +128,8 @@ def _in_slices(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray,
         owner, start = np.array([h[0] for h in held]), np.array([h[3] for h in held])
         joined = np.concatenate([data[h[1] : h[2]] for h in held])
         ends = np.concatenate([[0], np.cumsum([h[2] - h[1] for h in held])])
-        text, key, ctx, first, to_anchor, extent = contexts(joined, ends)
-        return owner[text], key, ctx, first + start[text], to_anchor, extent
+        text, key, ctx, check, first, to_anchor, extent = contexts(joined, ends)
+        return owner[text], key, ctx, check, first + start[text], to_anchor, extent
 
     for piece in pieces(off):
         held.append(piece)
@@ -131,6 +141,9 @@ def _in_slices(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield work()
 
 
+ANCHORS = "key long, ctx long, check long, doc long, packed long"
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each different context of a batch at its first place; its other places are repeats already.
 
@@ -142,18 +155,18 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(_in_slices(data, off))
         if not got:
             continue
-        text, key, ctx, first, to_anchor, extent = (np.concatenate(x) for x in zip(*got, strict=True))
+        text, key, ctx, check, first, to_anchor, extent = (np.concatenate(x) for x in zip(*got, strict=True))
         doc = ids[text]
-        order = np.lexsort((first, doc, ctx, key))
-        text, key, ctx, first, to_anchor, extent, doc = (x[order] for x in (text, key, ctx, first, to_anchor, extent, doc))
-        same = np.r_[False, (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])]
+        order = np.lexsort((first, doc, check, ctx, key))
+        text, key, ctx, check, first, to_anchor, extent, doc = (x[order] for x in (text, key, ctx, check, first, to_anchor, extent, doc))
+        same = np.r_[False, (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & (check[1:] == check[:-1])]
         place = same & np.r_[False, (doc[1:] == doc[:-1]) & (first[1:] == first[:-1])]  # a row given twice
         rep_doc, rep_from, rep_to = merged(doc[same & ~place], first[same & ~place], (first + extent)[same & ~place] + MIN)
         packed = (first << 16) | (to_anchor << 8) | extent
         fresh = ~same
-        columns = [key[fresh].view(np.int64), ctx[fresh].view(np.int64), doc[fresh], packed[fresh]]
-        more = [_mixed(rep_doc.astype(U) * MIX2 + MIX1).view(np.int64), rep_to, rep_doc, (rep_from << 16) | (REPEAT << 8)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(columns, more, strict=True)], ["key", "ctx", "doc", "packed"])
+        columns = [key[fresh].view(np.int64), ctx[fresh].view(np.int64), check[fresh].view(np.int64), doc[fresh], packed[fresh]]
+        more = [_mixed(rep_doc.astype(U) * MIX2 + MIX1).view(np.int64), rep_to, np.zeros_like(rep_to), rep_doc, (rep_from << 16) | (REPEAT << 8)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(columns, more, strict=True)], ANCHORS.replace(" long", "").split(", "))
 
 
 def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +193,7 @@ class Resolver:
     of a key's different contexts until the key ends: one alone is of no use, more are to be compared."""
 
     def __init__(self, cap: int):
-        self.cap, self.key, self.ctx, self.place, self.held, self.hot = cap, None, None, (None, None), [], False
+        self.cap, self.key, self.ctx, self.place, self.held, self.hot = cap, None, (None, None), (None, None), [], False
 
     def release(self) -> list[np.ndarray]:
         out = []
@@ -190,13 +203,14 @@ class Resolver:
         self.held = []
         return out
 
-    def take(self, key, ctx, doc, packed) -> Iterator[tuple]:
+    def take(self, key, ctx, check, doc, packed) -> Iterator[tuple]:
         flag = ((packed >> 8) & 255) == REPEAT
         yield doc[flag], np.zeros(flag.sum(), np.int64), packed[flag] >> 16, ctx[flag], key[flag]
-        key, ctx, doc, packed = (x[~flag] for x in (key, ctx, doc, packed))
+        key, ctx, check, doc, packed = (x[~flag] for x in (key, ctx, check, doc, packed))
         if not len(key):
             return
-        same = np.r_[(key[0] == self.key) and (ctx[0] == self.ctx), (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])]
+        same = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & (check[1:] == check[:-1])
+        same = np.r_[(key[0] == self.key) and (ctx[0], check[0]) == self.ctx, same]
         first = packed >> 16
         # the first place of each row's context, -1 for one of an earlier batch; a row given twice is no repeat of itself
         at = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
@@ -205,7 +219,7 @@ class Resolver:
             of_doc[at < 0], of_first[at < 0] = self.place
         again = same & ((doc != of_doc) | (first != of_first))
         yield doc[again], np.zeros(again.sum(), np.int64), first[again], (first + (packed & 255) + MIN)[again], key[again]
-        self.ctx, self.place = ctx[-1], (of_doc[-1], of_first[-1])
+        self.ctx, self.place = (ctx[-1], check[-1]), (of_doc[-1], of_first[-1])
         key, doc, packed = key[~same], doc[~same], packed[~same]
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         if len(edge):
@@ -239,7 +253,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordB
         [pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), *[pa.array(r) for r in rows[2:]]], ["doc", "kind", "a", "b", "key"]
     )
     for batch in batches:
-        for rows in state.take(*[batch.column(c).to_numpy() for c in range(4)]):
+        for rows in state.take(*[batch.column(c).to_numpy() for c in range(5)]):
             if len(rows[0]):
                 yield pack(rows)
     for rows in state.release():
@@ -370,8 +384,8 @@ def document() -> Column:
 def repeated_spans(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """(doc, spans): for each document with repeats, the intervals [a, b) of its bytes that are to go."""
     texts = docs.select(document().alias("doc"), "text")
-    anchors = arrow_map(texts, _anchors, "key long, ctx long, doc long, packed long")
-    anchors = anchors.repartition("key").sortWithinPartitions("key", "ctx", "doc", "packed")
+    anchors = arrow_map(texts, _anchors, ANCHORS)
+    anchors = anchors.repartition("key").sortWithinPartitions("key", "ctx", "check", "doc", "packed")
     resolved = checkpointed(arrow_map(anchors, partial(_resolve, cap=cap), RESOLVED))
 
     def fetched(kind: int) -> DataFrame:
@@ -415,14 +429,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _with_spans(docs: DataFrame, columns: list[str], cap: int = CAP) -> DataFrame:
-    found = repeated_spans(docs, cap).withColumnsRenamed({"doc": "_doc", "spans": "_spans"})
-    return docs.join(found, document() == F.col("_doc"), "left").select(*columns, "_spans")
+def _with_spans(docs: DataFrame, cap: int = CAP) -> DataFrame:
+    """Each row of ``docs`` and, after its columns, the spans that go from its text. The row is one struct in the
+    join, so that no name of its columns can clash with those used here."""
+    rows = docs.select(document().alias("id"), F.struct("*").alias("row"))
+    joined = rows.join(repeated_spans(docs, cap), F.col("id") == F.col("doc"), "left")
+    return joined.select("row.*", F.col("spans").alias(fresh("spans", docs.columns)))
 
 
 def digests(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    rows = _with_spans(docs.select("doc_id", "text"), ["doc_id", "text"], cap)
-    return arrow_map(rows, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_map(_with_spans(docs.select("doc_id", "text"), cap), _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
@@ -447,7 +463,7 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; other columns and all rows stay."""
     names = docs.columns
-    return arrow_map(_with_spans(docs, names), partial(_cut, at=names.index("text")), docs.schema)
+    return arrow_map(_with_spans(docs), partial(_cut, at=names.index("text")), docs.schema)
 
 
 def op3_repeats(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Operator 8: SimHash near duplicates by a byte-position inverted index with count filtering.
 
 A text's fingerprint has a bit set where it is set in over half the hashes of its word shingles. Two
-fingerprints of n bytes that differ in at most d bits share at least n - d bytes in their positions,
-so a pair is retained where its tally of shared positional bytes reaches that minimum, and verified
-by its differing bits.
+fingerprints of n bytes that differ in at most d bits share at least n - d bytes in their positions.
 
-The index is over sets of byte positions: a pair reaches a tally of m just where it meets in the
-posting list of some m positions, so with all sets of m positions (28 for 8 bytes and d = 2) no pair
-is missed. Such a list has at most 256 ** (n - m) different fingerprints, whatever the corpus. Copies are
-one entry; a list gives the links of a spanning forest of its close pairs, not all pairs.
+One posting list for each position and byte would hold a share of the corpus, so the index is dealt out first: the
+positions are cut into d + 2 chunks, of which such a pair shares two whole ones, and there is a part of the index for
+each pair of chunks and their bytes. In a part, every other position has its posting lists by byte. A fingerprint's
+lists are gone through together; they tally, for each other one, the positional bytes that the two share. Pairs whose
+tally, with the bytes of the part, reaches n - d are retained and verified by their differing bits. A part with
+more than PART fingerprints is dealt out once more, by all sets of n - d positions, in which no more than
+256 ** d can meet. So no pair is missed. Copies are one entry; a part gives the links of a spanning forest of its
+close pairs, not all pairs.
 
 ``similar`` finds all pairs of texts whose shingle sets have a Jaccard similarity of at least 0.8. Of the shingles
 in one fixed order the first n - ceil(0.8 n) + 1 of a set of n are its prefix; two similar sets share a shingle of
@@ -54,8 +56,11 @@ SAMPLE, COMMON, MOST_COMMON = 10_000, 10, 100_000
 CLUSTER = 10_000
 #: Most ids that are broadcast to pick rows without dealing out their texts; more are joined.
 BROADCAST_IDS = 2_000_000
-#: Lists of up to so many entries are compared by offset, all lists of a batch at once.
-SMALL_LIST = 8
+#: Parts of up to so many fingerprints are compared by offset, all parts of a batch at once; larger ones than PART are
+#: dealt out again.
+SMALL_LIST, PART = 8, 8192
+LINKS = "deeper boolean, a long, b long"
+U = np.uint64
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -114,33 +119,28 @@ def position_sets(octets: int, size: int) -> list[tuple[int, ...]]:
     return list(combinations(range(octets), size))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], sets: list[tuple[int, ...]], octets: int) -> Iterator[pa.RecordBatch]:
-    size = len(sets[0])
-    at = np.array(sets)
-    scale = np.uint64(256) ** np.arange(size, dtype=np.uint64)
+def chunk_sets(octets: int, bits: int) -> list[tuple[int, ...]]:
+    """The positions of all sets of chunks that remain if ``bits`` of bits + 2 chunks (or of single bytes) differ."""
+    chunks = np.array_split(np.arange(octets), min(octets, bits + 2))
+    return [tuple(np.concatenate(x).tolist()) for x in combinations(chunks, len(chunks) - bits)]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], sets: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
+    """(part, fp) of each fingerprint for each set: a part is the number of the set and the bytes in its positions."""
     for whole in batches:
-        for k in range(0, whole.num_rows, 2000):
-            batch = whole.slice(k, 2000)
-            data, _ = utf8_view(batch.column(1))
-            fps = data.reshape(-1, octets)
-            key = (fps[:, at].astype(np.uint64) * scale).sum(2, dtype=np.uint64) + np.arange(len(sets), dtype=np.uint64) * np.uint64(256) ** np.uint64(size)
-            rows = pa.array(np.repeat(np.arange(len(fps)), len(sets)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(rows)], ["key", "rep"])
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings, in order of their keys, without those alone in their list."""
-    last, told = np.zeros((2, 0), np.int64), True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.concatenate([last, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])], axis=1)
-        same = rows[0, 1:] == rows[0, :-1]
-        out = np.r_[False, same] | np.r_[same, False]
-        if last.shape[1] and told:
-            out[0] = False
-        last, told = rows[:, -1:], bool(len(same) and same[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0, out]), pa.array(rows[1, out])], ["key", "rep"])
+        for k in range(0, whole.num_rows, 4000):
+            data, _ = utf8_view(whole.column(0).slice(k, 4000))
+            yield from _dealt(data.reshape(-1, 8), sets)
+
+
+def _dealt(octets: np.ndarray, sets: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
+    fp, width = octets.copy().view(np.int64).ravel(), max(map(len, sets))
+    for number, at in enumerate(sets):
+        scale = U(256) ** np.arange(len(at), dtype=np.uint64)
+        part = (octets[:, list(at)].astype(np.uint64) * scale).sum(1, dtype=np.uint64)
+        if width < 8:
+            part += U(number) << U(8 * width)
+        yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(fp)], ["part", "fp"])
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,12 +148,6 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Tally of bytes that are the same in their positions."""
-    x = a ^ b
-    return (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape[:-1], 8 * x.shape[-1]) == 0).sum(-1)
-
-
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
     """For each of n entries the first one of its tree, in a forest over pairs that are ``near``.
 
@@ -170,54 +164,116 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
     return tree
 
 
-def list_links(fps: np.ndarray, most: int) -> np.ndarray:
-    """The forest of a posting list over pairs within ``most`` bits."""
-    return forest(len(fps), lambda q, left: distance(fps[q], fps[left]) <= most)
+def tally_forest(octets: np.ndarray, free: list[int], least: int, most: int) -> np.ndarray:
+    """For each of the fingerprints of a part the first one of its tree, in a forest over pairs within ``most`` bits
+    whose tally over the positions ``free`` is at least ``least``."""
+    n, fps = len(octets), octets.copy().view(np.uint64).ravel()
+    tree, alive = np.arange(n), np.ones(n, bool)
+    lists = [np.argsort(octets[:, p], kind="stable") for p in free]
+    ends = [np.searchsorted(octets[order, p], np.arange(257)) for p, order in zip(free, lists, strict=True)]
+    for root in range(n):
+        if not alive[root]:
+            continue
+        alive[root], todo = False, [root]
+        while todo:
+            q = todo.pop()
+            if least > 0:
+                met = [order[e[x] : e[x + 1]] for x, order, e in zip(octets[q, free].tolist(), lists, ends, strict=True)]
+                tally = np.bincount(np.concatenate(met), minlength=n)
+                other = np.flatnonzero((tally >= least) & alive)
+            else:
+                other = np.flatnonzero(alive)
+            other = other[np.bitwise_count(fps[other] ^ fps[q]) <= most]
+            tree[other], alive[other] = root, False
+            todo += other.tolist()
+    return tree
 
 
-def _links_of(key: np.ndarray, rep: np.ndarray, fps: np.ndarray, most: int, least: int) -> pa.RecordBatch:
-    """Links of whole lists, given in order of their keys and representatives."""
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    of, pairs = np.repeat(size, size), [np.zeros((2, 0), np.int64)]
-    for step in range(1, min(SMALL_LIST, len(key))):
-        i = np.flatnonzero((of[:-step] > step) & (of[:-step] <= SMALL_LIST) & (key[:-step] == key[step:]))
-        i = i[shared_bytes(fps[i], fps[i + step]) >= least]
-        i = i[distance(fps[i], fps[i + step]) <= most]
-        pairs.append(np.stack([rep[i + step], rep[i]]))
+def _links_of(part: np.ndarray, fps: np.ndarray, sets: list[tuple[int, ...]], most: int) -> pa.RecordBatch:
+    """Links of whole parts, given in order of their numbers."""
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    size = np.diff(np.r_[first, len(part)])
+    of, pairs, octets = np.repeat(size, size), [np.zeros((2, 0), np.int64)], fps.view(np.uint8).reshape(-1, 8)
+    width = max(map(len, sets))
+    for step in range(1, min(SMALL_LIST, len(part))):  # small parts, all at once
+        i = np.flatnonzero((of[:-step] > step) & (of[:-step] <= SMALL_LIST) & (part[:-step] == part[step:]))
+        i = i[(octets[i] == octets[i + step]).sum(1) >= 8 - most]
+        i = i[np.bitwise_count((fps[i] ^ fps[i + step]).view(np.uint64)) <= most]
+        pairs.append(np.stack([fps[i + step], fps[i]]))
     for at, n in zip(first[size > SMALL_LIST], size[size > SMALL_LIST], strict=True):
-        tree = list_links(fps[at : at + n], most)
+        held = sets[int(part[at]) >> (8 * width) if width < 8 else 0]
+        free = [p for p in range(8) if p not in held]
+        tree = tally_forest(octets[at : at + n], free, 8 - most - len(held), most)
         i = np.flatnonzero(tree != np.arange(n))
-        pairs.append(np.stack([rep[at + i], rep[at + tree[i]]]))
+        pairs.append(np.stack([fps[at + i], fps[at + tree[i]]]))
     pairs = np.unique(np.concatenate(pairs, 1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(pairs.shape[1], bool)), *[pa.array(x) for x in pairs]], ["deeper", "a", "b"])
+
+
+def _link(batches: Iterator[pa.RecordBatch], sets: list[tuple[int, ...]], most: int, cap: int | None) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the parts of a partition in order; of a part with more than ``cap`` fingerprints its rows for
+    the sets of 8 - ``most`` positions, marked as deeper."""
+    deep = position_sets(8, 8 - most)
 
+    def deeper(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for rows in _dealt(fps.view(np.uint8).reshape(-1, 8), deep):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(rows.num_rows, bool)), *rows.columns], ["deeper", "a", "b"])
 
-def _link(batches: Iterator[pa.RecordBatch], octets: int, most: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Links of the lists of a partition in order of its keys; the last list of a batch waits for the next."""
-    held: list = []
+    held, size, hot = [], 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        data, _ = utf8_view(batch.column(2))
-        got = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), data.reshape(-1, octets).view(np.uint64)]
-        if got[0][0] == got[0][-1] and (not held or held[-1][0][0] == got[0][0]):
-            held.append(got)
+        part, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if hot is not None:
+            cut = int(np.searchsorted(part, hot, side="right"))
+            yield from deeper(fps[:cut])
+            part, fps = part[cut:], fps[cut:]
+            if not len(part):
+                continue
+            hot = None
+        held.append((part, fps))
+        size += len(part)
+        if held[0][0][0] == part[-1]:  # one part so far
+            if cap is not None and size > cap:
+                hot = part[-1]
+                for _, x in held:
+                    yield from deeper(x)
+                held, size = [], 0
             continue
-        got = [np.concatenate([h[c] for h in held] + [got[c]]) for c in range(3)]
-        cut = np.searchsorted(got[0], got[0][-1])
-        yield _links_of(*[x[:cut] for x in got], most, least)
-        held = [[x[cut:] for x in got]]
+        part, fps = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+        cut = np.searchsorted(part, part[-1])
+        yield from _whole(part[:cut], fps[:cut], sets, most, cap, deeper)
+        held, size = [(part[cut:], fps[cut:])], len(part) - cut
     if held:
-        yield _links_of(*[np.concatenate([h[c] for h in held]) for c in range(3)], most, least)
+        yield from _whole(*[np.concatenate([h[c] for h in held]) for c in (0, 1)], sets, most, cap, deeper)
 
 
-def close_links(reps: DataFrame, octets: int, sets: list[tuple[int, ...]], most: int, least: int) -> DataFrame:
-    """(a, b): links between the representatives in ``reps`` (rep, fp), one row for each fingerprint."""
-    lists = arrow_map(reps.select("rep", "fp"), partial(_postings, sets=sets, octets=octets), "key long, rep long")
-    lists = arrow_map(lists.repartition("key").sortWithinPartitions("key"), _meet, "key long, rep long")
-    lists = lists.join(reps, "rep").select("key", "rep", "fp").repartition("key").sortWithinPartitions("key", "rep")
-    return arrow_map(lists, partial(_link, octets=octets, most=most, least=least), "a long, b long").distinct()
+def _whole(part: np.ndarray, fps: np.ndarray, sets: list[tuple[int, ...]], most: int, cap: int | None, deeper: Callable) -> Iterator[pa.RecordBatch]:
+    size = np.unique(part, return_counts=True)[1]
+    large = np.repeat(size > (len(part) if cap is None else cap), size)
+    alone = np.repeat(size == 1, size)
+    yield from deeper(fps[large]) if large.any() else ()
+    if (rest := ~large & ~alone).any():
+        yield _links_of(part[rest], fps[rest], sets, most)
+
+
+def close_links(reps: DataFrame, bits: int, cap: int = PART) -> DataFrame:
+    """(a, b): links between the representatives in ``reps`` (fp, rep), one row for each fingerprint."""
+    sets = chunk_sets(8, bits)
+    parts = arrow_map(reps.select("fp"), partial(_parts, sets=sets), "part long, fp long")
+    found = checkpointed(arrow_map(parts.repartition("part").sortWithinPartitions("part", "fp"), partial(_link, sets=sets, most=bits, cap=cap), LINKS))
+    again = found.where("deeper").select(F.col("a").alias("part"), F.col("b").alias("fp")).distinct()
+    again = arrow_map(again.repartition("part").sortWithinPartitions("part", "fp"), partial(_link, sets=position_sets(8, 8 - bits), most=bits, cap=None), LINKS)
+    links = found.where("not deeper").unionByName(again).select("a", "b").distinct()
+    known = arrow_map(reps.select("fp", "rep"), _numbered, "number long, rep long")
+    links = links.join(known.toDF("a", "rep_a"), "a").join(known.toDF("b", "rep_b"), "b")
+    return links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints as the numbers that links have."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(utf8_view(batch.column(0))[0].copy().view(np.int64)), batch.column(1)], ["number", "rep"])
 
 
 def representatives(fps: DataFrame) -> DataFrame:
@@ -231,11 +287,11 @@ def with_components(fps: DataFrame, reps: DataFrame, links: DataFrame) -> DataFr
     return fps.join(classes, "fp").select(F.explode("ids").alias("doc_id"), "fp", "component_id")
 
 
-def simhash_components(docs: DataFrame, words: int = SHINGLE, bits: int = DISTANCE) -> DataFrame:
-    """(doc_id, fingerprint, component_id): all links of at most ``bits`` differing bits of 64, exactly."""
+def simhash_components(docs: DataFrame, words: int = SHINGLE, bits: int = DISTANCE, cap: int = PART) -> DataFrame:
+    """(doc_id, fingerprint, component_id): all links of at most ``bits`` (0 to 7) differing bits of 64, exactly."""
     fps = checkpointed(fingerprints(docs, words))
     reps = representatives(fps)
-    links = close_links(reps.where("rep is not null"), 8, position_sets(8, 8 - bits), bits, 8 - bits)
+    links = close_links(reps.where("rep is not null"), bits, cap)
     return with_components(fps, reps, links).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 

@@ -465,8 +465,8 @@ def test_the_share_follows_the_structure():
     rng = np.random.default_rng(18)
     centers = rng.normal(size=(40, 32))
     clustered = centers[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 32))
-    loose, tight = ann.fitted(rng.normal(size=(4000, 32))), ann.fitted(clustered)
-    assert tight.share < 0.1 < loose.share < 0.6
+    loose, tight = ann.fitted(rng.normal(size=(4000, 32)), 4000), ann.fitted(clustered, 4000)
+    assert tight.share < 0.1 < loose.share < 0.7
 
 
 def test_blocks_hold_all_cells():
@@ -524,7 +524,8 @@ def roots(ids, linked):
     return {i: find(i) for i in ids}
 
 
-def test_simhash_against_brute_force(spark):
+@pytest.mark.parametrize("cap", [8192, 3])
+def test_simhash_against_brute_force(spark, cap):
     rng = random.Random(8)
     base = [" ".join(rng.choices("Ab cd é ef gh ij kl".split(), k=rng.randint(0, 400))) for _ in range(30)]
     rows = [(i, t) for i, t in enumerate(base)]
@@ -536,18 +537,54 @@ def test_simhash_against_brute_force(spark):
     rows += [(200, None), (201, " \n")]
     fp = {i: plain_fingerprint(t) for i, t in rows}
     want = roots(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2])
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_components(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_components(docs_of(spark, rows), cap=cap).collect()}
     assert got == {i: (f"{fp[i]:016x}", want[i]) for i in fp}
 
 
-def test_long_lists_lose_no_component():
-    rng = np.random.default_rng(9)
-    center = rng.integers(0, 1 << 62, (3, 1), dtype=np.uint64)
-    fps = np.concatenate([center ^ (np.uint64(1) << rng.integers(0, 64, (3, 1)).astype(np.uint64)) for _ in range(40)])
-    tree = simhash.list_links(fps, 2)
-    linked = [(i, j) for i in range(120) for j in range(i) if simhash.distance(fps[i], fps[j]) <= 2]
-    want = roots(range(120), linked)
-    assert {i: int(t) for i, t in enumerate(tree)} == want
+def close_fingerprints(rng, n):
+    """Fingerprints in chains of one to three differing bits, many of them alike in most bytes."""
+    fps = [int(x) for x in rng.integers(0, 1 << 62, 6)]
+    while len(fps) < n:
+        x = fps[rng.integers(len(fps))]
+        for b in rng.integers(0, 64, rng.integers(1, 4)):
+            x ^= 1 << int(b)
+        fps.append(x)
+    return sorted(set(fps))
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 3, 6])
+def test_tally_loses_no_component(bits):
+    octets = np.array(close_fingerprints(np.random.default_rng(9), 400), np.uint64).view(np.uint8).reshape(-1, 8)
+    fps = octets.copy().view(np.uint64).ravel()
+    n = len(fps)
+    linked = [(i, j) for i in range(n) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= bits]
+    tree = simhash.tally_forest(octets, list(range(8)), 8 - bits, bits)
+    assert {i: int(t) for i, t in enumerate(tree)} == roots(range(n), linked)
+    rows = [(i, x) for i, x in enumerate(fps.tolist())]
+    share = lambda x, y, at: all(x >> 8 * p & 255 == y >> 8 * p & 255 for p in at)
+    assert all(any(share(rows[i][1], rows[j][1], at) for at in simhash.chunk_sets(8, bits)) for i, j in linked)
+
+
+@pytest.mark.parametrize(("bits", "cap", "batch"), [(2, 8192, 50), (2, 5, 7), (2, 1, 1000), (1, 4, 3), (3, 20, 11)])
+def test_parts_of_the_index_against_all_pairs(bits, cap, batch):
+    import pyarrow as pa
+
+    fps = np.array(close_fingerprints(np.random.default_rng(bits), 300), np.uint64)
+
+    def run(rows, sets, most):
+        rows.sort()
+        part, fp = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 2
+        batches = [pa.RecordBatch.from_arrays([pa.array(part[k : k + batch]), pa.array(fp[k : k + batch])], ["part", "fp"]) for k in range(0, len(part), batch)]
+        return [tuple(r.values()) for b in simhash._link(iter(batches), sets, bits, most) for r in b.to_pylist()]
+
+    sets = simhash.chunk_sets(8, bits)
+    dealt = [tuple(r.values()) for b in simhash._dealt(fps.view(np.uint8).reshape(-1, 8), sets) for r in b.to_pylist()]
+    first = run(dealt, sets, cap)
+    again = run(list({(a, b) for deeper, a, b in first if deeper}), simhash.position_sets(8, 8 - bits), None)
+    links = [(a, b) for deeper, a, b in [*first, *again] if not deeper]
+    ids = fps.view(np.int64).tolist()
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= bits
+    assert roots(sorted(ids), links) == roots(sorted(ids), [(a, b) for a in ids for b in ids if a < b and near(a, b)])
 
 
 @pytest.mark.parametrize("cluster", [10_000, 4])

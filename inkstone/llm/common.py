@@ -95,6 +95,12 @@ def utf8_view(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order; for integers many times as fast as hashing them."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
     out = np.zeros(256, bool)
     for a, b in ranges:

@@ -5,10 +5,13 @@ query. A passage is WINDOW words, half of them shared with the next one. A piece
 score reaches the share THRESHOLD of the score that it has with itself; impacts are divided by that bound,
 so that the threshold is 1 for all pieces.
 
-Postings are in blocks of BLOCK pieces with the largest impact of a term in each. For a batch of texts, the
-sums of these bounds over the different terms of each half passage tell which blocks a passage can reach the
-threshold in; terms found in most blocks add their largest impact of all. Only the blocks left
-are scored, piece by piece with WAND's pivot. No piece above the threshold is missed.
+Postings are arrays of blocks of BLOCK pieces, with the largest impact that a term has in each block and in all.
+Terms are numbered by the length of their postings, longest first, and so are a passage's terms in order. Their largest
+impacts are added up; where the sum doesn't reach the threshold, the passage is done. The term that brings it to PIVOT of
+the threshold is the pivot, and only the postings from there on are read: no piece can do by the terms before alone. They
+tell the blocks that are worth a look, with what they add there at most. Where that and the largest impacts before
+the pivot reach the threshold, the latter are looked up block by block. The blocks still left are scored piece by piece, and a piece is left where what
+is yet to come can't do. No piece above the threshold is missed. All passages of a batch go through each step together.
 
 A retrieved item is verified in the passage and as many words around it as the item has: of its word
 NGRAM-grams those ending in the question and those ending in the answer (its last sentence) are looked up.
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -33,17 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import arrow_map, table, utf8_view
+from inkstone.llm.common import arrow_map, checkpointed, distinct, table, utf8_view
 
 WINDOW, PIECE, BLOCK = 128, 48, 2
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 NGRAM, MIN_QUESTION, MIN_ANSWER = 4, 0.6, 0.5
-#: Items that are sent to the executors at once; more are matched in rounds.
-MAX_ITEMS = 50_000
-#: Terms in more than this share of the blocks are bounded by one impact for all of them.
-COMMON = 0.5
-TEXTS, CELLS = 512, 1 << 22
+#: Items, and bytes of their texts, that are sent to the executors at once; more are matched in rounds.
+MAX_ITEMS, MAX_BYTES = 50_000, 32 << 20
+#: Share of the threshold that the terms before the pivot may sum up to (less than 1).
+PIVOT = 0.6
+#: Texts that are searched at once, and postings that are read at once.
+TEXTS, POSTINGS = 512, 1 << 21
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -71,64 +75,110 @@ def as_item(item_id: int, text: str) -> Item:
     return Item(item_id, words, len(words) - answer)
 
 
+def pieces_of(words: list[bytes]) -> list[list[bytes]]:
+    n = max(1, round(len(words) / PIECE))
+    cuts = [len(words) * j // n for j in range(n + 1)]
+    return [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+@dataclass
+class Statistics:
+    """Of all items: pieces, words in them, and pieces that have a term."""
+
+    pieces: int
+    words: int
+    df: dict[bytes, int]
+
+    @classmethod
+    def of(cls, items: list[Item]) -> Statistics:
+        pieces = [p for i in items for p in pieces_of(i.words) if i.words]
+        return cls(len(pieces), sum(map(len, pieces)), Counter(t for p in pieces for t in set(p)))
+
+
+def in_runs(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place in it) of each element of runs of n elements."""
+    run = np.repeat(np.arange(len(n)), n)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Index:
-    """Impacts by piece, and bounds by term and block."""
+    """Postings by term and impacts by piece, as arrays. Statistics may be those of more items than these."""
 
-    def __init__(self, items: list[Item]):
+    def __init__(self, items: list[Item], stats: Statistics | None = None):
         self.items = [i for i in items if i.words]
-        self.pieces: list[tuple[int, list[bytes]]] = []
-        for k, item in enumerate(self.items):
-            n = max(1, round(len(item.words) / PIECE))
-            cuts = [len(item.words) * j // n for j in range(n + 1)]
-            self.pieces += [(k, item.words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        counts = [Counter(w) for _, w in self.pieces]
-        df = Counter(t for c in counts for t in c)
-        mean = sum(len(w) for _, w in self.pieces) / max(1, len(self.pieces))
-        idf = {t: math.log(1 + (len(self.pieces) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-        self.terms = {t: i for i, t in enumerate(sorted(df))}
-        self.impacts: list[dict[int, float]] = []
-        for c, (_, w) in zip(counts, self.pieces, strict=True):
-            impact = {self.terms[t]: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in c.items()}
-            bound = THRESHOLD * sum(impact.values())
+        stats = stats or Statistics.of(self.items)
+        pieces = [(k, p) for k, item in enumerate(self.items) for p in pieces_of(item.words)]
+        self.item_of = [k for k, _ in pieces]
+        mean = stats.words / max(1, stats.pieces)
+        blocks = Counter(t for _, t in {(i // BLOCK, t) for i, (_, p) in enumerate(pieces) for t in p})
+        self.terms = {t: i for i, t in enumerate(sorted(blocks, key=lambda t: (-blocks[t], t)))}
+        self.impacts: list[list[tuple[int, float]]] = []
+        for _, p in pieces:
+            weigh = lambda t, f, n=len(p): math.log(1 + (stats.pieces - stats.df[t] + 0.5) / (stats.df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean))
+            impact = [(self.terms[t], weigh(t, f)) for t, f in sorted(Counter(p).items())]
+            bound = THRESHOLD * sum(x for _, x in impact)
             # heaviest first: what the terms not yet looked at can add falls fastest
-            self.impacts.append(dict(sorted(((t, x / bound) for t, x in impact.items()), key=lambda tx: -tx[1])))
-        self.n_blocks = -(-len(self.pieces) // BLOCK)
-        bounds: dict[int, dict[int, float]] = defaultdict(dict)
-        for p, impact in enumerate(self.impacts):
-            for t, x in impact.items():
-                bounds[t][p // BLOCK] = max(bounds[t].get(p // BLOCK, 0.0), x)
-        self.common = np.zeros(len(self.terms) + 1)
-        at, block, most = [0], [], []
-        for t in range(len(self.terms)):
-            if len(bounds[t]) > max(COMMON * self.n_blocks, 8):
-                self.common[t] = max(bounds[t].values())
+            self.impacts.append(sorted(((t, x / bound) for t, x in impact), key=lambda tx: -tx[1]))
+        self.n_blocks = -(-len(pieces) // BLOCK)
+        flat = [(t, p // BLOCK, x) for p, impact in enumerate(self.impacts) for t, x in impact]
+        term, block, most = (np.array(c) for c in zip(*flat, strict=True)) if flat else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((-most, block, term))
+        first = np.r_[True, np.diff(term[order] * max(1, self.n_blocks) + block[order]) != 0] if len(order) else np.zeros(0, bool)
+        order = order[first]
+        #: Postings in order of term and block: where a term's begin, their blocks, and the largest impact in each.
+        self.at = np.searchsorted(term[order], np.arange(len(self.terms) + 2))
+        self.block, self.most = block[order], most[order]
+        self.key = term[order] * max(1, self.n_blocks) + self.block
+        self.top = np.zeros(len(self.terms) + 1)
+        np.maximum.at(self.top, term[order], self.most)
+
+    def reachable(self, passage: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(passage, block) where a piece can reach 1, of pairs (passage, term) in order."""
+        enough = 1.0 - 1e-9
+        if not len(passage):
+            return
+        begin = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        length = np.diff(np.r_[begin, len(passage)])
+        upto = np.cumsum(self.top[term])
+        upto -= np.repeat(np.r_[0.0, upto][begin], length)  # of the passage's terms up to this one
+        able = upto[begin + length - 1] >= enough
+        driving = upto >= PIVOT
+        n_before = np.add.reduceat(~driving, begin, dtype=np.int64)
+        before = np.where(n_before > 0, upto[begin + np.maximum(n_before, 1) - 1], 0.0)
+        read = np.flatnonzero(driving & np.repeat(able, length))
+        run = np.repeat(np.arange(len(begin)), length)[read]
+        size = self.at[term[read] + 1] - self.at[term[read]]
+        # in steps of about POSTINGS; passages are kept whole
+        steps = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), POSTINGS))
+        edges = sorted({0, len(read), *[int(np.searchsorted(run, run[i])) for i in steps]})
+        for a, b in zip(edges, edges[1:], strict=False):
+            owner, place = in_runs(size[a:b])
+            posting = self.at[term[read[a:b]]][owner] + place
+            low, high = int(run[a]), int(run[b - 1]) + 1
+            pair = (run[a:b] - low)[owner] * self.n_blocks + self.block[posting]
+            if (cells := (high - low) * self.n_blocks) <= 8 * len(pair):
+                bound = np.bincount(pair, self.most[posting], cells)
+                pair = np.flatnonzero(bound + np.repeat(before[low:high], self.n_blocks) >= enough)
+                bound = bound[pair]
             else:
-                block += bounds[t].keys()
-                most += bounds[t].values()
-            at.append(len(block))
-        self.at, self.block, self.most = np.array(at + at[-1:]), np.array(block, np.int64), np.array(most)
-
-    def reachable(self, half: np.ndarray, term: np.ndarray, n_half: int) -> Iterator[tuple[int, int]]:
-        """(half, block) where the passage of a half and the next one can reach 1; terms are each half's different ones."""
-        shared = np.bincount(half, self.common[term], n_half + 1)
-        step = max(2, CELLS // max(1, self.n_blocks))
-        edge = np.searchsorted(half, np.arange(0, n_half + step + 1))
-        for start in range(0, n_half, step):
-            stop = min(n_half, start + step) + 1  # one more half, as the next of the last
-            h, t = half[edge[start] : edge[min(stop, len(edge) - 1)]], term[edge[start] : edge[min(stop, len(edge) - 1)]]
-            n = self.at[t + 1] - self.at[t]
-            rows = np.repeat(h - start, n)
-            posting = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.at[t], n)
-            total = np.bincount(rows * self.n_blocks + self.block[posting], self.most[posting], (stop - start) * self.n_blocks)
-            total = total.reshape(-1, self.n_blocks) + shared[start:stop, None]
-            for i, b in zip(*np.nonzero(total[:-1] + total[1:] >= 1.0 - 1e-9), strict=True):
-                yield start + int(i), int(b)
+                pair, where = np.unique(pair, return_inverse=True)
+                bound = np.bincount(where, self.most[posting], len(pair))
+            who = low + pair // self.n_blocks
+            left = (bound > 0) & (bound + before[who] >= enough)
+            pair, bound, who = pair[left], bound[left], who[left]
+            # the terms before the pivot, in the blocks that are left
+            owner, place = in_runs(n_before[who])
+            key = term[begin[who][owner] + place] * self.n_blocks + (pair % self.n_blocks)[owner]
+            found = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            bound = bound + np.bincount(owner, np.where(self.key[found] == key, self.most[found], 0.0), len(pair))
+            left = bound >= enough
+            yield from zip(passage[begin[who[left]]].tolist(), (pair[left] % self.n_blocks).tolist(), strict=True)
 
     def score(self, block: int, terms: set[int]) -> Iterator[tuple[int, float]]:
         """Pieces of a block that reach 1 with these terms. A piece is left where what is yet to come can't do."""
-        for p in range(block * BLOCK, min(len(self.pieces), (block + 1) * BLOCK)):
+        for p in range(block * BLOCK, min(len(self.impacts), (block + 1) * BLOCK)):
             total, rest = 0.0, 1.0 / THRESHOLD
-            for t, x in self.impacts[p].items():
+            for t, x in self.impacts[p]:
                 rest -= x
                 if t in terms:
                     total += x
@@ -149,32 +199,42 @@ def verify(item: Item, words: list[bytes]) -> tuple[float, float]:
     return share(question, answer), share(answer, question)
 
 
+def passages(words: list[list[bytes]], index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, term) of all texts, in order and each once, and the first passage of each text."""
+    size, none = WINDOW // 2, len(index.terms)
+    lengths = np.array([len(w) for w in words])
+    n_halves = np.maximum(1, -(-lengths // size))
+    first = np.cumsum(n_halves) - n_halves
+    get = index.terms.get
+    term = np.fromiter((get(x, none) for w in words for x in w), np.int64, lengths.sum())
+    text, place = in_runs(lengths)
+    half = first[text] + place // size
+    known = term < none
+    text, half, term = text[known], half[known], term[known]
+    width = none + 1
+    own = distinct(half * width + term)
+    later = own[own // width > first[np.searchsorted(first, own // width, side="right") - 1]]  # a half is in the passage before, too
+    pairs = distinct(np.concatenate([own, later - width]))
+    return pairs // width, pairs % width, first
+
+
 def search(texts: list[bytes], index: Index) -> list[list[tuple]]:
     """For each text its verified items: (item_id, first word of the passage, score, question, answer)."""
     found: list[dict[int, tuple]] = [{} for _ in texts]
-    if not index.pieces:
+    if not index.items or not texts:
         return [[] for _ in texts]
-    size, none = WINDOW // 2, len(index.terms)
     words = [words_of(t) for t in texts]
-    n_halves = np.array([max(1, -(-len(w) // size)) + 1 for w in words])  # an empty half parts two texts
-    first = np.cumsum(n_halves) - n_halves
-    lengths = np.array([len(w) for w in words])
-    get = index.terms.get
-    term = np.fromiter((get(x, none) for w in words for x in w), np.int64, lengths.sum())
-    place = np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    half = np.repeat(first, lengths) + place // size
-    known = np.unique((half * (none + 1) + term)[term < none])
-    half, term = known // (none + 1), known % (none + 1)
-    total = int(n_halves.sum())
-    edge = np.searchsorted(half, np.arange(total + 2))
-    for h, block in index.reachable(half, term, total):
+    passage, term, first = passages(words, index)
+    last, terms = None, set()
+    for h, block in index.reachable(passage, term):
+        if h != last:
+            last, terms = h, set(term[np.searchsorted(passage, h) : np.searchsorted(passage, h, side="right")].tolist())
         d = int(np.searchsorted(first, h, side="right")) - 1
-        terms = set(term[edge[h] : edge[min(h + 2, first[d] + n_halves[d])]].tolist())
         for p, score in index.score(block, terms):
-            k = index.pieces[p][0]
+            k = index.item_of[p]
             if k in found[d] and found[d][k][2] >= score:
                 continue
-            item, at = index.items[k], (h - int(first[d])) * size
+            item, at = index.items[k], (h - int(first[d])) * (WINDOW // 2)
             question, answer = verify(item, words[d][max(0, at - len(item.words)) : at + WINDOW + len(item.words)])
             if question >= MIN_QUESTION and answer >= MIN_ANSWER:
                 found[d][k] = (item.item_id, at, score, question, answer)
@@ -203,13 +263,34 @@ def _without(batches: Iterator[pa.RecordBatch], index: Index, at: int) -> Iterat
         yield batch.filter(pa.array([not hits for _, hits in _searched(batch.column(at), index)], pa.bool_()))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words, terms) of each piece of the items."""
+    for batch in batches:
+        items = [as_item(0, t) for t in batch.column(0).to_pylist()]
+        pieces = [p for i in items if i.words for p in pieces_of(i.words)]
+        yield pa.RecordBatch.from_arrays([pa.array([len(p) for p in pieces], pa.int64()), pa.array([sorted(set(p)) for p in pieces], pa.list_(pa.binary()))], ["words", "terms"])
+
+
 def indexes(items: DataFrame) -> Iterator[Index]:
-    """Indexes of at most about MAX_ITEMS items each; that bound is checked before items are collected."""
+    """Indexes of at most about MAX_ITEMS items and MAX_BYTES of text each, which is checked before items are collected.
+
+    In more rounds than one, statistics are those of all items, of which a round fetches those of its own terms.
+    """
     rows = items.select("item_id", "text").where("text is not null")
-    rounds = max(1, -(-rows.count() // MAX_ITEMS))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    rounds = max(1, -(-n // MAX_ITEMS), -(-size // MAX_BYTES))
+    if rounds > 1:
+        pieces = checkpointed(arrow_map(rows.select("text"), _pieces, "words long, terms array<binary>"))
+        total, words = pieces.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
+        df = checkpointed(pieces.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     for r in range(rounds):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).orderBy("item_id", "text").collect()
-        yield Index([as_item(x["item_id"], x["text"]) for x in part])
+        part = [as_item(x["item_id"], x["text"]) for x in part]
+        stats = None
+        if rounds > 1:
+            own = items.sparkSession.createDataFrame([(bytearray(t),) for t in sorted({t for i in part for t in i.words})], "term binary")
+            stats = Statistics(total, words, {bytes(x.term): x.n for x in df.join(F.broadcast(own), "term", "left_semi").collect()})
+        yield Index(part, stats)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

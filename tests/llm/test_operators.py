@@ -661,24 +661,54 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert {r.doc_id for r in decontaminate.clean(docs_of(spark, rows), bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
-def test_no_piece_above_the_threshold_is_missed():
-    rng = random.Random(13)
-    vocabulary = [f"t{i}" for i in range(60)]
-    items = [decontaminate.as_item(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 90)))) for i in range(30)]
+@pytest.mark.parametrize(("seed", "postings"), [(13, 1 << 21), (14, 50), (15, 1)])
+def test_no_piece_above_the_threshold_is_missed(seed, postings, monkeypatch):
+    monkeypatch.setattr(decontaminate, "POSTINGS", postings)
+    rng = random.Random(seed)
+    vocabulary = [f"t{i}" for i in range(300 if seed == 15 else 60)]
+    weights = [1 / (1 + i) for i in range(len(vocabulary))]
+    items = [decontaminate.as_item(i, " ".join(rng.choices(vocabulary, weights, k=rng.randint(5, 90)))) for i in range(40)]
+    index = decontaminate.Index(items)
+    texts = [rng.choices(vocabulary, weights, k=rng.choice([0, 1, 63, 64, 65, 700])) for _ in range(12)]
+    for t in texts[::3]:
+        t[20:20] = [w.decode() for w in rng.choice(items).words]
+    words = [[w.encode() for w in t] for t in texts]
+    passage, term, first = decontaminate.passages(words, index)
+    plain = {}
+    for d, w in enumerate(words):
+        for k in range(max(1, -(-len(w) // 64))):
+            plain[int(first[d]) + k] = {index.terms[x] for x in w[64 * k : 64 * k + 128] if x in index.terms}
+    got_terms = {}
+    for p, t in zip(passage.tolist(), term.tolist(), strict=True):
+        assert t not in got_terms.setdefault(p, set())
+        got_terms[p].add(t)
+    assert got_terms == {k: v for k, v in plain.items() if v}
+    got = [(h, p) for h, block in index.reachable(passage, term) for p, _ in index.score(block, plain[h])]
+    want = {(h, p) for h, terms in plain.items() for p, impact in enumerate(index.impacts) if sum(x for t, x in impact if t in terms) >= 1.0 - 1e-9}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_few_blocks_are_scored():
+    rng = random.Random(16)
+    vocabulary = [f"t{i}" for i in range(4000)]
+    weights = [1 / (1 + i) for i in range(4000)]
+    items = [decontaminate.as_item(i, " ".join(rng.choices(vocabulary, weights, k=60))) for i in range(500)]
     index = decontaminate.Index(items)
-    words = rng.choices(vocabulary, k=700)
-    half = np.arange(700) // 64
-    known = np.unique(half * 1000 + np.array([index.terms.get(w.encode(), 999) for w in words]))
-    known = known[known % 1000 != 999]
-    got = set()
-    for h, block in index.reachable(known // 1000, known % 1000, 11):
-        terms = {index.terms[w.encode()] for w in words[64 * h : 64 * h + 128] if w.encode() in index.terms}
-        got |= {(h, p) for p, _ in index.score(block, terms)}
-    want = set()
-    for h in range(11):
-        terms = {index.terms[w.encode()] for w in words[64 * h : 64 * h + 128] if w.encode() in index.terms}
-        want |= {(h, p) for p, impact in enumerate(index.impacts) if sum(x for t, x in impact.items() if t in terms) >= 1.0}
-    assert got == want and want
+    passage, term, _ = decontaminate.passages([[w.encode() for w in rng.choices(vocabulary, weights, k=20_000)]], index)
+    looked = sum(1 for _ in index.reachable(passage, term))
+    assert looked < 0.02 * index.n_blocks * len(np.unique(passage))
+
+
+def test_rounds_have_the_statistics_of_all_items(spark, monkeypatch):
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(200)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(10, 120))) + ". The end of it.") for i in range(30)]
+    rows = [(i, " ".join([*rng.choices(vocabulary, k=50), *rng.choice(items)[1].split()[rng.randint(0, 9) :], *rng.choices(vocabulary, k=70)])) for i in range(60)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), docs_of(spark, rows)
+    want = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 7)
+    got = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want]) and len(want) > 40
 
 
 # 10

@@ -39,8 +39,8 @@ from inkstone.llm.common import arrow_map, checkpointed, table
 TOP, EVERY = 5, 50
 #: Vectors that the codebooks are fitted on, and rounds of fitting.
 SAMPLE, ROUNDS = 16_384, 8
-#: Vectors of the sample for each centroid; no codebook is larger than MAX_CODES.
-PER_CODE, MIN_CODES, MAX_CODES = 32, 4, 256
+#: Vectors of the sample for each centroid and entries for each cell, at least; no codebook is larger than MAX_CODES.
+PER_CODE, PER_CELL, MIN_CODES, MAX_CODES = 32, 4, 4, 256
 #: Share of the neighbours of ASKED vectors of the sample that the search has to visit.
 TARGET, ASKED = 0.95, 512
 #: Entries and queries that a task compares at once.
@@ -122,8 +122,9 @@ def share_for(x: np.ndarray, books: Books, top: int, target: float = TARGET) ->
     return float(np.quantile(need, target)) if need else 1.0
 
 
-def fitted(x: np.ndarray, top: int = TOP, share: float | None = None) -> Books:
-    size = int(np.clip(len(x) // PER_CODE, MIN_CODES, MAX_CODES))
+def fitted(x: np.ndarray, total: int, top: int = TOP, share: float | None = None) -> Books:
+    """Codebooks for ``total`` entries, of which ``x`` is a sample."""
+    size = int(np.clip(min(len(x) / PER_CODE, (total / PER_CELL) ** 0.5), MIN_CODES, MAX_CODES))
     books = Books(*[codebook(h, size) for h in halves(x)], share=1.0)
     books.share = share_for(x, books, top) if share is None else share
     return books
@@ -235,7 +236,7 @@ def _search(rows: DataFrame, top: int, every: int, share: float | None) -> DataF
     entries = few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = checkpointed(entries.select(F.col("ids")[0].alias("cid"), "ids", "vec"))
     sample = entries.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("vec").toPandas()
-    books = fitted(np.stack(sample["vec"].to_list()), top, share)
+    books = fitted(np.stack(sample["vec"].to_list()), entries.count(), top, share)
     index = checkpointed(arrow_map(entries, partial(_assign, books=books), "cid long, ids array<bigint>, vec array<double>, cell int"))
     counts = np.zeros(len(books.first) * len(books.second), np.int64)
     for cell, n in index.groupBy("cell").count().collect():  # at most MAX_CODES ** 2 rows
@@ -244,7 +245,9 @@ def _search(rows: DataFrame, top: int, every: int, share: float | None) -> DataF
     dealt = arrow_map(index, partial(_deal, blocks=blocks), "block long, ids array<bigint>, vec array<double>, cell int")
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
     asked = checkpointed(asked.join(entries.select("cid", "vec"), "vec").select("vec_id", "cid", "vec"))
-    probes = asked.groupBy(F.col("cid").alias("qid")).agg(F.first("vec").alias("qvec"))
+    n_asked = asked.count()
+    tasks = max(-(-n_asked // BLOCK), min(n_asked, rows.sparkSession.sparkContext.defaultParallelism), 1)
+    probes = asked.groupBy(F.col("cid").alias("qid")).agg(F.first("vec").alias("qvec")).repartition(tasks)
     want = max(books.share * float(counts.sum()), top + 1)
     probes = checkpointed(arrow_map(probes, partial(_probe, books=books, blocks=blocks, want=want), "qid long, qvec array<double>, reach double, block long"))
     parts = probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_ask"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import is_word, tokens
@@ -61,8 +61,6 @@ TAGGED = (
 ).split()
 NO_RATE = ("f_43_type_token", "f_44_mean_word_length")
 TYPE_TOKEN_WINDOW = 400
-#: Features summed in one pass; the code generated for many more is too large for the JVM to compile.
-AT_ONCE = 17
 #: Names of features that count more.
 KEY_TELLS = "participle nominalization phrasal_coordination that_verb_comp that_adj_comp agentless_passive downtoner".split()
 
@@ -125,27 +123,44 @@ def neighbours(docs: DataFrame, key: list[str]) -> DataFrame:
     return t.select(*key, F.explode(zipped).alias("_z")).select(*key, "_z.*").where("t is not null")
 
 
-def wide_counts(docs: DataFrame, key: list[str], names: list[str] | None = None) -> DataFrame:
-    """A row for each text: tokens (words, not marks) and a count for each feature; summed up before the shuffle."""
-    rows = neighbours(docs, key)
-    sums = [F.count_if(c).alias(n) for n, c in conditions().items() if names is None or n in names]
-    return rows.groupBy(key).agg(F.count_if(is_word(F.col("t"))).alias("tokens"), *sums)
+def lexicon(spark: SparkSession) -> DataFrame:
+    """(t, mask): each word of the closed classes, with a bit for each class that has it."""
+    masks: dict[str, int] = {}
+    for i, words in enumerate(LEXICON.values()):
+        for w in words.split():
+            masks[w] = masks.get(w, 0) | 1 << i
+    return spark.createDataFrame(sorted(masks.items()), "t string, mask long")
+
+
+def wide_counts(docs: DataFrame, key: list[str]) -> DataFrame:
+    """A row for each text: tokens (words, not marks) and a count for each feature, in one pass over its tokens.
+
+    Words of closed classes are looked up in a broadcast table, which has as many rows as they have words.
+    """
+    rows = neighbours(docs, key).join(F.broadcast(lexicon(docs.sparkSession)), "t", "left")
+    sums = {n: F.count_if(c) for n, c in conditions().items() if n not in LEXICON}
+    sums |= {n: F.coalesce(F.sum(F.shiftright("mask", i).bitwiseAND(1)), F.lit(0)) for i, n in enumerate(LEXICON)}
+    return rows.groupBy(key).agg(F.count_if(is_word(F.col("t"))).alias("tokens"), *[sums[n].alias(n) for n in sorted(sums)])
+
+
+def long_counts(wide: DataFrame, key: list[str]) -> DataFrame:
+    """(key, feature, n, tokens, rate): the counts of ``wide_counts`` as rows, with rates per 1,000 words."""
+    long = wide.where("tokens > 0").unpivot([*key, "tokens"], sorted(conditions()), "feature", "n")
+    return long.select(*key, "feature", "n", "tokens", (F.lit(1000.0) * F.col("n") / F.col("tokens")).alias("rate"))
 
 
 def counts(docs: DataFrame, key: list[str] = ("doc_id",), tagger: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, feature, n, tokens, rate): long counts and rates per 1,000 words.
 
-    ``tagger`` gives (key, feature, n) of features in TAGGED; without it these have no rows.
+    ``tagger`` gives (key, feature, n) of features in TAGGED, as ``tagging.tagged`` does; without it these have no rows.
     """
-    key, names, long = list(key), list(conditions()), None
-    for at in range(0, len(names), AT_ONCE):
-        part = names[at : at + AT_ONCE]
-        one = wide_counts(docs, key, part).unpivot([*key, "tokens"], part, "feature", "n")
-        long = one if long is None else long.unionByName(one)
+    key = list(key)
+    wide = wide_counts(docs, key)
+    long = long_counts(wide, key)
     if tagger:
-        words = wide_counts(docs, key, []).select(*key, "tokens")
-        long = long.unionByName(tagger(docs).join(words, key).select(*key, "tokens", "feature", "n"))
-    return long.where("tokens > 0").select(*key, "feature", "n", "tokens", (F.lit(1000.0) * F.col("n") / F.col("tokens")).alias("rate"))
+        more = tagger(docs).join(wide.where("tokens > 0").select(*key, "tokens"), key)
+        long = long.unionByName(more.select(*key, "feature", F.col("n").cast("long").alias("n"), "tokens", (F.lit(1000.0) * F.col("n") / F.col("tokens")).alias("rate")))
+    return long
 
 
 def word_shape(docs: DataFrame, key: list[str] = ("doc_id",), window: int = TYPE_TOKEN_WINDOW) -> DataFrame:

@@ -6,12 +6,13 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import word_count
 from inkstone.operators.features import NO_RATE, is_key_tell
 from inkstone.operators.findings import finding
+from inkstone.operators.ranks import linear_quantiles, nearest_ranks, running
 
 QUANTILES = (0.05, 0.50, 0.95)
 LEAST_DOCS, DOC_WORDS = 3, 300
@@ -22,29 +23,10 @@ SHORT_DOCUMENT = 2500
 REPLICAS, SEED = 2000, 0
 
 
-def nearest_ranks(rows: DataFrame, by: list[str], value: str, qs=QUANTILES) -> DataFrame:
-    """(by, n, q0, q1, ...): of n sorted values the one at round(q (n - 1)), halves to even.
-
-    Values are counted first, so that equal ones are a row before the shuffle, then ranked by running sums;
-    no group's values are ever held together.
-    """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
-    group = Window.partitionBy(*by)
-    counted = counted.withColumn("_upto", F.sum("_k").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_k").over(group))
-    at = lambda q: F.bround(F.lit(float(q)) * (F.col("n") - 1))
-    hit = lambda q: (F.col("_upto") > at(q)) & (F.col("_upto") - F.col("_k") <= at(q))
-    return counted.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(hit(q), F.col(value))).alias(f"q{i}") for i, q in enumerate(qs)])
-
-
-def band_linear(value: Column, qs) -> Column:
-    """Quantiles by linear interpolation."""
-    return F.percentile(value, F.array(*[F.lit(float(q)) for q in qs]))
-
-
 def bands(features: DataFrame, by: list[str] = ("feature",), value: str = "rate", digits: int | None = 3) -> DataFrame:
     """(by, n, p05, p50, p95) by nearest rank, rounded as profiles are."""
     shown = (lambda c: F.round(c, digits)) if digits is not None else F.col
-    ranks = nearest_ranks(features, list(by), value)
+    ranks = nearest_ranks(features, list(by), value, QUANTILES)
     return ranks.select(*by, "n", *[shown(f"q{i}").alias(f"p{int(q * 100):02d}") for i, q in enumerate(QUANTILES)])
 
 
@@ -98,17 +80,14 @@ def empirical_p(rates: DataFrame, reference: DataFrame, key: list[str]) -> DataF
     """``rates`` with p: the add-one two-sided tail of a rate among the reference rates of its feature.
 
     The counts at most and at least a value come from running sums over the different rates of both tables
-    together, not from a join of each rate with each reference. Texts of some thousand words have few
-    different rates, however many texts there are.
+    together, in ranges of rates, not from a join of each rate with each reference.
     """
-    n = reference.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
-    asked = rates.groupBy("feature", "rate").agg(F.lit(0).cast("long").alias("_ref"), F.lit(True).alias("_asked"))
-    known = reference.groupBy("feature", "rate").agg(F.count(F.lit(1)).alias("_ref"), F.lit(False).alias("_asked"))
-    order = Window.partitionBy("feature").orderBy("rate")
-    upto = F.sum("_ref").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.sum("_ref").over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    counted = asked.unionByName(known).withColumn("_lo", upto).withColumn("_hi", above).where("_asked").join(n, "feature")
-    p = F.least(F.lit(1.0), F.lit(2.0) * F.least((F.col("_lo") + 1) / (F.col("_n") + 1), (F.col("_hi") + 1) / (F.col("_n") + 1)))
+    asked = rates.groupBy("feature", "rate").agg(F.lit(0).cast("long").alias("ref"), F.lit(1).alias("_asked"))
+    known = reference.groupBy("feature", "rate").agg(F.count(F.lit(1)).alias("ref"), F.lit(0).alias("_asked"))
+    both = asked.unionByName(known).groupBy("feature", "rate").agg(F.sum("ref").alias("ref"), F.max("_asked").alias("_asked"))
+    counted = running(both, ["feature"], "rate", ["ref"]).where("_asked = 1 and all_ref > 0")
+    lo, hi, n = F.col("upto_ref"), F.col("all_ref") - F.col("upto_ref") + F.col("ref"), F.col("all_ref")
+    p = F.least(F.lit(1.0), F.lit(2.0) * F.least((lo + 1) / (n + 1), (hi + 1) / (n + 1)))
     return rates.select(*key, "feature", "rate").join(counted.select("feature", "rate", p.alias("p")), ["feature", "rate"]).select(*key, "feature", "rate", "p")
 
 
@@ -119,11 +98,9 @@ def segment_scan(segments: DataFrame, reference: DataFrame, least: int = SCAN_SE
     the least over a document's segments: they depend on each other, so they aren't pooled. A feature without
     a segment outside the human band isn't tested. ``every`` gives all tested features.
     """
-    q = reference.groupBy("feature").agg(
-        band_linear(F.col("rate"), (0.05, 0.95)).alias("_q"), F.min("rate").alias("_min"), F.max("rate").alias("_max"), F.count(F.lit(1)).alias("_n")
-    )
+    q = linear_quantiles(reference, ["feature"], "rate", (0.05, 0.95), "_q").withColumnsRenamed({"min": "_min", "max": "_max", "n": "_n"})
     per = Window.partitionBy("doc_id", "feature")
-    rows = empirical_p(segments, reference, ["doc_id", "seg_id", "words"]).join(q, "feature")
+    rows = empirical_p(segments, reference, ["doc_id", "seg_id", "words"]).join(F.broadcast(q), "feature")
     rows = rows.withColumn("_segs", F.count(F.lit(1)).over(per)).where(F.col("_segs") >= least)
     side = F.when(F.col("rate") > F.col("_q")[1], 1).when(F.col("rate") < F.col("_q")[0], -1).otherwise(0)
     span = F.greatest(F.col("_max") - F.col("_min"), F.lit(1e-9))

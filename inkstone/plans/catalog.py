@@ -16,10 +16,10 @@ from inkstone.operators import profile as PR
 from inkstone.operators import sampling as S
 from inkstone.operators import statistical as M
 from inkstone.sources import files
+from inkstone.sources.store import stored
 
 #: Segments of this size make the segment queries meet texts of some hundred words.
 SEGMENT, TAIL = 200, 100
-PAIRS = (("quality", "quality"), ("assistant", "assistant"))
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -55,8 +55,9 @@ def feature_counts(spark, sf) -> DataFrame:
 
 
 def segment_features(spark, sf) -> DataFrame:
-    segs = segmented(spark, sf)
-    return X.counts(segs.select("doc_id", "seg_id", "words", "text"), ["doc_id", "seg_id", "words"])
+    """The features of all segments, written once and read as often as a query needs them."""
+    segs, key = segmented(spark, sf), ["doc_id", "seg_id", "words"]
+    return X.long_counts(stored(X.wide_counts(segs.select(*key, "text"), key)), key)
 
 
 def human(spark, sf) -> DataFrame:
@@ -64,11 +65,15 @@ def human(spark, sf) -> DataFrame:
     return table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
 
 
-def profile_segments(spark, sf) -> DataFrame:
-    f = segment_features(spark, sf).where(F.col("words") >= TAIL).join(human(spark, sf), "doc_id", "left_semi")
+def of_profile(spark, sf, segments: DataFrame) -> DataFrame:
+    f = segments.where(F.col("words") >= TAIL).join(human(spark, sf), "doc_id", "left_semi")
     return f.select(F.col("doc_id").alias("doc"), F.col("seg_id").alias("seg"), "tokens", "feature", "n", "rate")
 
 
+def profile_segments(spark, sf) -> DataFrame:
+    return of_profile(spark, sf, segment_features(spark, sf))
+
+
 def doc_bands(spark, sf, digits: int | None = 6) -> DataFrame:
     f = feature_counts(spark, sf).where(F.col("tokens") >= PR.DOC_WORDS).join(human(spark, sf), "doc_id", "left_semi")
     return PR.bands(f, digits=digits)
@@ -79,39 +84,62 @@ def metrics(spark, sf) -> DataFrame:
     return H.heuristics(p, s)[1]
 
 
-def pair_model(spark, sf, pair: str) -> DataFrame:
-    """A pair's models: documents against texts of good quality, or against answers in conversations."""
-    all_ = table(spark, sf, "documents").select("doc_id", "text")
-    if pair == "quality":
-        return M.word_model(all_, all_.join(human(spark, sf), "doc_id", "left_semi"))
-    return M.word_model(all_, table(spark, sf, "conversations").where("role = 'assistant'").select("text"))
+def models(spark, sf) -> dict[str, DataFrame]:
+    """The models of the pairs: documents against texts of good quality, or against answers in conversations."""
+    good = human(spark, sf).withColumn("n_good", F.lit(1))
+    all_ = table(spark, sf, "documents").select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("n_good", F.lit(0)).alias("n_good"))
+    n = stored(M.vocabulary(all=all_, answers=table(spark, sf, "conversations").where("role = 'assistant'").select("text")))
+    return {"quality": M.pair_model(n, "n_all", "n_good"), "assistant": M.pair_model(n, "n_all", "n_answers")}
+
+
+def sentences_to_score(spark, sf) -> DataFrame:
+    return stored(P.eligible(scored(spark, sf)))
 
 
-def scores(spark, sf, pair: str = "assistant") -> DataFrame:
-    t = P.scored_tokens(P.eligible(scored(spark, sf)))
-    return M.hot_tokens(M.count_model_scores(t, pair_model(spark, sf, pair)))
+def scores(spark, sf) -> DataFrame:
+    """Tokens as the pair "assistant" sees them."""
+    return M.hot_tokens(M.count_model_scores(P.scored_tokens(P.eligible(scored(spark, sf))), models(spark, sf)["assistant"]))
 
 
-def per_pair(spark, sf, what) -> DataFrame:
-    parts = [what(pair).withColumn("pair", F.lit(pair)) for pair, _ in PAIRS]
-    return parts[0].unionByName(parts[1])
+def pair_scores(spark, sf, sentences: DataFrame | None = None) -> DataFrame:
+    sentences = P.eligible(scored(spark, sf)) if sentences is None else sentences
+    return M.hot_tokens(M.all_pair_scores(P.scored_tokens(sentences), models(spark, sf)))
 
 
 def pair_docs(spark, sf) -> DataFrame:
-    return per_pair(spark, sf, lambda p: M.document_scores(scores(spark, sf, p)))
+    return M.document_scores(pair_scores(spark, sf))
 
 
 def pair_units(spark, sf) -> DataFrame:
-    u = P.units(P.eligible(scored(spark, sf)))
-    return per_pair(spark, sf, lambda p: M.unit_scores(scores(spark, sf, p), u))
+    s = sentences_to_score(spark, sf)
+    return M.unit_scores(pair_scores(spark, sf, s), P.units(s))
+
+
+def pair_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, units and bands of all pairs; the first two are written once."""
+    s = sentences_to_score(spark, sf)
+    hot = pair_scores(spark, sf, s)
+    d, u = stored(M.document_scores(hot)), stored(M.unit_scores(hot, P.units(s)))
+    return d, u, M.calibration(good_only(spark, sf, d), good_only(spark, sf, u))
 
 
 def good_only(spark, sf, rows: DataFrame) -> DataFrame:
     return rows.join(human(spark, sf), "doc_id", "left_semi")
 
 
-def stat_bands(spark, sf) -> DataFrame:
-    return M.calibration(good_only(spark, sf, pair_docs(spark, sf)), good_only(spark, sf, pair_units(spark, sf)))
+def verdicts(spark, sf) -> DataFrame:
+    d, _, known = pair_tables(spark, sf)
+    return M.verdicts(d, known).select("pair", "doc_id", "below", "above", "severity")
+
+
+def flags(spark, sf) -> DataFrame:
+    _, u, known = pair_tables(spark, sf)
+    return M.unit_flags(u, known)
+
+
+def flagged(spark, sf) -> DataFrame:
+    _, u, known = pair_tables(spark, sf)
+    return M.flagged_units(u, known)
 
 
 def words_with_label(spark, sf) -> DataFrame:
@@ -208,14 +236,14 @@ def structural(spark, sf) -> DataFrame:
 
 
 def scan(spark, sf) -> DataFrame:
-    ref = profile_segments(spark, sf).select("feature", "rate")
-    out = PR.segment_scan(segment_features(spark, sf).where(F.col("words") >= TAIL), ref)
-    return rounded(out.withColumn("worst", F.array_join(F.col("worst").cast("array<string>"), ",")), "p", "beyond", "doc_rate").drop("severity")
+    segs = segment_features(spark, sf)
+    out = PR.segment_scan(segs.where(F.col("words") >= TAIL), of_profile(spark, sf, segs).select("feature", "rate"))
+    return rounded(out.withColumn("worst", F.array_join(F.col("worst").cast("array<string>"), ",")), "p", "beyond", "doc_rate")
 
 
 def segment_p(spark, sf) -> DataFrame:
-    ref = profile_segments(spark, sf).select("feature", "rate")
-    return rounded(PR.empirical_p(segment_features(spark, sf), ref, ["doc_id", "seg_id"]), "rate", "p")
+    segs = segment_features(spark, sf)
+    return rounded(PR.empirical_p(segs, of_profile(spark, sf, segs).select("feature", "rate"), ["doc_id", "seg_id"]), "rate", "p")
 
 
 def deviations(spark, sf) -> DataFrame:
@@ -256,23 +284,23 @@ QUERIES = {
     "segment_bands": lambda s, d: PR.bands(profile_segments(s, d), digits=6),
     "metric_bands": lambda s, d: rounded(PR.metric_bands(good_only(s, d, metrics(s, d)), ["sentence_cv", "paragraph_cv"]), "p05", "p50", "p95"),
     "corpus_admission": lambda s, d: PR.admitted(paras(s, d)),
-    "out_of_band": lambda s, d: rounded(deviations(s, d), "rate", "sigma").drop("severity"),
-    "top_features": lambda s, d: rounded(PR.top_features(deviations(s, d)), "rate", "sigma").drop("severity"),
+    "out_of_band": lambda s, d: rounded(deviations(s, d), "rate", "sigma"),
+    "top_features": lambda s, d: rounded(PR.top_features(deviations(s, d)), "rate", "sigma"),
     "segment_p_values": segment_p,
     "segment_scan": scan,
     "simulated_bands": simulated,
     "structural_findings": structural,
     # statistical
-    "word_model": lambda s, d: rounded(pair_model(s, d, "assistant"), "lp_obs", "lp_perf"),
+    "word_model": lambda s, d: rounded(models(s, d)["assistant"], "lp_obs", "lp_perf"),
     "document_scores": lambda s, d: rounded(pair_docs(s, d), "b", "delta_mean", "delta_q10", "delta_q50", "delta_q90"),
     "hot_burstiness": lambda s, d: rounded(M.burstiness(scores(s, d)), "burstiness"),
     "hot_window": lambda s, d: rounded(M.hot_window(scores(s, d)), "hot_window"),
     "token_classes": lambda s, d: rounded(M.token_classes(scores(s, d)), "delta_mean", "delta_q90", "hot_share", "logppl_perf"),
     "unit_scores": lambda s, d: rounded(pair_units(s, d), "b", "delta_mean", "hot_share"),
-    "calibration_bands": lambda s, d: arrays(stat_bands(s, d), b="p05 p50 p95", delta="p05 p50 p95", unit_b="p01 p05 p50", unit_delta="p50 p95 p99"),
-    "document_verdicts": lambda s, d: rounded(M.verdicts(pair_docs(s, d), stat_bands(s, d)).select("pair", "doc_id", "below", "above", "severity"), "severity"),
-    "unit_flags": lambda s, d: M.unit_flags(pair_units(s, d), stat_bands(s, d)),
-    "flagged_units": lambda s, d: rounded(M.flagged_units(pair_units(s, d), stat_bands(s, d)), "b", "delta_mean", "share"),
+    "calibration_bands": lambda s, d: arrays(pair_tables(s, d)[2], b="p05 p50 p95", delta="p05 p50 p95", unit_b="p01 p05 p50", unit_delta="p50 p95 p99"),
+    "document_verdicts": lambda s, d: rounded(verdicts(s, d), "severity"),
+    "unit_flags": flags,
+    "flagged_units": lambda s, d: rounded(flagged(s, d), "b", "delta_mean", "share"),
     "consensus": lambda s, d: rounded(M.consensus(pair_units(s, d)), "mean_rank", "min_b"),
     "untested_axes": lambda s, d: shown(M.untested_note(docs(s, d), M.fast_pairs(registry(s, d))[1])),
     # findings

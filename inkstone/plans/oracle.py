@@ -211,11 +211,12 @@ T["deviating"] = (
     f"SELECT doc_id, feature, rate, CASE WHEN rate > p95 THEN 1 ELSE -1 END AS side, (CASE WHEN rate > p95 THEN rate - p95 ELSE p05 - rate END) / greatest(p95 - p05, 1e-9::DOUBLE) AS sigma, "
     f"regexp_matches(feature, '{KEY}') AS key FROM feats JOIN raw_bands USING (feature) WHERE rate < p05 OR rate > p95"
 )
-T["ref"] = "SELECT feature, list_sort(list(rate)) AS r, count(*) AS rn, quantile_cont(rate, 0.05) AS q05, quantile_cont(rate, 0.95) AS q95, min(rate) AS lo, max(rate) AS hi FROM profile GROUP BY feature"
+T["ref"] = "SELECT feature, count(*) AS rn, quantile_cont(rate, 0.05) AS q05, quantile_cont(rate, 0.95) AS q95, min(rate) AS lo, max(rate) AS hi FROM profile GROUP BY feature"
+T["rate_counts"] = "SELECT feature, rate, sum(k) AS k FROM (SELECT feature, rate, 1 AS k FROM profile UNION ALL SELECT feature, rate, 0 FROM seg_feats) GROUP BY feature, rate"
+T["rate_ranks"] = "SELECT feature, rate, sum(k) OVER (PARTITION BY feature ORDER BY rate) AS upto, sum(k) OVER (PARTITION BY feature ORDER BY rate DESC) AS from_, sum(k) OVER (PARTITION BY feature) AS rn FROM rate_counts"
 T["seg_p"] = (
-    "SELECT doc_id, seg_id, words, feature, rate, q05, q95, lo, hi, rn, "
-    "least(1.0::DOUBLE, 2.0::DOUBLE * least((len(list_filter(r, lambda x: x <= rate)) + 1)::DOUBLE / (rn + 1), (len(list_filter(r, lambda x: x >= rate)) + 1)::DOUBLE / (rn + 1))) AS p "
-    "FROM seg_feats JOIN ref USING (feature)"
+    "SELECT doc_id, seg_id, words, feature, rate, q05, q95, lo, hi, ref.rn, least(1.0::DOUBLE, 2.0::DOUBLE * least((upto + 1)::DOUBLE / (ref.rn + 1), (from_ + 1)::DOUBLE / (ref.rn + 1))) AS p "
+    "FROM seg_feats JOIN rate_ranks USING (feature, rate) JOIN ref USING (feature)"
 )
 
 
@@ -322,13 +323,13 @@ Q: dict[str, str] = {
     "segment_bands": bands_of("profile", "feature", "rate", 6),
     "metric_bands": "SELECT * FROM (" + bands_of("(SELECT 'sentence_cv' AS metric, doc_id, round(cv, 3) AS value FROM scv UNION ALL SELECT 'paragraph_cv', doc_id, round(cv, 3) FROM pcv) x WHERE doc_id IN (SELECT doc_id FROM human)", "metric", "value", 3).replace("round(list_sort", "round(list_sort") + ") WHERE n >= 3",
     "corpus_admission": "SELECT doc_id, words, words >= 300 AS kept FROM doc_words",
-    "out_of_band": "SELECT doc_id, feature, round(rate, 6) AS rate, side, round(sigma, 6) AS sigma, key FROM deviating",
-    "top_features": "SELECT doc_id, feature, round(rate, 6) AS rate, side, round(sigma, 6) AS sigma, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sigma DESC, feature) AS rank FROM deviating) WHERE rank <= 12",
+    "out_of_band": "SELECT doc_id, feature, round(rate, 6) AS rate, side, round(sigma, 6) AS sigma, key, round(least(0.55::DOUBLE + 0.06::DOUBLE * sigma + CASE WHEN key THEN 0.1::DOUBLE ELSE 0 END, 0.95::DOUBLE), 2) AS severity FROM deviating",
+    "top_features": "SELECT doc_id, feature, round(rate, 6) AS rate, side, round(sigma, 6) AS sigma, key, rank, round(least(0.55::DOUBLE + 0.06::DOUBLE * sigma + CASE WHEN key THEN 0.1::DOUBLE ELSE 0 END, 0.95::DOUBLE), 2) AS severity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sigma DESC, feature) AS rank FROM deviating) WHERE rank <= 12",
     "segment_p_values": "SELECT doc_id, seg_id, feature, round(rate, 6) AS rate, round(p, 6) AS p FROM seg_p",
     "segment_scan": (
         f"SELECT doc_id, feature, round(min(p), 6) AS p, round(greatest(max(greatest((rate - hi) / span, (lo - rate) / span)), 0.0::DOUBLE), 6) AS beyond, string_agg(CASE WHEN rate > q95 THEN '↑' WHEN rate < q05 THEN '↓' ELSE '·' END, '' ORDER BY seg_id) AS map, "
         "array_to_string(list(seg_id ORDER BY p, seg_id)[1:3], ',') AS worst, count(*) AS segments, round(sum(rate * words) / sum(words), 6) AS doc_rate, "
-        "sum(rate * words) / sum(words) >= first(q05) AND sum(rate * words) / sum(words) <= first(q95) AS in_band, min(p) <= 2.0::DOUBLE / (first(rn) + 1) + 1e-12::DOUBLE AS at_floor "
+        "sum(rate * words) / sum(words) >= first(q05) AND sum(rate * words) / sum(words) <= first(q95) AS in_band, min(p) <= 2.0::DOUBLE / (first(rn) + 1) + 1e-12::DOUBLE AS at_floor, round(least(0.6::DOUBLE + 0.15::DOUBLE * greatest(0.0::DOUBLE, -log10(min(p)) - 1), 0.9::DOUBLE), 2) AS severity "
         f"FROM (SELECT *, greatest(hi - lo, 1e-9::DOUBLE) AS span, count(*) OVER (PARTITION BY doc_id, feature) AS k FROM seg_p WHERE words >= {TAIL}) WHERE k >= 4 GROUP BY doc_id, feature HAVING max((rate > q95 OR rate < q05)::INT) > 0 AND min(p) < 0.05"
     ),
     "word_model": "SELECT token, n_obs, n_perf, round(lp_obs, 6) AS lp_obs, round(lp_perf, 6) AS lp_perf FROM model_assistant",

@@ -1,8 +1,9 @@
 """Lexical rules as tables, matched by joins on words.
 
-A rule table has a row for each token: (rule, level, message, action, token, replacement). Tokens of one
-word are matched by an equi-join, so a rule table of any size costs one join; tokens of three words with up
-to two words in each gap by a join on the first word and a look at the words after it.
+A rule table has a row for each token: (rule, level, message, action, token, replacement). Tokens of one or more
+words are matched by an equi-join on their first word and a look at the words after it, in one pass over
+the lines; tokens that are regular expressions in one more. Tokens of three words with up to two words in each gap are
+``trigram_hits``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from inkstone.functions.text import word_count
 from inkstone.operators.findings import finding
 from inkstone.schema import RULE_TOKEN
+from inkstone.sources.store import stored
 
 #: Severity of a rule's level; rules that are off or weaker for a format.
 SEVERITY = {"suggestion": 0.3, "warning": 0.6, "error": 0.9}
@@ -22,6 +24,8 @@ UNKNOWN_SEVERITY = 0.3
 OVERRIDES = (("formal_transitions", None, "suggestion", True), ("em_dash_usage", "tex", None, False))
 #: Tokens of a rule table that is broadcast.
 MOST_RULES = 100_000
+#: Regular expressions among the tokens of a rule table, which are tried on each line that one of them matches.
+MOST_PATTERNS = 2_000
 STYLE_POS = ("verb", "adjective", "adverb", "noun")
 #: A gap of up to two words as the literal pattern has it, which wants no blank before the gap.
 STRICT_GAP = r"(?:\w+[''\w]*\s+){0,2}"
@@ -54,20 +58,21 @@ def built_in_rules(spark: SparkSession) -> DataFrame:
 
 
 def small(rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
-    """A rule table to broadcast, if it has at most ``most`` tokens; a larger one is joined as it is."""
+    """A table to broadcast, if it has at most ``most`` rows; a larger one is joined as it is. It is computed once."""
     rows = rules.limit(most + 1).collect()
-    return F.broadcast(rules.sparkSession.createDataFrame(rows, rules.schema)) if len(rows) <= most else rules
+    return F.broadcast(rules.sparkSession.createDataFrame(rows, rules.schema)) if len(rows) <= most else stored(rules)
 
 
-def words_at(rows: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each word of a line: its lower case, and its span in characters from 1, both ends included.
+def words_at(rows: DataFrame, text: str = "text", ahead: int = 0) -> DataFrame:
+    """A row for each word of a line: its lower case, its span in characters from 1, both ends included, and in next
+    the ``ahead`` words after it with what stands before each.
 
     The lengths of the words and of what stands between them, added up, give the places.
     """
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     gaps = F.split(F.col(text), WORD)
+    keep = [c for c in rows.columns if c != text]
     rows = rows.withColumn("_w", F.arrays_zip(words.alias("w"), gaps.alias("g")))
-    keep = [c for c in rows.columns if c not in ("_w", text)]
     start = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -75,31 +80,43 @@ def words_at(rows: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(end.alias("s"), F.concat(acc["out"], F.array(end)).alias("out"))
 
     ends = F.aggregate("_w", start, add, lambda acc: acc["out"])
-    rows = rows.select(*keep, F.posexplode(F.arrays_zip(F.col("_w").alias("x"), ends.alias("e"))).alias("at", "_z"))
-    rows = rows.where(F.col("_z.x.w").isNotNull())
-    return rows.select(*keep, "at", F.col("_z.x.w").alias("word"), F.lower("_z.x.w").alias("word_lc"), (F.col("_z.e") - F.length("_z.x.w") + 1).alias("span_start"), F.col("_z.e").alias("span_end"))
+    follow = F.transform("_w", lambda x, i: F.slice("_w", i + 2, ahead)) if ahead else F.transform("_w", lambda x: F.lit(None))
+    zipped = F.arrays_zip(F.col("_w").alias("x"), ends.alias("e"), follow.alias("next"))
+    rows = rows.select(*keep, F.posexplode(zipped).alias("at", "_z")).where(F.col("_z.x.w").isNotNull())
+    out = rows.select(*keep, "at", F.col("_z.x.w").alias("word"), F.lower("_z.x.w").alias("word_lc"), (F.col("_z.e") - F.length("_z.x.w") + 1).alias("span_start"), F.col("_z.e").alias("span_end"), F.col("_z.next").alias("next"))
+    return out if ahead else out.drop("next")
 
 
-def phrase_hits(lines: DataFrame, rules: DataFrame, most: int = 8) -> DataFrame:
-    """Hits of tokens of 2 to ``most`` words, which stand in a line with any blanks or marks between them.
+#: Signs that make a token a regular expression.
+REGEX = r"[\\\[\](){}*+?|^$]"
 
-    The first word is joined; the words after it, a bounded slice of the line's, are compared with the rest.
+
+def token_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, fmt, line, rule, level, message, action, replacement, match, span_start, span_end) of tokens in words.
+
+    The words of a token stand in a line with any blanks or marks between them. The first one is joined; the words
+    after it, a slice of the line's as long as the longest token, are compared with the rest.
     """
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    listed = lines.withColumn("_all", words)
-    starts = words_at(listed).withColumn("_next", F.expr(f"transform(slice(_all, at + 2, {most - 1}), w -> lower(w))"))
-    w = F.split(F.lower("token"), " +")
-    many = rules.withColumn("_w", w).where(F.size("_w").between(2, most)).withColumn("_first", F.col("_w")[0]).withColumn("_rest", F.expr("slice(_w, 2, size(_w))"))
-    hits = starts.join(small(many), F.col("word_lc") == F.col("_first")).where(F.expr("slice(_next, 1, size(_rest)) = _rest"))
-    # the end of the phrase: its words and what stands between them, as the line has them
-    tail = lines.select("doc_id", "line", F.col("text").alias("_text"))
-    hits = hits.join(tail, ["doc_id", "line"]).withColumn("_from", F.expr("substring(_text, span_start)"))
-    gap = r"[^\p{L}\p{N}]+"
-    pattern = F.concat(F.lit("(?i)^"), F.array_join(F.transform("_w", lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), gap))
-    hits = hits.withColumn("match", F.regexp_substr("_from", pattern)).where("match is not null")
-    return hits.select(
-        "doc_id", "fmt", "line", "rule", "level", "message", "action", "replacement", "match", "span_start", (F.col("span_start") + F.length("match") - 1).alias("span_end")
-    )
+    w = F.split(F.lower(F.trim("token")), " +")
+    known = small(rules.where(~F.col("token").rlike(REGEX)).withColumn("_w", w).where("_w[0] <> ''"))
+    ahead = known.agg(F.coalesce(F.max(F.size("_w")), F.lit(1))).first()[0] - 1
+    known = known.withColumn("_first", F.col("_w")[0]).withColumn("_rest", F.expr("slice(_w, 2, size(_w))"))
+    hits = words_at(lines, ahead=ahead).join(known, F.col("word_lc") == F.col("_first"))
+    match, end = F.col("word"), F.col("span_end")
+    if ahead:
+        after = F.slice("next", F.lit(1), F.size("_rest"))
+        hits = hits.where(F.transform(after, lambda x: F.lower(x["w"])).eqNullSafe(F.col("_rest")))
+        match = F.concat(match, F.array_join(F.transform(after, lambda x: F.concat(x["g"], x["w"])), ""))
+        end = F.col("span_start") + F.length(match) - 1
+    return hits.select("doc_id", "fmt", "line", "rule", "level", "message", "action", "replacement", match.alias("match"), "span_start", end.alias("span_end"))
+
+
+def regex_rules(rules: DataFrame, most: int = MOST_PATTERNS) -> list[tuple]:
+    """(rule, level, message, pattern) of the tokens that are regular expressions, which are matched in any case."""
+    rows = rules.where(F.col("token").rlike(REGEX)).select("rule", "level", "message", "token").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} tokens are regular expressions; give them as words")
+    return sorted((r.rule, r.level, r.message, f"(?i){r.token}") for r in rows)
 
 
 def severity(level: Column) -> Column:
@@ -115,28 +132,22 @@ def overridden(hits: DataFrame) -> DataFrame:
     return hits
 
 
-def word_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, fmt, line, rule, level, message, action, replacement, match, span_start, span_end)."""
-    one = rules.where(~F.col("token").contains(" ")).withColumn("_t", F.lower("token"))
-    hits = words_at(lines).join(small(one), F.col("word_lc") == F.col("_t"))
-    return hits.select("doc_id", "fmt", "line", "rule", "level", "message", "action", "replacement", F.col("word").alias("match"), "span_start", "span_end")
-
-
 def pattern_hits(lines: DataFrame, patterns=PATTERNS) -> DataFrame:
-    """Hits of patterns on lines, a row for each; spans from the text between them."""
-    out = None
-    for rule, level, message, pattern in patterns:
-        got = lines.where(F.col("text").rlike(pattern))
-        z = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.split("text", pattern).alias("g"))
-        got = got.withColumn("_z", z).withColumn("_s", F.transform("_z", lambda x: F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))))
-        got = got.select("doc_id", "fmt", "line", "_s", F.posexplode("_z").alias("_k", "_x")).where(F.col("_x.m").isNotNull())
-        end = F.aggregate(F.expr("slice(_s, 1, _k + 1)"), F.lit(0), lambda a, b: a + b)
-        got = got.select(
-            "doc_id", "fmt", "line", F.lit(rule).alias("rule"), F.lit(level).alias("level"), F.lit(message).alias("message"), F.lit(None).cast("string").alias("action"),
-            F.lit(None).cast("string").alias("replacement"), F.col("_x.m").alias("match"), (end - F.length("_x.m") + 1).alias("span_start"), end.alias("span_end"),
-        )
-        out = got if out is None else out.unionByName(got)
-    return out
+    """Hits of patterns on lines, a row for each, in one pass; spans from the text between them.
+
+    Lines that no pattern matches go first, by one expression of all of them.
+    """
+    each = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(p, ("rule", "level", "message", "pattern"), strict=True)]) for p in patterns])
+    got = lines.where(F.col("text").rlike("|".join(f"(?:{p[3]})" for p in patterns))).select("doc_id", "fmt", "line", "text", F.explode(each).alias("_p"))
+    got = got.where(F.rlike("text", F.col("_p.pattern")))
+    z = F.arrays_zip(F.regexp_extract_all("text", F.col("_p.pattern"), F.lit(0)).alias("m"), F.split("text", F.col("_p.pattern")).alias("g"))
+    got = got.withColumn("_z", z).withColumn("_s", F.transform("_z", lambda x: F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))))
+    got = got.select("doc_id", "fmt", "line", "_p", "_s", F.posexplode("_z").alias("_k", "_x")).where("length(_x.m) > 0")
+    end = F.aggregate(F.expr("slice(_s, 1, _k + 1)"), F.lit(0), lambda a, b: a + b)
+    return got.select(
+        "doc_id", "fmt", "line", "_p.rule", "_p.level", "_p.message", F.lit(None).cast("string").alias("action"),
+        F.lit(None).cast("string").alias("replacement"), F.col("_x.m").alias("match"), (end - F.length("_x.m") + 1).alias("span_start"), end.alias("span_end"),
+    )
 
 
 def trigram_hits(sents: DataFrame, trigrams: DataFrame, gap: int = 2) -> DataFrame:
@@ -164,7 +175,8 @@ def strict_pattern(trigram: str) -> str:
 
 def lexical(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of the layer, with their format's overrides."""
-    hits = overridden(word_hits(lines, rules).unionByName(phrase_hits(lines, rules)).unionByName(pattern_hits(lines)))
+    rules = small(rules)
+    hits = overridden(token_hits(lines, rules).unionByName(pattern_hits(lines, (*PATTERNS, *regex_rules(rules)))))
     action = F.when(F.col("action").isNotNull(), F.map_from_arrays(F.array(F.lit("action"), F.lit("replacement")), F.array("action", F.coalesce("replacement", F.lit("")))))
     return finding(hits, "lexical", F.col("rule"), severity(F.col("level")), F.col("message"), "line", ("span_start", "span_end"), "match", action)
 
@@ -181,7 +193,7 @@ def density(hits: DataFrame, paras: DataFrame) -> DataFrame:
 def excess_vocabulary(words: DataFrame, group: Column, least: int = 20, ratio: float = 2.0) -> DataFrame:
     """(word, n_in, n_out, ratio): words more frequent in a group of texts than in the rest, as a rule table's tokens."""
     n = words.select(F.col("word_lc").alias("word"), group.alias("_g")).groupBy("word").agg(F.count_if("_g").alias("n_in"), F.count_if(~F.col("_g")).alias("n_out"))
-    total = words.agg(F.count_if(group).alias("_in"), F.count_if(~group).alias("_out"))
+    total = n.agg(F.sum("n_in").alias("_in"), F.sum("n_out").alias("_out"))
     r = ((F.col("n_in") + 0.5) / (F.col("_in") + 1.0)) / ((F.col("n_out") + 0.5) / (F.col("_out") + 1.0))
     return n.where(F.col("n_in") >= least).crossJoin(F.broadcast(total)).withColumn("ratio", r).where(F.col("ratio") >= ratio).select("word", "n_in", "n_out", "ratio")
 

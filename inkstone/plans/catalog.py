@@ -208,7 +208,7 @@ def mending_rules(spark) -> DataFrame:
 
 def mended(spark, sf) -> DataFrame:
     lines = P.lines(docs(spark, sf))
-    hits = L.word_hits(lines, mending_rules(spark)).unionByName(L.pattern_hits(lines))
+    hits = L.token_hits(lines, mending_rules(spark)).unionByName(L.pattern_hits(lines))
     return E.apply(lines, E.fixable(hits.drop("fmt")))
 
 
@@ -307,7 +307,7 @@ QUERIES = {
     "findings_merged": lambda s, d: shown(FI.merge(all_findings(s, d))),
     "findings_per_1k": lambda s, d: rounded(FI.per_thousand_words(all_findings(s, d), PR.admitted(paras(s, d)).select("doc_id", "words")), "per_1k", "strong_per_1k"),
     "recurring_rules": lambda s, d: FI.recurring(all_findings(s, d)),
-    "worklist": lambda s, d: FI.worklist(shown(all_findings(s, d))),
+    "worklist": lambda s, d: FI.worklist(stored(shown(FI.merge(all_findings(s, d))))),
     "reports": lambda s, d: FI.reports(FI.merge(all_findings(s, d)), metrics(s, d)),
     # edits and sampling
     "mended_lines": mended,

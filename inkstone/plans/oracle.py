@@ -157,10 +157,13 @@ T["label_words"] = "SELECT quality, unnest(regexp_extract_all(lower(text), '[a-z
 
 
 WORD = r"[\p{L}\p{N}]+(?:[''’\-][\p{L}\p{N}]+)*"
-#: Hits of patterns on lines: each match cut off behind a sign, so that its place is the length of what is before.
-T["line_words"] = rf"SELECT doc_id, line, word, span_start FROM (SELECT doc_id, line, unnest(regexp_extract_all(text, '{WORD}')) AS word, unnest(list_transform(range(1, len(regexp_extract_all(text, '{WORD}')) + 1), lambda i: length(list_aggregate(string_split(regexp_replace(text, '({WORD})', chr(1) || '\1', 'g'), chr(1))[1:i], 'string_agg', '')) + 1)) AS span_start FROM lines)"
+T["line_words"] = (
+    f"SELECT doc_id, line, word, (sum(length(gap)) OVER w + sum(length(word)) OVER w - length(word) + 1)::BIGINT AS span_start FROM (SELECT doc_id, line, unnest(range(len(ws))) AS i, unnest(ws) AS word, unnest(gs[1:len(ws)]) AS gap FROM "
+    f"(SELECT doc_id, line, regexp_extract_all(text, '{WORD}') AS ws, string_split_regex(text, '{WORD}') AS gs FROM lines)) WINDOW w AS (PARTITION BY doc_id, line ORDER BY i ROWS UNBOUNDED PRECEDING)"
+)
 
 
+#: Hits of patterns on lines: each match cut off behind a sign, so that its place is the length of what is before.
 def plain_hits(rule: str, level: str, pattern: str) -> str:
     p = pattern.replace("'", "''")
     marked = rf"string_split(regexp_replace(text, '({p})', chr(1) || '\1', 'g'), chr(1))"
@@ -191,6 +194,14 @@ T["found"] = (
     "SELECT doc_id, line, span_start::INT AS span_start, (span_start + length(match) - 1)::INT AS span_end, 'lexical' AS layer, rule, severity::DOUBLE AS severity, match FROM lex UNION ALL "
     "SELECT doc_id, line, 0, 0, 'heuristic', rule, severity::DOUBLE, match FROM heur"
 )
+T["merge_in"] = "SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY severity DESC, span_start, span_end, rule, layer, match) AS i FROM found WHERE line > 0"
+T["merge_walk"] = (
+    "SELECT doc_id, line, i, true AS ok, [{'s': span_start, 'e': span_end}] AS acc FROM merge_in WHERE i = 1 UNION ALL "
+    "SELECT m.doc_id, m.line, m.i, len(list_filter(acc, lambda k: k.s < m.span_end AND m.span_start < k.e)) = 0, "
+    "CASE WHEN len(list_filter(acc, lambda k: k.s < m.span_end AND m.span_start < k.e)) = 0 THEN list_append(acc, {'s': m.span_start, 'e': m.span_end}) ELSE acc END "
+    "FROM merge_walk w JOIN merge_in m ON m.doc_id = w.doc_id AND m.line = w.line AND m.i = w.i + 1"
+)
+T["merged"] = "SELECT m.* EXCLUDE (i) FROM merge_in m JOIN merge_walk w ON m.doc_id = w.doc_id AND m.line = w.line AND m.i = w.i WHERE ok UNION ALL SELECT * FROM found WHERE line <= 0"
 T["doc_words"] = f"SELECT doc_id, sum({words('text')})::BIGINT AS words FROM paras GROUP BY doc_id"
 
 
@@ -348,7 +359,8 @@ Q: dict[str, str] = {
     "trigram_hits": "SELECT doc_id, trigram, count(*) AS n FROM (SELECT DISTINCT a.doc_id, a.para_id, a.sent_id, a.i, trigram FROM sent_words a JOIN (VALUES ('of the and', 'of', 'the', 'and'), ('the in of', 'the', 'in', 'of'), ('is the of', 'is', 'the', 'of'), ('to and that', 'to', 'and', 'that')) r(trigram, x, y, z) ON a.word = x JOIN sent_words b ON b.doc_id = a.doc_id AND b.para_id = a.para_id AND b.sent_id = a.sent_id AND b.word = y AND b.i BETWEEN a.i + 1 AND a.i + 3 JOIN sent_words c ON c.doc_id = a.doc_id AND c.para_id = a.para_id AND c.sent_id = a.sent_id AND c.word = z AND c.i BETWEEN b.i + 1 AND b.i + 3) GROUP BY ALL",
     "findings_per_1k": "SELECT doc_id, words, coalesce(n, 0) AS findings, coalesce(s, 0) AS strong, round(1000.0::DOUBLE * coalesce(n, 0) / greatest(1, words), 6) AS per_1k, round(1000.0::DOUBLE * coalesce(s, 0) / greatest(1, words), 6) AS strong_per_1k FROM doc_words LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE severity >= 0.6) AS s FROM found GROUP BY doc_id) USING (doc_id)",
     "recurring_rules": "SELECT doc_id, rule, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, rule) AS r FROM (SELECT doc_id, rule, count(*) AS n FROM found WHERE line > 0 GROUP BY ALL HAVING count(*) >= 3)) WHERE r <= 10",
-    "worklist": "SELECT *, CASE WHEN severity >= 0.9 THEN 'ERR' WHEN severity >= 0.6 THEN 'WARN' ELSE 'sugg' END AS label FROM found WHERE line > 0",
+    "worklist": "SELECT *, CASE WHEN severity >= 0.9 THEN 'ERR' WHEN severity >= 0.6 THEN 'WARN' ELSE 'sugg' END AS label FROM merged WHERE line > 0",
+    "findings_merged": "SELECT * FROM merged",
     "sample_slices": "SELECT * FROM slices",
     "sample_draws": "SELECT * FROM draws",
     "sample_accepted": "SELECT * FROM sampled",

@@ -11,6 +11,7 @@ from inkstone.operators import heuristics as H
 from inkstone.operators import lexical as L
 from inkstone.operators import parse as P
 from inkstone.operators import profile as PR
+from inkstone.operators import ranks as R
 from inkstone.operators import sampling as S
 from inkstone.operators import statistical as M
 from inkstone.schema import FINDING, RULE_TOKEN
@@ -255,12 +256,95 @@ def test_stream(spark, tmp_path):
 
 def test_phrases(spark):
     rules = L.built_in_rules(spark)
-    got = {(r.rule, r.match, r.span_start, r.span_end) for r in L.phrase_hits(lines_of(spark, "So, in order, in  Order to go; at the end."), rules).collect()}
+    got = {(r.rule, r.match, r.span_start, r.span_end) for r in L.token_hits(lines_of(spark, "So, in order, in  Order to go; at the end."), rules).collect()}
     assert got == {("filler_phrases", "in  Order to", 15, 26)}
     assert L.phrase_pattern('"in today\'s [fast-paced/digital] world…"') == r"in\ today's\ (?:fast\-paced|digital)\ world"
     assert L.phrase_pattern("not just X, but Y") is None
 
 
+def test_long_phrases_and_expressions(spark):
+    nine = "one two three four five six seven eight nine"
+    rules = spark.createDataFrame([("r", "warning", "m", None, t, None) for t in (nine, r"colou?rs?\b", "Five", "b.c", L.strict_pattern("air hung thick"))], RULE_TOKEN)
+    lines = lines_of(spark, f"Colour {nine.upper()}. b c airhungthick")
+    got = {(r.match, r.span_start, r.span_end) for r in L.lexical(lines, rules).collect()}
+    assert got == {("Colour", 1, 6), (nine.upper(), 8, 51), ("FIVE", 27, 30), ("airhungthick", 58, 69)}
+
+
+def test_patterns_in_one_pass(spark):
+    got = {(r.rule, r.match, r.span_start) for r in L.pattern_hits(lines_of(spark, "a; b -- c; not only d but e")).collect()}
+    assert got == {("semicolon_usage", ";", 2), ("semicolon_usage", ";", 10), ("em_dash_usage", "--", 6), ("not_just_but", "not only d but", 12)}
+
+
+def test_running_sums_in_ranges(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(R, "SAMPLE", 60)
+    monkeypatch.setattr(R, "RANGE", 4)
+    rng = random.Random(1)
+    rows = [(rng.choice("aabc"), round(rng.random() * rng.choice([1, 20]), 1)) for _ in range(900)] + [("d", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "feature string, rate double")
+    groups = {}
+    for f, r in rows:
+        if r is not None:
+            groups.setdefault(f, []).append(r)
+    got = {r.feature: r for r in R.nearest_ranks(df, ["feature"], "rate", (0.05, 0.5, 0.95)).collect()}
+    lin = {r.feature: r for r in R.linear_quantiles(df, ["feature"], "rate", (0.0, 0.05, 0.5, 1.0), "q").collect()}
+    assert set(got) == set(lin) == set(groups)
+    for f, v in groups.items():
+        v = sorted(v)
+        assert [got[f][f"q{i}"] for i in range(3)] == [v[round(q * (len(v) - 1))] for q in (0.05, 0.5, 0.95)] and got[f].n == len(v)
+        assert lin[f].q == pytest.approx(np.quantile(v, (0.0, 0.05, 0.5, 1.0)).tolist()) and (lin[f].min, lin[f].max) == (v[0], v[-1])
+
+
+def test_a_large_vocabulary_is_looked_up_in_two_parts(spark):
+    texts = spark.createDataFrame([("the cat saw the dog",), ("the the the owl",)], "text string")
+    model = M.word_model(texts, texts.limit(1)).orderBy("token")
+    rows = spark.createDataFrame([(1, i, 0, t, True) for i, t in enumerate("the owl never saw the cat".split())], "doc_id long, pos long, sent long, token string, is_content boolean")
+    want = sorted(map(str, M.looked_up(rows, model).collect()))
+    assert sorted(map(str, M.looked_up(rows, model, 2).collect())) == want and sum("lp_obs=None" in x for x in want) == 1
+
+
+def test_pairs_together_are_each_pair(spark):
+    docs = spark.createDataFrame([(1, "The cat saw the dog. " * 4), (2, "An owl saw the cat, and the cat an owl. " * 3)], "doc_id long, text string")
+    n = M.vocabulary(all=docs.select("text", (F.col("doc_id").cast("int") - 1).alias("n_x")), other=docs.limit(1).select("text"))
+    models = {"a": M.pair_model(n, "n_all", "n_x"), "b": M.pair_model(n, "n_other", "n_x")}
+    rows = P.scored_tokens(docs.select("doc_id", F.lit(0).alias("sent"), "text"))
+    both = M.document_scores(M.hot_tokens(M.all_pair_scores(rows, models))).collect()
+    for pair, model in models.items():
+        one = {r.doc_id: tuple(r)[1:] for r in M.document_scores(M.hot_tokens(M.count_model_scores(rows, model))).collect()}
+        got = {r.doc_id: tuple(r)[2:] for r in both if r.pair == pair}
+        assert set(got) == set(one) and all(got[i] == pytest.approx(one[i]) for i in one)
+
+
+def test_a_provider_with_context(spark):
+    """Two models of word pairs; the cross-entropy differs from place to place. A document is whole in any layout."""
+    import math
+    from collections import Counter
+
+    texts = [(i, " ".join("the cat saw a dog and the owl".split()[j % 8] for j in range(i, i * 7 + 9))) for i in range(30)]
+    seen = [(a, b) for _, t in texts for a, b in zip(["^", *t.split()], t.split(), strict=False)]
+    loads = spark.sparkContext.accumulator(0)
+
+    def provider(documents):
+        loads.add(1)
+        pairs, first, vocabulary = Counter(seen), Counter(a for a, _ in seen), sorted({b for _, b in seen})
+        lp = lambda a, b, k: math.log((pairs[a, b] + k) / (first[a] + k * len(vocabulary)))
+        for doc in documents:
+            assert doc["doc_id"].nunique() == 1 and doc["pos"].tolist() == list(range(len(doc)))
+            before = ["^", *doc["token"].tolist()[:-1]]
+            doc["lp_obs"] = [lp(a, b, 1.0) for a, b in zip(before, doc["token"], strict=True)]
+            doc["lp_perf"] = [lp(a, b, 0.1) for a, b in zip(before, doc["token"], strict=True)]
+            doc["xent"] = [-sum(math.exp(lp(a, b, 1.0)) * lp(a, b, 0.1) for b in vocabulary) for a in before]
+            yield doc
+
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    rows = P.scored_tokens(docs.select("doc_id", F.lit(0).cast("long").alias("sent"), "text"))
+    got = M.provided_scores(rows.withColumn("pos", F.col("pos").cast("long")), provider)
+    scores = {r.doc_id: r for r in M.document_scores(M.hot_tokens(got)).collect()}
+    assert {i: r.tokens for i, r in scores.items()} == {i: len(t.split()) for i, t in texts}
+    assert got.select("xent").distinct().count() > 3 and all(0 < r.b < 3 for r in scores.values())
+
+
 def test_bands_by_basis(spark):
     doc = spark.createDataFrame([("f_43_type_token", 0.1, 0.2, 0.3), ("f_35_because", 1.0, 2.0, 3.0)], "feature string, p05 double, p50 double, p95 double")
     sim = spark.createDataFrame([("f_35_because", 1.0, 2.0, 3.0, 0.5)], "feature string, p05 double, p50 double, p95 double, sd double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 import numpy as np
@@ -122,18 +123,21 @@ def segment_scan(segments: DataFrame, reference: DataFrame, least: int = SCAN_SE
     )
 
 
-def _drawn(replicas: pd.DataFrame, segments: pd.DataFrame, n_docs: int, names: list[str], longest: int, seed: int) -> pd.DataFrame:
+def draw(seed: int, replica: int, step: int) -> int:
+    """The number of a replica's step: the first 32 bits of an MD5, which SQL can form as well."""
+    return int(hashlib.md5(f"{seed}:{replica}:{step}".encode()).hexdigest()[:8], 16)
+
+
+def _drawn(replicas: pd.DataFrame, segments: pd.DataFrame, names: list[str], longest: int, seed: int) -> pd.DataFrame:
     """Of a document's replicas, for each feature the running sums of words and counts over the segments drawn."""
     if replicas.empty or segments.empty:
         return pd.DataFrame({"feature": [], "replica": [], "tokens": [], "counts": []})
     wide = segments.pivot_table(index=["seg", "tokens"], columns="feature", values="n", aggfunc="first").reindex(columns=names).fillna(0)
     tokens, counts, rows = wide.index.get_level_values("tokens").to_numpy(), wide.to_numpy(np.int64), []
     for r in sorted(replicas["replica"]):
-        rng = np.random.default_rng([seed, int(r)])
-        rng.integers(n_docs)  # the draw of the document
         picked, held = [], 0
         while held < longest:
-            picked.append(int(rng.integers(len(tokens))))
+            picked.append(draw(seed, int(r), len(picked) + 1) % len(tokens))
             held += int(tokens[picked[-1]])
         upto, sums = np.cumsum(tokens[picked], dtype=np.int64), counts[picked].cumsum(0)
         rows += [(name, int(r), upto, sums[:, k]) for k, name in enumerate(names)]
@@ -159,8 +163,8 @@ def length_bands(profile: DataFrame, at: list[int], replicas: int = REPLICAS, se
     written them.
 
     A replica picks a document of the profile (doc, seg, tokens, feature, n), then draws its segments with
-    replacement until they have so many words; the last one isn't cut. Each replica has a seed of its own, and
-    a shorter text is the start of a longer one. Only the documents picked are fetched, each to one task.
+    replacement until they have so many words; the last one isn't cut. A step of a replica is a hash of the seed and
+    both numbers, and a shorter text is the start of a longer one. Only the documents picked are fetched, each to one task.
     """
     spark = profile.sparkSession
     known = profile.where("tokens > 0 and doc is not null")
@@ -168,15 +172,15 @@ def length_bands(profile: DataFrame, at: list[int], replicas: int = REPLICAS, se
     n_docs = every.count()
     if not n_docs or not at:
         return spark.createDataFrame([], "words long, feature string, p05 double, p50 double, p95 double, sd double")
-    picked = [int(np.random.default_rng([seed, r]).integers(n_docs)) for r in range(replicas)]
+    picked = [draw(seed, r, 0) % n_docs for r in range(replicas)]
     wanted = set(picked)
     doc_at = {i: doc for doc, i in every.zipWithIndex().filter(lambda x: x[1] in wanted).collect()}
     every.unpersist()
     names = sorted(r.feature for r in known.select("feature").distinct().collect())
     plan = spark.createDataFrame([(r, doc_at[i]) for r, i in enumerate(picked)], f"replica long, doc {known.schema['doc'].dataType.simpleString()}")
     own = known.join(F.broadcast(plan.select("doc").distinct()), "doc", "left_semi").select("doc", "seg", "tokens", "feature", "n")
-    draw = partial(_drawn, n_docs=n_docs, names=names, longest=max(at), seed=seed)
-    drawn = plan.groupBy("doc").cogroup(own.groupBy("doc")).applyInPandas(lambda a, b: draw(a, b), "feature string, replica long, tokens array<bigint>, counts array<bigint>")
+    run = partial(_drawn, names=names, longest=max(at), seed=seed)
+    drawn = plan.groupBy("doc").cogroup(own.groupBy("doc")).applyInPandas(lambda a, b: run(a, b), "feature string, replica long, tokens array<bigint>, counts array<bigint>")
     return drawn.groupBy("feature").applyInPandas(lambda x: _bands_of(x, at), "words long, feature string, p05 double, p50 double, p95 double, sd double")
 
 

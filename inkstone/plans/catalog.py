@@ -226,7 +226,7 @@ def registry(spark, sf) -> DataFrame:
 
 
 def simulated(spark, sf) -> DataFrame:
-    return PR.simulated_bands(profile_segments(spark, sf), 1000)
+    return rounded(PR.simulated_bands(profile_segments(spark, sf), 1000), "p05", "p50", "p95", "sd")
 
 
 def structural(spark, sf) -> DataFrame:

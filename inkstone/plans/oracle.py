@@ -231,6 +231,20 @@ T["seg_p"] = (
 )
 
 
+def drawn(r: str, k: str) -> str:
+    return f"('0x' || substr(md5('0:' || {r} || ':' || {k}), 1, 8))::BIGINT"
+
+
+T["sim_docs"] = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM profile WHERE tokens > 0)"
+T["sim_segs"] = "SELECT doc_id, seg_id::BIGINT AS seg_id, tokens, row_number() OVER (PARTITION BY doc_id ORDER BY seg_id) - 1 AS j, count(*) OVER (PARTITION BY doc_id) AS m FROM (SELECT DISTINCT doc_id, seg_id, tokens FROM profile WHERE tokens > 0)"
+#: Walks of the replicas over the segments of the documents that they pick, until they have so many words.
+T["walk_1000"] = (
+    f"SELECT r, doc_id, 0 AS k, -1::BIGINT AS seg_id, 0::BIGINT AS held FROM range(2000) t(r) JOIN sim_docs ON i = {drawn('r', '0')} % n UNION ALL "
+    f"SELECT w.r, w.doc_id, w.k + 1, s.seg_id, w.held + s.tokens FROM walk_1000 w JOIN sim_segs s ON s.doc_id = w.doc_id AND s.j = {drawn('w.r', '(w.k + 1)')} % s.m WHERE w.held < 1000"
+)
+T["sim_rates"] = "SELECT r, feature, 1000.0::DOUBLE * sum(n) / max(total) AS rate FROM (SELECT *, max(held) OVER (PARTITION BY r) AS total FROM walk_1000) w JOIN profile p ON p.doc_id = w.doc_id AND p.seg_id = w.seg_id WHERE k > 0 GROUP BY r, feature"
+
+
 def pair_tables(pair: str) -> None:
     other = "SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM human)" if pair == "quality" else "SELECT text FROM conversations WHERE role = 'assistant'"
     split = f"unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token"
@@ -361,6 +375,7 @@ Q: dict[str, str] = {
     "recurring_rules": "SELECT doc_id, rule, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, rule) AS r FROM (SELECT doc_id, rule, count(*) AS n FROM found WHERE line > 0 GROUP BY ALL HAVING count(*) >= 3)) WHERE r <= 10",
     "worklist": "SELECT *, CASE WHEN severity >= 0.9 THEN 'ERR' WHEN severity >= 0.6 THEN 'WARN' ELSE 'sugg' END AS label FROM merged WHERE line > 0",
     "findings_merged": "SELECT * FROM merged",
+    "simulated_bands": "SELECT feature, round(quantile_cont(rate, 0.05), 6) AS p05, round(quantile_cont(rate, 0.5), 6) AS p50, round(quantile_cont(rate, 0.95), 6) AS p95, round(stddev_pop(rate), 6) AS sd FROM sim_rates GROUP BY feature",
     "sample_slices": "SELECT * FROM slices",
     "sample_draws": "SELECT * FROM draws",
     "sample_accepted": "SELECT * FROM sampled",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.operators import features, findings, heuristics, lexical, parse, profile, statistical
+from inkstone.operators import features, findings, heuristics, lexical, parse, profile, statistical, tagging
 from inkstone.sources import files
 
 
@@ -18,10 +19,11 @@ def layers(spark: SparkSession, docs: DataFrame, rules: DataFrame, known: dict |
     found, metrics = heuristics.heuristics(paras, parse.sentences(paras))
     parts = [lexical.lexical(parse.lines(docs), rules), found]
     if known:
-        counts = features.counts(parse.prose(paras))
+        counts = features.counts(parse.prose(paras), tagger=tagging.tagged)
         bands = profile.length_bands(known["segments"], profile.lengths(counts))
         parts.append(profile.structural(counts, profile.chosen_bands(bands, known["bands"], None, 0)))
-        segments = features.counts(parse.segments(paras), ["doc_id", "seg_id", "words"])
+        key = ["doc_id", "seg_id", "words"]
+        segments = features.counts(parse.segments(paras), key, partial(tagging.tagged, key=key))
         parts.append(profile.segment_findings(profile.segment_scan(segments, known["segments"].select("feature", "rate"))))
     return findings.union(*parts), metrics
 
@@ -40,20 +42,32 @@ def report(spark: SparkSession, args) -> int:
     else:
         for row in out.orderBy("doc_id").toLocalIterator():
             print(row.report if args.json else findings.render(row.report))
-    if not known:
-        print("No profile given: the structural layer did not run.", file=sys.stderr)
+    for hint in setup_hints(args):
+        print(hint, file=sys.stderr)
     return 0
 
 
+def setup_hints(args) -> list[str]:
+    """What a report didn't look at, and the command that would change it."""
+    out = []
+    if not args.profile:
+        out.append("No profile given: the structural layer did not run. Build one with: baseline PATHS --name NAME, then report --profile NAME.")
+    if not args.rules:
+        out.append("Only the built-in rules were matched. Rule files in YAML are given with --rules FILE; lexical.compile_excess, compile_list and compile_trigrams make them of vocabularies.")
+    out.append("Token statistics are a command of their own: stat PATHS --observer CORPUS --performer CORPUS; statistical.provided_scores takes models of language.")
+    return out
+
+
 def build(spark: SparkSession, args) -> int:
     docs = files.corpus(spark, *args.paths)
     paras = parse.paragraphs(docs)
     admission = profile.admitted(paras)
     profile.check_corpus(admission)
     kept = paras.join(admission.where("kept"), "doc_id", "left_semi")
-    counts = features.counts(parse.prose(kept))
+    counts = features.counts(parse.prose(kept), tagger=tagging.tagged)
     segs = parse.segments(paras).where(F.col("words") >= profile.SEGMENT_WORDS)
-    per = features.counts(segs.select("doc_id", "seg_id", "words", "text"), ["doc_id", "seg_id", "words"])
+    key = ["doc_id", "seg_id", "words"]
+    per = features.counts(segs.select(*key, "text"), key, partial(tagging.tagged, key=key))
     per = per.select(F.col("doc_id").alias("doc"), F.col("seg_id").alias("seg"), "tokens", "feature", "n", "rate")
     _, metrics = heuristics.heuristics(kept, parse.sentences(kept))
     files.save_profile(args.profiles, args.name, bands=profile.bands(counts), segments=per, metrics=profile.metric_bands(metrics, ["sentence_cv", "paragraph_cv"]))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from inkstone.functions.text import word_count
 from inkstone.operators.features import NO_RATE, is_key_tell
 from inkstone.operators.findings import finding
+from inkstone.operators.glossary import glossary
 from inkstone.operators.ranks import linear_quantiles, nearest_ranks, running
 
 QUANTILES = (0.05, 0.50, 0.95)
@@ -205,9 +206,10 @@ def chosen_bands(simulated: DataFrame | None, doc_bands: DataFrame, segment_band
 def structural(features: DataFrame, bands_: DataFrame) -> DataFrame:
     """Findings of the features out of their band, the MOST_FINDINGS with the largest sigma for each document."""
     top = top_features(out_of_band(features, bands_))
-    text = F.concat(F.lit("A rate "), F.when(F.col("side") > 0, "above").otherwise("below"), F.lit(" the band."))
+    top = top.join(F.broadcast(glossary(features.sparkSession)), ["feature", "side"], "left")
+    what = F.concat(F.when(F.col("side") > 0, "Above").otherwise("Below"), F.lit(" the band: "), F.coalesce("meaning", "feature"), F.lit(". "), F.coalesce("hint", F.lit("")))
     detail = F.map_from_arrays(F.array(F.lit("sigma"), F.lit("rate")), F.array(F.col("sigma").cast("string"), F.col("rate").cast("string")))
-    return finding(top, "structural", F.col("feature"), F.col("severity"), text, payload=detail)
+    return finding(top, "structural", F.col("feature"), F.col("severity"), F.rtrim(what), payload=detail)
 
 
 def segment_findings(scan: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from inkstone.operators import parse as P
 from inkstone.operators import profile as PR
 from inkstone.operators import sampling as S
 from inkstone.operators import statistical as M
+from inkstone.operators import tagging as TG
 from inkstone.sources import files
 from inkstone.sources.store import stored
 
@@ -279,6 +280,7 @@ QUERIES = {
     "trigram_hits": lambda s, d: L.trigram_hits(sents(s, d), bigram_rules(s)).groupBy("doc_id", "trigram").agg(F.count(F.lit(1)).alias("n")),
     # structural
     "feature_counts": lambda s, d: rounded(feature_counts(s, d), "rate"),
+    "tagged_counts": lambda s, d: TG.tagged(docs(s, d)),
     "word_shape": lambda s, d: rounded(X.word_shape(docs(s, d)), "f_43_type_token", "f_44_mean_word_length"),
     "doc_bands": doc_bands,
     "segment_bands": lambda s, d: PR.bands(profile_segments(s, d), digits=6),

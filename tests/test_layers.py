@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inkstone.operators import edits as E
 from inkstone.operators import features as X
 from inkstone.operators import findings as FI
+from inkstone.operators import glossary as GL
 from inkstone.operators import heuristics as H
 from inkstone.operators import lexical as L
 from inkstone.operators import parse as P
@@ -16,6 +17,7 @@ from inkstone.operators import profile as PR
 from inkstone.operators import ranks as R
 from inkstone.operators import sampling as S
 from inkstone.operators import statistical as M
+from inkstone.operators import tagging as TG
 from inkstone.schema import FINDING, RULE_TOKEN
 from inkstone.sources import files
 
@@ -265,6 +267,48 @@ def test_phrases(spark):
     assert L.phrase_pattern("not just X, but Y") is None
 
 
+def test_tags():
+    tag = TG.rule_tagger()
+    of = lambda text: dict(zip(text.split(), tag(text.split()), strict=True))
+    got = of("the old house was built by people who wanted to live quietly near rivers .")
+    assert (got["the"], got["old"], got["house"], got["was"], got["built"], got["wanted"], got["live"], got["quietly"], got["."]) == tuple("DJNBEAVR.")
+    assert of("she walks home")["walks"] == "Z" and of("they have walked")["walked"] == "E" and of("he walked home")["walked"] == "A"
+
+
+def test_features_by_tags():
+    def counts(text):
+        words = text.split()
+        return {k for k, n in TG.tagged_counts(words, TG.rule_tagger()(words)).items() if n}
+
+    for feature, text in {
+        "f_01_past_tense": "he walked home .", "f_03_present_tense": "she walks home .", "f_12_proverb_do": "i know that you do .", "f_15_gerunds": "the building of houses .",
+        "f_16_other_nouns": "a river .", "f_27_past_participle_whiz": "the solution produced by them .", "f_28_present_participle_whiz": "the man walking home .",
+        "f_29_that_subj": "the dog that is here .", "f_30_that_obj": "the dog that the man saw .", "f_31_wh_subj": "the dog which is here .", "f_32_wh_obj": "the dog which the man saw .",
+        "f_40_adj_attr": "the famous river .", "f_41_adj_pred": "the river is famous .", "f_60_that_deletion": "i think he is here .", "f_64_phrasal_coordination": "rivers and houses .",
+    }.items():
+        assert feature in counts(text), feature
+    assert "f_64_phrasal_coordination" not in counts("rivers and famous houses .") and "f_41_adj_pred" not in counts("it is a famous river .")
+
+
+def test_a_tagger_gives_all_features(spark):
+    docs = spark.createDataFrame([(1, "The man walking home saw rivers and houses. He was famous."), (2, ""), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.feature): r.n for r in TG.tagged(docs).collect()}
+    assert len(got) == 3 * 15 and got[1, "f_64_phrasal_coordination"] == 1 and got[1, "f_41_adj_pred"] == 1 and got[2, "f_16_other_nouns"] == got[3, "f_16_other_nouns"] == 0
+    rows = X.counts(docs, tagger=TG.tagged).collect()
+    assert {r.doc_id for r in rows} == {1} and {r.feature for r in rows} == set(X.conditions()) | set(X.TAGGED)
+    assert all(r.tokens == 11 and r.rate == pytest.approx(1000 * r.n / 11) for r in rows)
+
+
+def test_each_feature_has_a_gloss(spark):
+    names = set(X.conditions()) | set(X.TAGGED) | set(X.NO_RATE)
+    rows = GL.glossary(spark).collect()
+    assert {r.feature for r in rows} == names and len(rows) == 2 * 67 and set(GL.ABOVE) | set(GL.BELOW) <= names
+    f = spark.createDataFrame([(1, "f_14_nominalizations", 9, 100, 90.0), (1, "f_47_hedges", 0, 100, 0.0)], "doc_id long, feature string, n int, tokens int, rate double")
+    b = spark.createDataFrame([("f_14_nominalizations", 1.0, 2.0, 3.0), ("f_47_hedges", 1.0, 2.0, 3.0)], "feature string, p05 double, p50 double, p95 double")
+    got = {r.rule: r.message for r in PR.structural(f, b).collect()}
+    assert got["f_14_nominalizations"] == "Above the band: nouns made of verbs and adjectives. Say who does what, with a verb." and got["f_47_hedges"].startswith("Below the band: hedges")
+
+
 def test_long_phrases_and_expressions(spark):
     nine = "one two three four five six seven eight nine"
     rules = spark.createDataFrame([("r", "warning", "m", None, t, None) for t in (nine, r"colou?rs?\b", "Five", "b.c", L.strict_pattern("air hung thick"))], RULE_TOKEN)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -14,35 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.sources.store import shared_folder, stored as checkpointed  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of its own only on a local master where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkstone-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table written to the shared folder, packed and pruned when read again.
-
-    The table goes when the application ends, which is after any use of what is read from it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/inkstone-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of a batch that Spark hands to Python, so that a worker's memory doesn't follow the length of texts.
 BATCH_BYTES = "8m"
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"

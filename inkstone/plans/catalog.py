@@ -222,6 +222,18 @@ def chunks(spark, sf) -> DataFrame:
     return P.token_chunks(n, 400, 50)
 
 
+def tex_documents(spark, sf) -> DataFrame:
+    """The documents as TeX: a preamble, and by its number each line as a comment, a macro, an equation, math or plain."""
+    d = docs(spark, sf).select("doc_id", F.split("text", "\n").alias("_l")).where("_l is not null")
+    line = lambda x, i: (
+        F.when((i + 1) % 6 == 0, F.concat(x, F.lit(" % note"))).when((i + 1) % 6 == 1, F.concat(F.lit("\\emph{"), x, F.lit("} \\cite{key} 5\\% left")))
+        .when((i + 1) % 6 == 2, F.concat(F.lit("\\begin{equation}\n"), x, F.lit("\n\\end{equation}"))).when((i + 1) % 6 == 3, F.concat(F.lit("\n"), x))
+        .when((i + 1) % 6 == 4, F.concat(F.lit("$x + 1$ "), x, F.lit(" \\label{a}"))).otherwise(F.concat(F.lit("\\noindent\\textbf[b]{Bold} "), x))
+    )
+    body = F.array_join(F.transform("_l", line), "\n")
+    return d.select("doc_id", F.lit("tex").alias("fmt"), F.concat(F.lit("Head matter.\n\\begin{document}\n"), body, F.lit("\n\\end{document}")).alias("text"))
+
+
 def registry(spark, sf) -> DataFrame:
     return spark.createDataFrame([(0, "quality", "good texts"), (1, "assistant", "answers")], "ord int, name string, axis string")
 
@@ -257,6 +269,7 @@ QUERIES = {
     "lines": lambda s, d: P.lines(docs(s, d)).drop("fmt"),
     "paragraphs": lambda s, d: P.paragraphs(docs(s, d)),
     "paragraphs_line": paras,
+    "tex_paragraphs": lambda s, d: P.paragraphs(tex_documents(s, d)),
     "conversation_paragraphs": lambda s, d: P.paragraphs(files.conversation_documents(table(s, d, "conversations"))).select("doc_id", "para_id", "start_line", "end_line", word_count(F.col("text")).alias("words")),
     "page_text": lambda s, d: files.page_documents(table(s, d, "pages")).select("doc_id", F.length("text").alias("chars"), word_count(F.col("text")).alias("words")),
     "prose_text": lambda s, d: P.prose(paras(s, d)),

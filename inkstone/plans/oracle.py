@@ -320,11 +320,43 @@ def parsed(source: str) -> str:
     )
 
 
+T["tex_lines"] = (
+    "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split('Head matter.' || chr(10) || '\\begin{document}' || chr(10) || string_agg("
+    "CASE line % 6 WHEN 0 THEN text || ' % note' WHEN 1 THEN '\\emph{' || text || '} \\cite{key} 5\\% left' WHEN 2 THEN '\\begin{equation}' || chr(10) || text || chr(10) || '\\end{equation}' "
+    "WHEN 3 THEN chr(10) || text WHEN 4 THEN '$x + 1$ ' || text || ' \\label{a}' ELSE '\\noindent\\textbf[b]{Bold} ' || text END, chr(10) ORDER BY line) || chr(10) || '\\end{document}', chr(10)) AS l FROM lines GROUP BY doc_id)"
+)
+
+
+def tex_cleaned(c: str) -> str:
+    c = rf"regexp_replace({c}, '(^|[^\\])%.*', '\1')"
+    c = rf"regexp_replace({c}, '\$\$?[^$]*\$\$?', '{A}', 'g')"
+    c = rf"regexp_replace({c}, '\\(?:cite[pt]?|eqref|ref|autoref|label)\*?\{{[^}}]*\}}', '{A}', 'g')"
+    c = rf"regexp_replace({c}, '\\(?:begin|end)\{{[^}}]*\}}', '', 'g')"
+    c = rf"regexp_replace({c}, '\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{{([^{{}}]*)\}}', '\1', 'g')"
+    return rf"regexp_replace({c}, '\\[a-zA-Z]+\*?', '', 'g')"
+
+
+ENVIRONMENTS = "equation|align|gather|eqnarray|multline|algorithm|algorithmic|figure|table|tabular|array"
+T["tex_state"] = (
+    rf"SELECT doc_id, line, text, sum(b - e) OVER w AS depth, e FROM (SELECT *, len(regexp_extract_all(text, '\\begin\{{(?:{ENVIRONMENTS})')) AS b, len(regexp_extract_all(text, '\\end\{{(?:{ENVIRONMENTS})')) AS e, "
+    r"min(CASE WHEN contains(text, '\begin{document}') THEN line END) OVER (PARTITION BY doc_id) AS opening FROM tex_lines) WHERE opening IS NULL OR line > opening WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING)"
+)
+TEX_PIECE = f"CASE WHEN depth > 0 OR depth + e > 0 THEN '{A}' ELSE {tex_cleaned('text')} END"
+T["tex_pieces"] = (
+    "SELECT doc_id, line, depth > 0 OR depth + e > 0 AS math, piece, sum((piece = '')::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS p FROM "
+    f"(SELECT *, {strip(TEX_PIECE)} AS piece FROM tex_state)"
+)
+T["tex_paras"] = (
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS para_id, start_line::INT AS start_line, max(end_line)::INT AS end_line, string_agg(piece, ' ' ORDER BY line) AS text FROM "
+    "(SELECT *, min(CASE WHEN NOT math THEN line END) OVER g AS start_line, max(CASE WHEN NOT math THEN line END) OVER g AS end_line FROM tex_pieces WHERE piece <> '' WINDOW g AS (PARTITION BY doc_id, p)) "
+    "WHERE start_line IS NOT NULL AND line >= start_line GROUP BY doc_id, p, start_line"
+)
 _features()
 Q: dict[str, str] = {
     "lines": "SELECT doc_id, line, text FROM lines",
     "paragraphs": parsed("documents"),
     "paragraphs_line": "SELECT * FROM paras",
+    "tex_paragraphs": "SELECT * FROM tex_paras",
     "conversation_paragraphs": f"SELECT doc_id, para_id, start_line, end_line, {words('text')} AS words FROM ({parsed('turns')})",
     "prose_text": "SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY para_id) AS text FROM paras GROUP BY doc_id",
     "sentences": "SELECT doc_id, para_id, line, sent_id, text, n_words FROM sents",

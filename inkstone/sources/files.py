@@ -6,7 +6,8 @@ import gzip
 import io
 import re
 import tarfile
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import yaml
@@ -132,6 +133,36 @@ def atom_entries(feeds: DataFrame) -> DataFrame:
     return cut.select(*[f.alias(n) for f, n in zip(fields, names, strict=True)])
 
 
+def pages_of(fetch: Callable[[int, int], str], size: int = 100, most: int = 10_000, tries: int = 4, wait: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple[int, str]]:
+    """(start, xml) of the pages of a feed, from ``fetch(start, size)``, until a page has no entry or ``most`` are read.
+
+    A fetch that fails with an OSError, as those of urllib do, or a page that isn't a feed is tried again, ``tries``
+    times in all, with a pause that doubles; then the error is raised. Between pages there is one pause.
+    """
+    for start in range(0, most, size):
+        pause = wait
+        for attempt in range(tries):
+            try:
+                xml = fetch(start, min(size, most - start))
+                if "<feed" not in xml:
+                    raise OSError("the answer is no feed")
+                break
+            except OSError:
+                if attempt == tries - 1:
+                    raise
+                sleep(pause)
+                pause *= 2
+        if "<entry>" not in xml:
+            return
+        yield start, xml
+        sleep(wait)
+
+
+def feed_pages(spark: SparkSession, fetch: Callable[[int, int], str], **options) -> DataFrame:
+    """(start, xml) of a feed's pages, fetched by the driver one after the other, as a feed's owner asks for."""
+    return spark.createDataFrame(list(pages_of(fetch, **options)), "start long, xml string")
+
+
 def _projects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []

@@ -438,6 +438,25 @@ def test_archives_and_feeds(spark, tmp_path):
     assert (row.id, row.title, row.category, row.doi, row.journal_ref) == ("1", "A b", "cs.CL", "10.1/2", None) and row.published.year == 2020
 
 
+def test_feeds_are_read_page_by_page_with_retries(spark):
+    calls, pauses = [], []
+
+    def fetch(start, size):
+        calls.append((start, size))
+        if calls.count((start, size)) == 1 and start == 2:
+            raise OSError("busy")
+        if len(calls) == 1:
+            return "<html>no feed</html>"
+        return "<feed>" + "".join(f"<entry><id>{i}</id></entry>" for i in range(start, min(start + size, 5))) + "</feed>"
+
+    pages = files.feed_pages(spark, fetch, size=2, most=100, wait=1.0, sleep=pauses.append)
+    assert sorted(r.id for r in files.atom_entries(pages).collect()) == list("01234")
+    assert calls == [(0, 2), (0, 2), (2, 2), (2, 2), (4, 2), (6, 2)] and pauses == [1.0] * 5
+    with pytest.raises(OSError):
+        list(files.pages_of(lambda a, b: "", tries=3, sleep=pauses.append))
+    assert pauses[5:] == [3.0, 6.0]
+
+
 def test_sections_and_chance_flags(spark):
     rows = [(1, 0, 0, 0, "s", r, 0.5, "m", "", p) for r, p in (("a", {"sigma": "2.5"}), ("b", {"sigma": "9"}), ("c", {"p": "0.01"}), ("d", None))]
     parts = FI.profile_sections(spark.createDataFrame(rows, FINDING))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.functions.text import word_count
+from inkstone.functions.text import tokens, word_count
 from inkstone.operators import edits as E
 from inkstone.operators import features as X
 from inkstone.operators import findings as FI
@@ -85,6 +85,14 @@ def metrics(spark, sf) -> DataFrame:
     return H.heuristics(p, s)[1]
 
 
+METRICS = ["sentence_cv", "paragraph_cv", "strong_per_1k", "all_per_1k"]
+
+
+def all_metrics(spark, sf) -> DataFrame:
+    dense = L.density(lexical_findings(spark, sf), paras(spark, sf)).select("doc_id", "strong_per_1k", "all_per_1k")
+    return metrics(spark, sf).join(dense, "doc_id", "left")
+
+
 def models(spark, sf) -> dict[str, DataFrame]:
     """The models of the pairs: documents against texts of good quality, or against answers in conversations."""
     good = human(spark, sf).withColumn("n_good", F.lit(1))
@@ -218,7 +226,7 @@ def bigram_rules(spark) -> DataFrame:
 
 
 def chunks(spark, sf) -> DataFrame:
-    n = docs(spark, sf).select("doc_id", word_count(F.col("text")).alias("n"))
+    n = docs(spark, sf).select("doc_id", F.size(tokens(F.col("text"))).alias("n"))
     return P.token_chunks(n, 400, 50)
 
 
@@ -297,7 +305,7 @@ QUERIES = {
     "word_shape": lambda s, d: rounded(X.word_shape(docs(s, d)), "f_43_type_token", "f_44_mean_word_length"),
     "doc_bands": doc_bands,
     "segment_bands": lambda s, d: PR.bands(profile_segments(s, d), digits=6),
-    "metric_bands": lambda s, d: rounded(PR.metric_bands(good_only(s, d, metrics(s, d)), ["sentence_cv", "paragraph_cv"]), "p05", "p50", "p95"),
+    "metric_bands": lambda s, d: rounded(PR.metric_bands(good_only(s, d, all_metrics(s, d)), METRICS), "p05", "p50", "p95"),
     "corpus_admission": lambda s, d: PR.admitted(paras(s, d)),
     "out_of_band": lambda s, d: rounded(deviations(s, d), "rate", "sigma"),
     "top_features": lambda s, d: rounded(PR.top_features(deviations(s, d)), "rate", "sigma"),

@@ -180,6 +180,27 @@ T["lex"] = (
     f"UNION ALL {plain_hits('semicolon_usage', '0.3', ';')} UNION ALL {plain_hits('em_dash_usage', '0.3', '—')} "
     f"UNION ALL {plain_hits('not_just_but', '0.6', '(?i)\\bnot (?:just|only|merely)\\b[^.!?]{1,80}?\\bbut\\b')}"
 )
+T["mend_hits"] = (
+    "SELECT doc_id, line, word AS match, span_start - 1 AS s, span_start - 1 + length(word) AS e, kind, repl FROM line_words JOIN "
+    "(VALUES ('thing', 'replace', 'item'), ('idiot', 'replace', 'person'), ('than', 'replace', 'then'), ('trash', 'delete', NULL), ('pathetic', 'delete', NULL), ('stupid', 'delete', NULL)) r(w, kind, repl) ON lower(word) = w "
+    f"UNION ALL SELECT doc_id, line, match, span_start - 1, span_start, 'split', NULL FROM ({plain_hits('semicolon_usage', '0.3', ';')})"
+)
+T["mend_marks"] = (
+    r"SELECT *, length(regexp_extract(substr(text, s + 1), '^;\s*')) AS gap, e + length(regexp_extract(substr(text, e + 1), '^,?\s*')) AS after, s = 0 OR regexp_matches(substr(text, 1, s), '[.!?]\s+$') AS initial "
+    "FROM mend_hits JOIN lines USING (doc_id, line)"
+)
+T["mend_edits"] = (
+    "SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY start DESC, stop DESC, new DESC) AS i FROM (SELECT doc_id, line, text, s AS start, "
+    r"CASE WHEN kind = 'replace' THEN e WHEN kind = 'split' THEN s + gap + 1 WHEN initial AND regexp_matches(substr(text, after + 1, 1), '^\p{Ll}') THEN after + 1 ELSE after END AS stop, "
+    r"CASE WHEN kind = 'replace' THEN CASE WHEN regexp_matches(match, '^\p{Lu}') THEN upper(repl[1]) || repl[2:] ELSE repl END WHEN kind = 'split' THEN '. ' || upper(substr(text, s + gap + 1, 1)) "
+    r"WHEN initial AND regexp_matches(substr(text, after + 1, 1), '^\p{Ll}') THEN upper(substr(text, after + 1, 1)) ELSE '' END AS new "
+    r"FROM mend_marks WHERE kind <> 'split' OR (gap > 0 AND regexp_matches(substr(text, s + gap + 1, 1), '^\p{L}$')))"
+)
+T["mend_walk"] = (
+    "SELECT doc_id, line, 0::BIGINT AS i, text, text AS t, length(text)::BIGINT AS edge, 0 AS n FROM (SELECT DISTINCT doc_id, line, text FROM mend_edits) UNION ALL "
+    "SELECT w.doc_id, w.line, m.i, w.text, CASE WHEN m.stop <= w.edge THEN substr(w.t, 1, m.start::BIGINT) || m.new || substr(w.t, m.stop::BIGINT + 1) ELSE w.t END, CASE WHEN m.stop <= w.edge THEN m.start ELSE w.edge END::BIGINT, "
+    "CASE WHEN m.stop <= w.edge THEN w.n + 1 ELSE w.n END FROM mend_walk w JOIN mend_edits m ON m.doc_id = w.doc_id AND m.line = w.line AND m.i = w.i + 1"
+)
 T["scv"] = "SELECT doc_id, count(*) AS sentences, stddev_samp(n_words) / avg(n_words) AS cv FROM sents GROUP BY doc_id HAVING count(*) >= 15"
 T["pcv"] = f"SELECT doc_id, count(*) AS paragraphs, stddev_samp(n) / avg(n) AS cv FROM (SELECT doc_id, {words('text')} AS n FROM paras) WHERE n >= 10 GROUP BY doc_id HAVING count(*) >= 8"
 T["generic"] = (
@@ -202,6 +223,19 @@ T["merge_walk"] = (
     "FROM merge_walk w JOIN merge_in m ON m.doc_id = w.doc_id AND m.line = w.line AND m.i = w.i + 1"
 )
 T["merged"] = "SELECT m.* EXCLUDE (i) FROM merge_in m JOIN merge_walk w ON m.doc_id = w.doc_id AND m.line = w.line AND m.i = w.i WHERE ok UNION ALL SELECT * FROM found WHERE line <= 0"
+T["dense"] = "SELECT doc_id, 1000.0::DOUBLE * coalesce(s, 0) / greatest(1, words) AS strong, 1000.0::DOUBLE * coalesce(n, 0) / greatest(1, words) AS every FROM doc_words LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE severity >= 0.6) AS s, count(*) AS n FROM found WHERE layer = 'lexical' GROUP BY doc_id) USING (doc_id)"
+MESSAGES = {
+    "excess_words": "A word in excess.", "semicolon_usage": "A semicolon.", "em_dash_usage": "An em dash.", "not_just_but": "The scaffold 'not just X but Y'.",
+    "uniform_sentences": "Sentence lengths vary little.", "uniform_paragraphs": "Paragraph lengths vary little.", "generic_paragraph": "A long paragraph names nothing concrete.",
+}
+T["report_rows"] = (
+    "SELECT doc_id, line, span_start, rule, '{\"line\":' || line || ',\"span_start\":' || span_start || ',\"span_end\":' || span_end || ',\"layer\":\"' || layer || '\",\"rule\":\"' || rule || '\",\"severity\":' || severity || "
+    "',\"message\":\"' || CASE rule " + " ".join(f"WHEN '{r}' THEN '{m.replace(chr(39), 2 * chr(39))}'" for r, m in MESSAGES.items()) + " END || '\",\"match\":' || to_json(match)::VARCHAR || '}' AS j FROM merged"
+)
+T["report_meta"] = (
+    f"SELECT doc_id, '{{\"doc_id\":' || doc_id || ',\"paragraphs\":' || p || ',\"words\":' || w || ',\"sentences\":' || coalesce(s, 0) || coalesce(',\"sentence_cv\":' || round(scv.cv, 3), '') || coalesce(',\"paragraph_cv\":' || round(pcv.cv, 3), '') || '}}' AS m "
+    f"FROM (SELECT doc_id, count(*) AS p, sum({words('text')})::BIGINT AS w FROM paras GROUP BY doc_id) LEFT JOIN (SELECT doc_id, count(*) AS s FROM sents GROUP BY doc_id) USING (doc_id) LEFT JOIN scv USING (doc_id) LEFT JOIN pcv USING (doc_id)"
+)
 T["doc_words"] = f"SELECT doc_id, sum({words('text')})::BIGINT AS words FROM paras GROUP BY doc_id"
 
 
@@ -365,7 +399,7 @@ Q: dict[str, str] = {
     "scored_sentences": "SELECT * FROM scored",
     "units": "SELECT doc_id, unit_id, line, n_sents, words, text FROM units",
     "scored_tokens": "SELECT * FROM score_toks",
-    "token_chunks": f"SELECT doc_id, c::INT AS chunk, (c * 350)::INT AS start, least(c * 350 + 400, n)::INT AS stop, CASE WHEN c = 0 THEN 1 ELSE 50 END AS score_from FROM (SELECT doc_id, n, unnest(range(0, greatest(0, ceil((n - 400) / 350.0))::INT + 1)) AS c FROM (SELECT doc_id, {words('text')} AS n FROM documents) WHERE n > 0)",
+    "token_chunks": f"SELECT doc_id, c::INT AS chunk, (c * 350)::INT AS start, least(c * 350 + 400, n)::INT AS stop, CASE WHEN c = 0 THEN 1 ELSE 50 END AS score_from FROM (SELECT doc_id, n, unnest(range(0, greatest(0, ceil((n - 400) / 350.0))::INT + 1)) AS c FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '{TOKEN}')) AS n FROM documents) WHERE n > 0)",
     "document_counts": f"SELECT doc_id, paragraphs, words, coalesce(s, 0) AS sentences FROM (SELECT doc_id, count(*) AS paragraphs, sum({words('text')})::BIGINT AS words FROM paras GROUP BY doc_id) LEFT JOIN (SELECT doc_id, count(*) AS s FROM sents GROUP BY doc_id) USING (doc_id)",
     "sentence_cv": "SELECT doc_id, sentences, round(cv, 6) AS cv FROM scv",
     "paragraph_cv": "SELECT doc_id, paragraphs, round(cv, 6) AS cv FROM pcv",
@@ -378,7 +412,7 @@ Q: dict[str, str] = {
     "word_shape": rf"SELECT doc_id, round(len(list_distinct(w[1:400]))::DOUBLE / len(w[1:400]), 6) AS f_43_type_token, round(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w), 6) AS f_44_mean_word_length FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda x: regexp_matches(x, '^[\p{{L}}\p{{N}}]')) AS w FROM documents) WHERE len(w) > 0",
     "doc_bands": bands_of("human_feats", "feature", "rate", 6),
     "segment_bands": bands_of("profile", "feature", "rate", 6),
-    "metric_bands": "SELECT * FROM (" + bands_of("(SELECT 'sentence_cv' AS metric, doc_id, round(cv, 3) AS value FROM scv UNION ALL SELECT 'paragraph_cv', doc_id, round(cv, 3) FROM pcv) x WHERE doc_id IN (SELECT doc_id FROM human)", "metric", "value", 3).replace("round(list_sort", "round(list_sort") + ") WHERE n >= 3",
+    "metric_bands": "SELECT * FROM (" + bands_of("(SELECT 'sentence_cv' AS metric, doc_id, round(cv, 3) AS value FROM scv UNION ALL SELECT 'paragraph_cv', doc_id, round(cv, 3) FROM pcv UNION ALL SELECT 'strong_per_1k', doc_id, strong FROM dense UNION ALL SELECT 'all_per_1k', doc_id, every FROM dense) x WHERE doc_id IN (SELECT doc_id FROM human)", "metric", "value", 3).replace("round(list_sort", "round(list_sort") + ") WHERE n >= 3",
     "corpus_admission": "SELECT doc_id, words, words >= 300 AS kept FROM doc_words",
     "out_of_band": "SELECT doc_id, feature, round(rate, 6) AS rate, side, round(sigma, 6) AS sigma, key, round(least(0.55::DOUBLE + 0.06::DOUBLE * sigma + CASE WHEN key THEN 0.1::DOUBLE ELSE 0 END, 0.95::DOUBLE), 2) AS severity FROM deviating",
     "top_features": "SELECT doc_id, feature, round(rate, 6) AS rate, side, round(sigma, 6) AS sigma, key, rank, round(least(0.55::DOUBLE + 0.06::DOUBLE * sigma + CASE WHEN key THEN 0.1::DOUBLE ELSE 0 END, 0.95::DOUBLE), 2) AS severity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sigma DESC, feature) AS rank FROM deviating) WHERE rank <= 12",
@@ -406,6 +440,8 @@ Q: dict[str, str] = {
     "findings_per_1k": "SELECT doc_id, words, coalesce(n, 0) AS findings, coalesce(s, 0) AS strong, round(1000.0::DOUBLE * coalesce(n, 0) / greatest(1, words), 6) AS per_1k, round(1000.0::DOUBLE * coalesce(s, 0) / greatest(1, words), 6) AS strong_per_1k FROM doc_words LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE severity >= 0.6) AS s FROM found GROUP BY doc_id) USING (doc_id)",
     "recurring_rules": "SELECT doc_id, rule, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, rule) AS r FROM (SELECT doc_id, rule, count(*) AS n FROM found WHERE line > 0 GROUP BY ALL HAVING count(*) >= 3)) WHERE r <= 10",
     "worklist": "SELECT *, CASE WHEN severity >= 0.9 THEN 'ERR' WHEN severity >= 0.6 THEN 'WARN' ELSE 'sugg' END AS label FROM merged WHERE line > 0",
+    "mended_lines": "SELECT doc_id, line, text, regexp_replace(t, ' {2,}', ' ', 'g') AS fixed, n AS n_edits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i DESC) AS last FROM mend_walk) WHERE last = 1",
+    "reports": "SELECT doc_id, '{\"meta\":' || m || ',\"findings\":[' || coalesce(f, '') || ']}' AS report FROM report_meta LEFT JOIN (SELECT doc_id, string_agg(j, ',' ORDER BY line, span_start, rule, j) AS f FROM report_rows GROUP BY doc_id) USING (doc_id)",
     "findings_merged": "SELECT * FROM merged",
     "simulated_bands": "SELECT feature, round(quantile_cont(rate, 0.05), 6) AS p05, round(quantile_cont(rate, 0.5), 6) AS p50, round(quantile_cont(rate, 0.95), 6) AS p95, round(stddev_pop(rate), 6) AS sd FROM sim_rates GROUP BY feature",
     "sample_slices": "SELECT * FROM slices",

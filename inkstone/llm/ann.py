@@ -42,7 +42,7 @@ SAMPLE, ROUNDS = 16_384, 8
 #: Vectors of the sample for each centroid and entries for each cell, at least; no codebook is larger than MAX_CODES.
 PER_CODE, PER_CELL, MIN_CODES, MAX_CODES = 32, 4, 4, 256
 #: Share of the neighbours of ASKED vectors of the sample that the search has to visit.
-TARGET, ASKED = 0.95, 512
+TARGET, ASKED = 0.96, 512
 #: Entries and queries that a task compares at once.
 BLOCK, QUERIES = 4096, 256
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import arrow_map, checkpointed, table, utf8_view
+from inkstone.llm.common import arrow_map, checkpointed, distinct, table, utf8_view
 from inkstone.llm.components import components
 
 SEED = 42
@@ -94,7 +94,7 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> bytes:
 
 def sketch(text: bytes, words: int = WIDE_SHINGLE) -> bytes:
     """A set of shingles as its digest of 16 bytes, its size in 8, and the parities of its buckets."""
-    h = np.unique(shingle_hashes(text, words))
+    h = distinct(shingle_hashes(text, words))
     width = min(max(LEAST_BITS, 1 << (max(1, len(h)) - 1).bit_length()), MOST_BITS)
     odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest() + len(h).to_bytes(8, "little") + np.packbits(odd.astype(bool), bitorder="little").tobytes()
@@ -299,7 +299,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
     for batch in batches:
         data, off = utf8_view(batch.column(1))
         raw = data.tobytes()
-        out = [np.unique(shingle_hashes(raw[off[i] : off[i + 1]], words)).view(np.int64) for i in range(batch.num_rows)]
+        out = [distinct(shingle_hashes(raw[off[i] : off[i + 1]], words)).view(np.int64) for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
@@ -364,7 +364,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, similarity: float,
         data, off = utf8_view(batch.column(1))
         raw, out = data.tobytes(), []
         for i in range(batch.num_rows):
-            h = np.unique(shingle_hashes(raw[off[i] : off[i + 1]], words))
+            h = distinct(shingle_hashes(raw[off[i] : off[i + 1]], words))
             n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
             if len(known) and n:
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)

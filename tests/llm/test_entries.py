@@ -52,7 +52,7 @@ def tables(spark, tmp_path_factory):
     docs += [(400, None, None, None, None), (401, "", "en", "a", 0), (402, "12 34 !", "en", "b", 5), (403, "é", "es", "b", 1), (403, "é", "es", "b", 1), (None, words("de", 9), "de", "a", 3), (404, words("en", 30_000), "en", "c", 9)]
     labels += [(5, None, None), (6, 1, 0), (None, 1, 1), (999, 1, 1)]
     pages = [(i, f"http://x/{i}", rng.choice([None, "", "short", "<p>é" * 40, "".join(rng.choices("abc <>\n", k=rng.randint(90, 300)))])) for i in range(60)]
-    pages += [(7, "http://again", "<p>é" * 40), (7, "http://again", "<p>é" * 40)]
+    pages += [(7, "http://again", "<p>é" * 40), (7, "http://again", "<p>é" * 40), (None, "http://none", "<p>é" * 40), (None, None, "only here " * 20), (None, None, None)]
     gen = np.random.default_rng(32)
     vectors = [(i, gen.normal(size=8).tolist(), 0) for i in range(200)] + [(250, None, 0), (300, [0.0] * 8, 0), (350, [1e-200] * 8, 0), (None, [1.0] * 8, 0), (100, [1.0] * 8, 0)]
     for name, rows, schema in (
@@ -97,14 +97,14 @@ def test_licenses(results, tables):
 def test_pages(results, tables):
     first = {}
     for i, _, h in tables[4]:
-        b = (h or "").encode()
-        first[b] = min(first.get(b, i), i)
+        if i is not None:
+            first[(h or "").encode()] = min(first.get((h or "").encode(), i), i)
     want = Counter()
     for i, _, h in tables[4]:
         b = (h or "").encode()
-        to = first[b] if len(b) >= 100 and first[b] != i else None
+        to = first.get(b) if len(b) >= 100 and first.get(b) != i else None
         want[i, len(b), hashlib.sha256(b).hexdigest(), "response" if to is None else "revisit", to] += 1
-    assert Counter(map(tuple, results("op2_warc_bundles")[1])).keys() == want.keys()
+    assert Counter(map(tuple, results("op2_warc_bundles")[1])) == want
 
 
 def test_digests(results, tables):
@@ -301,3 +301,13 @@ def test_quality(results, tables):
         if r.held_out and r.doc_id in label:
             right.append(r.predicted == label[r.doc_id])
     assert np.mean(right) > 0.95
+
+
+def test_ties():
+    """Equal priorities go to the longer interval, then to the earlier start; equal languages to the smaller name."""
+    hits = [h for h in license_scan.scan("all rights reserved some rights reserved") if h.rule.label == "reserved"]
+    assert [(h.start, h.end) for h in hits] == [(3, 6), (0, 3)] and hits[0].rule.priority > hits[1].rule.priority
+    same = license_scan.scan("cc by cc by all rights reserved")
+    assert [(h.end - h.start, h.start) for h in same] == sorted(((h.end - h.start, h.start) for h in same), key=lambda x: (-x[0], x[1]))
+    model = language_id.Crf(["de", "en"], np.zeros((language_id.DIM, 2), np.float32), np.zeros((2, 2)))
+    assert language_id.predict([b"word other"], language_id.Emissions(model)) == (["de"], pytest.approx(np.array([0.5])))

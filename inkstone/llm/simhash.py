@@ -12,13 +12,19 @@ more than PART fingerprints is dealt out once more, by all sets of n - d positio
 256 ** d can meet. So no pair is missed. Copies are one entry; a part gives the links of a spanning forest of its
 close pairs, not all pairs.
 
-``similar`` finds all pairs of texts whose shingle sets have a Jaccard similarity of at least 0.8. Of the shingles
-in one fixed order the first n - ceil(0.8 n) + 1 of a set of n are its prefix; two similar sets share a shingle of
-their prefixes, so they meet in its list. Shingles that are common in a sample come last in that order, which
-shortens lists and loses no pair. In a list, sizes and a lower bound of the sets' difference (the differing bits of
-the parities of their hashes in buckets) leave a forest of pairs that may be similar, whose trees are loose
-clusters. In a cluster the exact similarity decides, from each text to those not yet reached; clusters of more
-than CLUSTER texts are dealt out as pairs of blocks.
+``similar`` finds all pairs of texts whose shingle sets have a Jaccard similarity of at least 0.8, with the same index.
+Fingerprints of the different word pairs of each text go through it, for NEAR_DISTANCE differing bits: a changed word
+is in two pairs and in five shingles, so these stay nearer. In a component of such links the exact similarity
+decides, from each text to those not yet reached, and leaves classes. Components of more than CLUSTER texts are dealt
+out as pairs of blocks.
+
+A fingerprint estimates similarity, so similar sets may be further apart than that. The rest, links between texts of
+different classes, has an exact way. Of the shingles in one fixed order the first n - ceil(0.8 n) + 1 of a set of n
+are its prefix; two similar sets share a shingle of their prefixes, so they meet in its list. Shingles that are
+common in a sample come last in that order, which shortens lists and loses no pair. Lists that hold one class only
+are left out. In others, sizes and a lower bound of the sets' difference (the differing bits of the parities of their
+hashes in buckets) leave a forest of pairs that may be similar, between classes. Classes that meet in its trees are
+verified as the index's components are.
 
 Copies of a fingerprint within a batch of rows are one row with their ids, so that a fingerprint
 of a third of all documents is dealt a row for each batch.
@@ -38,7 +44,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import arrow_map, checkpointed, distinct, table, utf8_view
@@ -49,6 +55,8 @@ SEED = 42
 SHINGLE, DISTANCE = 3, 2
 #: ``similar``: shingles of five words, Jaccard similarity of at least 0.8.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: The index takes fingerprints of word pairs up to so many differing bits; what is further apart is left to prefixes.
+NEAR_SHINGLE, NEAR_DISTANCE = 2, 5
 #: Parities of a set are in as many buckets as it has shingles or more, a power of two between these.
 LEAST_BITS, MOST_BITS = 512, 1 << 15
 #: Shingles that COMMON or more of about SAMPLE texts have are last in the order, at most MOST_COMMON of them.
@@ -85,19 +93,26 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(octets[:, j], minlength=256) @ BITS for j in range(8)])
 
 
-def fingerprint(text: bytes, words: int = SHINGLE) -> bytes:
-    """The fingerprint's 8 bytes, the most significant bit first."""
-    h = shingle_hashes(text, words)
+def majority(h: np.ndarray) -> bytes:
+    """The bits set in over half the hashes: 8 bytes, the most significant bit first."""
     bits = 2 * bit_counts(h) > len(h) if len(h) else np.zeros(64, bool)
     return np.packbits(bits, bitorder="little").tobytes()[::-1]
 
 
+def fingerprint(text: bytes, words: int = SHINGLE) -> bytes:
+    """The fingerprint's 8 bytes, the most significant bit first."""
+    return majority(shingle_hashes(text, words))
+
+
 def sketch(text: bytes, words: int = WIDE_SHINGLE) -> bytes:
-    """A set of shingles as its digest of 16 bytes, its size in 8, and the parities of its buckets."""
+    """A set of shingles as its digest of 16 bytes, its size in 8, the fingerprint of its word pairs in 8, and the
+    parities of its buckets."""
     h = distinct(shingle_hashes(text, words))
     width = min(max(LEAST_BITS, 1 << (max(1, len(h)) - 1).bit_length()), MOST_BITS)
     odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() + len(h).to_bytes(8, "little") + np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    digest, size = hashlib.blake2b(h.tobytes(), digest_size=16).digest(), len(h).to_bytes(8, "little")
+    pairs = majority(distinct(shingle_hashes(text, NEAR_SHINGLE)))
+    return digest + size + pairs + np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, of: Callable[[bytes, int], bytes]) -> Iterator[pa.RecordBatch]:
@@ -287,12 +302,16 @@ def with_components(fps: DataFrame, reps: DataFrame, links: DataFrame) -> DataFr
     return fps.join(classes, "fp").select(F.explode("ids").alias("doc_id"), "fp", "component_id")
 
 
+def indexed(fps: DataFrame, bits: int, cap: int = PART) -> DataFrame:
+    """(doc_id, fp, component_id): all links of at most ``bits`` (0 to 7) differing bits of 64, exactly."""
+    reps = representatives(fps)
+    return with_components(fps, reps, close_links(reps.where("rep is not null"), bits, cap))
+
+
 def simhash_components(docs: DataFrame, words: int = SHINGLE, bits: int = DISTANCE, cap: int = PART) -> DataFrame:
-    """(doc_id, fingerprint, component_id): all links of at most ``bits`` (0 to 7) differing bits of 64, exactly."""
+    """(doc_id, fingerprint, component_id), with the links of ``indexed``."""
     fps = checkpointed(fingerprints(docs, words))
-    reps = representatives(fps)
-    links = close_links(reps.where("rep is not null"), bits, cap)
-    return with_components(fps, reps, links).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return indexed(fps, bits, cap).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -303,8 +322,9 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
-def cluster_links(rep: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links (member, first of its tree) of a forest over pairs of sets with a Jaccard similarity of ``similarity``.
+def cluster_links(rep: np.ndarray, kin: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (member, first of its tree) of a forest over pairs of sets with a Jaccard similarity of ``similarity``
+    and those of one class (``kin``).
 
     Shared elements are counted from postings of the sets not yet reached, built anew when half of them are.
     """
@@ -325,7 +345,7 @@ def cluster_links(rep: np.ndarray, sets: list[np.ndarray], similarity: float) ->
             n = high - low
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
             both = np.bincount(held[2][at], minlength=len(sets))[left]
-            near = both >= similarity * (size[q] + size[left] - both)
+            near = (kin[left] == kin[q]) | (both >= similarity * (size[q] + size[left] - both))
             links += [(int(rep[i]), int(rep[root])) for i in left[near]]
             todo += left[near].tolist()
             left = left[~near]
@@ -333,20 +353,21 @@ def cluster_links(rep: np.ndarray, sets: list[np.ndarray], similarity: float) ->
 
 
 def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of clusters, or pairs of blocks of one, given in their order: (root, i, j, rep, shingles)."""
+    """Links of clusters, or pairs of blocks of one, given in their order: (root, i, j, rep, kin, shingles)."""
     held, key = [], None
 
     def work() -> pa.RecordBatch:
-        links = cluster_links(np.array([r for r, _ in held]), [s for _, s in held], similarity) if len(held) > 1 else []
+        rep, kin, sets = zip(*held, strict=True) if len(held) > 1 else ((), (), ())
+        links = cluster_links(np.array(rep), np.array(kin), sets, similarity) if rep else []
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        keys = zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True)
-        for k, (root, i, j, rep) in enumerate(keys):
+        keys = zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True)
+        for k, (root, i, j, rep, kin) in enumerate(keys):
             if (root, i, j) != key:
                 yield work()
                 held, key = [], (root, i, j)
-            held.append((rep, np.array(batch.column(4)[k].values.to_numpy(zero_copy_only=False))))
+            held.append((rep, kin, np.array(batch.column(5)[k].values.to_numpy(zero_copy_only=False))))
     yield work()
 
 
@@ -412,43 +433,45 @@ def folded(bits: np.ndarray, octets: int) -> np.ndarray:
     return bits
 
 
-def maybe_links(sketches: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Links of forests over all pairs of a list that may have a Jaccard similarity of ``similarity``.
+def maybe_links(sketches: list[bytes], kin: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Links (kin, kin) of forests over all pairs of a list that are of one class or may have a Jaccard similarity of
+    ``similarity``.
 
     Such sets differ in at most (1 - s) / (1 + s) of their summed sizes, and each differing bit takes a differing
     shingle. Sizes of such pairs are within that factor, so their numbers of buckets are the same or next.
     """
     size = np.array([int.from_bytes(x[16:24], "little") for x in sketches])
-    octets = np.array([len(x) - 24 for x in sketches])
-    share, links = (1 - similarity) / (1 + similarity), []
+    octets = np.array([len(x) - 32 for x in sketches])
+    share, links, kin = (1 - similarity) / (1 + similarity), [], np.array(kin)
     for w in np.unique(octets):
         mine = np.flatnonzero((octets == w) | (octets == 2 * w))
-        bits = np.stack([folded(np.frombuffer(sketches[i], np.uint8, offset=24), w) for i in mine]).view(np.uint64)
-        n = size[mine]
+        bits = np.stack([folded(np.frombuffer(sketches[i], np.uint8, offset=32), w) for i in mine]).view(np.uint64)
+        n, own = size[mine], kin[mine]
 
-        def near(q: int, left: np.ndarray, n: np.ndarray = n, bits: np.ndarray = bits) -> np.ndarray:
-            fits = np.minimum(n[q], n[left]) >= similarity * np.maximum(n[q], n[left]) - 1e-9
+        def near(q: int, left: np.ndarray, n: np.ndarray = n, bits: np.ndarray = bits, own: np.ndarray = own) -> np.ndarray:
+            same = own[left] == own[q]
+            fits = ~same & (np.minimum(n[q], n[left]) >= similarity * np.maximum(n[q], n[left]) - 1e-9)
             fits[fits] = distance(bits[q], bits[left[fits]]) <= share * (n[q] + n[left[fits]]) + 1e-9
-            return fits
+            return same | fits
 
         tree = forest(len(mine), near)
-        links += [(int(mine[i]), int(mine[t])) for i, t in enumerate(tree) if i != t]
+        links += [(int(a), int(b)) for a, b in zip(own, own[tree], strict=True) if a != b]
     return links
 
 
 def _maybe(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of lists given in their order: (list, rep, fp)."""
-    last, reps, sketches, out = None, [], [], []
+    """Links between classes, of lists given in their order: (list, kin, fp)."""
+    last, kin, sketches, out = None, [], [], []
     for batch in batches:
-        for key, rep, fp in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+        for key, own, fp in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
             if key != last:
-                out += [(reps[a], reps[b]) for a, b in maybe_links(sketches, similarity)]
-                last, reps, sketches = key, [], []
-            reps.append(rep)
+                out += maybe_links(sketches, kin, similarity)
+                last, kin, sketches = key, [], []
+            kin.append(own)
             sketches.append(fp)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
         out = []
-    out = [(reps[a], reps[b]) for a, b in maybe_links(sketches, similarity)]
+    out = maybe_links(sketches, kin, similarity)
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -464,33 +487,63 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return np.array([r.key for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def maybe_similar(docs: DataFrame, fps: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links whose trees hold all pairs of representatives with a similarity of at least ``similarity``."""
+def verified(docs: DataFrame, member: DataFrame, similarity: float, cluster: int) -> DataFrame:
+    """(a, b): links whose trees hold all pairs with a similarity of at least ``similarity`` in the clusters of
+    ``member`` (root, kin, rep), and those of one class."""
+    blocks = member.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("root", F.ceil(F.col("_n") / F.lit(cluster)).cast("int").alias("_blocks"))
+    member = member.join(blocks, "root").withColumn("_own", F.pmod(F.xxhash64("rep"), "_blocks").cast("int"))
+    member = member.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_blocks = 1 or _own <> _other")
+    member = member.select("root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "rep", "kin")
+    sets = shingle_sets(picked(docs.select("doc_id", "text"), member.select(F.col("rep").alias("doc_id")).distinct(), "left_semi"))
+    dealt = member.join(sets.dropDuplicates(["doc_id"]).where(F.size("shingles") > 0), F.col("rep") == F.col("doc_id")).select("root", "i", "j", "rep", "kin", "shingles")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
+    return arrow_map(dealt, partial(_verify, similarity=similarity), "a long, b long").distinct()
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, ids): the fingerprints in each batch of sketches, with the representatives that have them."""
+    for batch in batches:
+        held: dict[bytes, list[int]] = {}
+        for fp, rep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(fp, []).append(rep)
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.list_(pa.int64()))], ["fp", "ids"])
+
+
+def index_classes(docs: DataFrame, reps: DataFrame, similarity: float, cluster: int) -> DataFrame:
+    """(node, root): classes of representatives by links of the index with a similarity of at least ``similarity``."""
+    fps = checkpointed(arrow_map(reps.select(F.substring("fp", 25, 8).alias("fp"), "rep"), _held, "fp binary, ids array<bigint>"))
+    near = indexed(fps, NEAR_DISTANCE).select(F.col("component_id").alias("root"), F.col("doc_id").alias("kin"), F.col("doc_id").alias("rep"))
+    return components(verified(docs, checkpointed(near.distinct()), similarity, cluster))
+
+
+def maybe_similar(docs: DataFrame, fps: DataFrame, reps: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between classes in ``known`` (node, root) whose trees hold all pairs of representatives with a
+    similarity of at least ``similarity``."""
     ids = fps.select("fp", F.explode("ids").alias("doc_id")).where("doc_id is not null").join(reps, "fp")
     copies = ids.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("rep")).alias("_copy")).where("_copy").select("doc_id")
     texts = picked(docs.select("doc_id", "text").where("doc_id is not null"), copies, "left_anti")
     run = partial(_prefixes, words=WIDE_SHINGLE, similarity=similarity, common=common_shingles(texts))
     lists = arrow_map(texts.select("doc_id", "text"), run, "key long, rep long").repartition("key").sortWithinPartitions("key")
     lists = arrow_map(lists, _lists, "members array<bigint>").distinct()
-    members = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(reps, "rep").select("list", "rep", "fp")
-    return arrow_map(members.repartition("list").sortWithinPartitions("list", "rep"), partial(_maybe, similarity=similarity), "a long, b long").distinct()
+    members = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(known.toDF("rep", "kin"), "rep", "left")
+    members = members.select("list", "rep", F.coalesce("kin", "rep").alias("kin"))
+    of = Window.partitionBy("list")
+    members = members.withColumn("_open", F.min("kin").over(of) < F.max("kin").over(of)).where("_open")
+    members = members.join(reps, "rep").select("list", "kin", "fp")
+    return arrow_map(members.repartition("list").sortWithinPartitions("list", "kin"), partial(_maybe, similarity=similarity), "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, cluster: int = CLUSTER) -> DataFrame:
     """(doc_id, fp, component_id) with links between texts of a shingle similarity of at least ``similarity``."""
     fps = checkpointed(fingerprints(docs, WIDE_SHINGLE, sketch))
-    reps = representatives(fps)
-    star = checkpointed(components(maybe_similar(docs, fps, reps.where("rep is not null"), similarity)))
-    member = star.select(F.col("node").alias("rep"), "root").unionByName(star.select(F.col("root").alias("rep"), "root").distinct())
-    blocks = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(cluster)).cast("int").alias("_blocks"))
-    member = member.join(blocks, "root").withColumn("_own", F.pmod(F.xxhash64("rep"), "_blocks").cast("int"))
-    member = member.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_blocks = 1 or _own <> _other")
-    member = member.select("root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "rep")
-    sets = shingle_sets(picked(docs.select("doc_id", "text"), member.select(F.col("rep").alias("doc_id")).distinct(), "left_semi"))
-    dealt = member.join(sets.dropDuplicates(["doc_id"]).where(F.size("shingles") > 0), F.col("rep") == F.col("doc_id")).select("root", "i", "j", "rep", "shingles")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
-    links = arrow_map(dealt, partial(_verify, similarity=similarity), "a long, b long").distinct()
-    return with_components(fps, reps, links)
+    reps = checkpointed(representatives(fps))
+    some = reps.where("rep is not null")
+    known = checkpointed(index_classes(docs, some, similarity, cluster))
+    star = checkpointed(components(maybe_similar(docs, fps, some, known, similarity)))
+    loose = star.select(F.col("node").alias("kin"), "root").unionByName(star.select(F.col("root").alias("kin"), "root").distinct())
+    member = known.select(F.col("node").alias("rep"), F.col("root").alias("kin")).unionByName(loose.select(F.col("kin").alias("rep"), "kin"))
+    more = verified(docs, member.join(loose, "kin").select("root", "kin", "rep"), similarity, cluster)
+    return with_components(fps, reps, known.toDF("a", "b").unionByName(more))
 
 
 def first_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

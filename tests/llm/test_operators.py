@@ -631,6 +631,49 @@ def test_no_similar_pair_is_lost(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in simhash.similar(docs_of(spark, rows)).collect()} == want
 
 
+def test_similar_texts_come_through_the_index(spark, monkeypatch):
+    """The index finds near copies by itself and the exact similarity follows; without it the rest loses no pair."""
+    rng = random.Random(14)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for g in range(25):
+        base = rng.choices(words, k=rng.choice([60, 150, 300]))
+        for k in range(4):
+            t = list(base)
+            for _ in range(k * len(t) // 100):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            rows.append((10 * g + k, " ".join(t)))
+    rows += [(1000 + k, " ".join(rng.choices("abc", k=90))) for k in range(5)]  # all word pairs alike, and few shingles
+
+    def bits(t):
+        h = set(simhash.shingle_hashes(t.encode(), 2).tolist())
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    fp = {i: bits(t) for i, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    meet = roots(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= simhash.NEAR_DISTANCE])
+    met = [(a, b) for a, b in alike if meet[a] == meet[b]]
+    assert 20 < len(met) < len(alike) and len({meet[i] for i in range(1000, 1005)}) == 1
+    docs, none = docs_of(spark, rows), spark.createDataFrame([], "a long, b long")
+    found = lambda: {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "maybe_similar", lambda *_: none)
+        assert found() == roots(sets, met)
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "close_links", lambda *_: none)
+        assert found() == roots(sets, alike)
+
+
+def test_lists_of_one_class_are_settled(spark):
+    base = [f"w{i}" for i in range(80)]
+    rows = [(k, " ".join([*base, *[f"x{k}{j}" for j in range(k)]])) for k in range(1, 5)]
+    docs = docs_of(spark, rows)
+    fps = simhash.fingerprints(docs, simhash.WIDE_SHINGLE, simhash.sketch)
+    left = lambda known: sorted(tuple(sorted(r)) for r in simhash.maybe_similar(docs, fps, simhash.representatives(fps), spark.createDataFrame(known, "node long, root long"), 0.8).collect())
+    assert roots(range(1, 5), left([])) == dict.fromkeys(range(1, 5), 1)
+    assert left([(2, 1), (4, 3)]) == [(1, 3)] and left([(2, 1), (3, 1), (4, 1)]) == []
+
+
 def test_components(spark):
     rng = random.Random(11)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(None, 3), (5, None)]

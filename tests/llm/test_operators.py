@@ -682,6 +682,22 @@ def test_components(spark):
     assert got == {i: r for i, r in want.items() if r != i}
 
 
+def test_few_links_are_settled_without_rounds(spark, monkeypatch):
+    """Up to FEW links take one table and no rounds, more take rounds; both give the same."""
+    from inkstone.llm import components as module
+
+    rng = random.Random(21)
+    links = [(i, i + 1) for i in range(300)] + [(rng.randrange(-500, 900), rng.randrange(-500, 900)) for _ in range(400)] + [(1 << 62, -(1 << 62)), (7, 7), (None, 3), (5, None)]
+    want = {i: r for i, r in roots({x for pair in links if None not in pair for x in pair}, [x for x in links if None not in x]).items() if r != i}
+    df, tables = spark.createDataFrame(links, "a long, b long").repartition(5), []
+    monkeypatch.setattr(module, "checkpointed", lambda x, of=common.checkpointed: tables.append(x) or of(x))
+    assert {r.node: r.root for r in components(df).collect()} == want and len(tables) == 1
+    monkeypatch.setattr(module, "FEW", 10, raising=False)
+    assert {r.node: r.root for r in components(df).collect()} == want and len(tables) > 4
+    monkeypatch.undo()
+    assert components(df.where("a = 7 and b = 7")).collect() == components(df.limit(0)).collect() == []
+
+
 # 9
 
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +52,19 @@ MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
 
-@cache
+#: For each base the tables of the largest slice so far; those of a smaller one are their first values.
+POWERS: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of a base modulo 2 ** 64, those of its inverse, and a random value for each byte."""
+    """Powers of a base modulo 2 ** 64, those of its inverse, at least n of each, and a random value for each byte."""
+    if which not in POWERS or len(POWERS[which][0]) < n:
+        POWERS.pop(which, None)  # not both at once
+        POWERS[which] = _power_tables(n, which)
+    return POWERS[which]
+
+
+def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     base = BASES[which]
     inverse = pow(base, -1, 1 << 64)
     up, down = np.full(n, base, U), np.full(n, inverse, U)

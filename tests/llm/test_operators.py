@@ -208,6 +208,21 @@ def repeat_rows(seed):
     return [*rows, (None, rows[7][1] or words(30))]
 
 
+def test_slices_of_all_sizes_share_their_tables(monkeypatch):
+    """A worker keeps the powers of its largest slice, not those of each size; contexts don't depend on what it has read before."""
+    rng = np.random.default_rng(22)
+    data = rng.integers(97, 123, 300_000, dtype=np.uint8)
+    of = lambda n: repeats.contexts(data[:n], np.array([0, n]))
+    monkeypatch.setattr(repeats, "POWERS", {}, raising=False)
+    before = [of(n) for n in (50_000, 100_000)]
+    of(300_000)
+    for n, was in zip((50_000, 100_000), before, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(was, of(n), strict=True))
+    for which in (0, 1):
+        large = repeats._powers(1 << 18, which)
+        assert all(np.shares_memory(x, y) for n in (16, 17) for x, y in zip(large, repeats._powers(1 << n, which), strict=True))
+
+
 @pytest.mark.parametrize("cap", [20_000, 3])
 def test_repeats_against_brute_force(spark, cap):
     rows = repeat_rows(cap)

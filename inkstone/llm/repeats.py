@@ -39,6 +39,8 @@ from inkstone.llm.common import arrow_map, checkpointed, fresh, table, utf8_view
 MIN, GRAM = 100, 32
 SPAN = MIN - GRAM + 1  # grams in a window
 CAP = 20_000
+#: Rows of a batch that are added to a block at a time, so that blocks are not much larger than SORT_BLOCK.
+ROWS = 512
 SLICE, SORT_BLOCK = 1 << 20, 1 << 20
 #: Bytes of a text in its piece of work; a longer text is cut into pieces that overlap by MIN - 1 bytes.
 PIECE = 1 << 20
@@ -52,7 +54,7 @@ MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
 
-#: For each base the tables of the largest slice so far; those of a smaller one are their first values.
+#: For each base the tables of a task's largest slice so far; those of a smaller one are their first values.
 POWERS: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -159,24 +161,31 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Repeats get the hash of their document for a key, to be dealt out evenly.
     """
-    for batch in batches:
-        data, off = utf8_view(batch.column(1))
-        ids = batch.column(0).to_numpy()
-        got = list(_in_slices(data, off))
-        if not got:
-            continue
-        text, key, ctx, check, first, to_anchor, extent = (np.concatenate(x) for x in zip(*got, strict=True))
-        doc = ids[text]
-        order = np.lexsort((first, doc, check, ctx, key))
-        text, key, ctx, check, first, to_anchor, extent, doc = (x[order] for x in (text, key, ctx, check, first, to_anchor, extent, doc))
-        same = np.r_[False, (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & (check[1:] == check[:-1])]
-        place = same & np.r_[False, (doc[1:] == doc[:-1]) & (first[1:] == first[:-1])]  # a row given twice
-        rep_doc, rep_from, rep_to = merged(doc[same & ~place], first[same & ~place], (first + extent)[same & ~place] + MIN)
-        packed = (first << 16) | (to_anchor << 8) | extent
-        fresh = ~same
-        columns = [key[fresh].view(np.int64), ctx[fresh].view(np.int64), check[fresh].view(np.int64), doc[fresh], packed[fresh]]
-        more = [_mixed(rep_doc.astype(U) * MIX2 + MIX1).view(np.int64), rep_to, np.zeros_like(rep_to), rep_doc, (rep_from << 16) | (REPEAT << 8)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(columns, more, strict=True)], ANCHORS.replace(" long", "").split(", "))
+    try:
+        for batch in batches:
+            yield from _anchors_of(batch)
+    finally:
+        POWERS.clear()  # the worker lives on, in other stages
+
+
+def _anchors_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    data, off = utf8_view(batch.column(1))
+    ids = batch.column(0).to_numpy()
+    got = list(_in_slices(data, off))
+    if not got:
+        return
+    text, key, ctx, check, first, to_anchor, extent = (np.concatenate(x) for x in zip(*got, strict=True))
+    doc = ids[text]
+    order = np.lexsort((first, doc, check, ctx, key))
+    text, key, ctx, check, first, to_anchor, extent, doc = (x[order] for x in (text, key, ctx, check, first, to_anchor, extent, doc))
+    same = np.r_[False, (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1]) & (check[1:] == check[:-1])]
+    place = same & np.r_[False, (doc[1:] == doc[:-1]) & (first[1:] == first[:-1])]  # a row given twice
+    rep_doc, rep_from, rep_to = merged(doc[same & ~place], first[same & ~place], (first + extent)[same & ~place] + MIN)
+    packed = (first << 16) | (to_anchor << 8) | extent
+    fresh = ~same
+    columns = [key[fresh].view(np.int64), ctx[fresh].view(np.int64), check[fresh].view(np.int64), doc[fresh], packed[fresh]]
+    more = [_mixed(rep_doc.astype(U) * MIX2 + MIX1).view(np.int64), rep_to, np.zeros_like(rep_to), rep_doc, (rep_from << 16) | (REPEAT << 8)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(columns, more, strict=True)], ANCHORS.replace(" long", "").split(", "))
 
 
 def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -360,9 +369,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _spans(doc[which][hit], place[hit], place[hit] + MIN)
 
     held, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         held.append(batch)
         size += batch.column(4).nbytes
         keys = batch.column(0).to_numpy()

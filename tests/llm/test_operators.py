@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -208,6 +209,22 @@ def repeat_rows(seed):
     return [*rows, (None, rows[7][1] or words(30))]
 
 
+def test_a_worker_of_repeats_holds_little(monkeypatch):
+    """Tables go with their task; blocks to be compared are not much larger than SORT_BLOCK, in whole grams, however large the batches."""
+    rng = random.Random(23)
+    text = "".join(rng.choices("abcdefgh ", k=4000))
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text[:2000]])], ["doc", "text"])
+    assert sum(x.num_rows for x in repeats._anchors(iter([docs]))) and not getattr(repeats, "POWERS", {})
+    of = ["".join(rng.choices("abcdefgh ", k=139)) for _ in range(2000)]
+    rows = [(k // 3, k, of[k // 3][:-1].encode() + b"xyz"[k % 3 : k % 3 + 1]) for k in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([0] * 6000), pa.array([40] * 6000, pa.int32()), pa.array([r[2] for r in rows])], ["key", "doc", "a", "n", "bytes"])
+    spans = lambda: sorted(x for out in repeats._compare(iter([batch])) for x in zip(*out.to_pydict().values(), strict=True))
+    want, seen, plain = spans(), [], repeats.earlier_match
+    monkeypatch.setattr(repeats, "SORT_BLOCK", 100_000)
+    monkeypatch.setattr(repeats, "earlier_match", lambda data, starts: seen.append(len(data)) or plain(data, starts))
+    assert spans() == want and len(want) and sum(seen) == 6000 * 139 and max(seen) < 200_000
+
+
 def test_slices_of_all_sizes_share_their_tables(monkeypatch):
     """A worker keeps the powers of its largest slice, not those of each size; contexts don't depend on what it has read before."""
     rng = np.random.default_rng(22)

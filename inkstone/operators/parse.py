@@ -7,12 +7,12 @@ corpus needs one shuffle on doc_id, which the later steps reuse.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import (
-    ANCHOR, ENVIRONMENTS, HEADING, LINE_BREAK, MARKDOWN_STEPS, TEX_STEPS, cleaned_for_scoring, greedy_groups, is_prose, replaced,
-    sentence_array, stripped, tokens, word_count,
+    ANCHOR, ENVIRONMENTS, HEADING, LINE_BREAK, TEX_STEPS, cleaned_for_scoring, greedy_groups, is_prose, replaced,
+    sentence_array, stripped, tokens, unmarked, word_count,
 )
 
 SEGMENT_WORDS, SEGMENT_TAIL = 1000, 500
@@ -45,7 +45,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_depth", depth)
     math = (F.col("_depth") > 0) | (F.col("_depth") + F.col("_e") > 0)
     rows = rows.withColumn("_math", tex & math)
-    clean = F.when(tex, replaced(F.col("text"), TEX_STEPS)).otherwise(replaced(F.col("text"), MARKDOWN_STEPS))
+    clean = F.when(tex, replaced(F.col("text"), TEX_STEPS)).otherwise(unmarked(F.col("text")))
     rows = rows.withColumn("_clean", F.when(F.col("_math"), F.lit(ANCHOR)).otherwise(clean))
     rows = rows.where(tex | ~F.col("_clean").rlike(HEADING))
     rows = rows.withColumn("_piece", stripped(F.col("_clean")))
@@ -62,8 +62,15 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def line_paragraphs(docs: DataFrame) -> DataFrame:
     """Each line that isn't blank as a paragraph, for texts without blank lines; nothing is shuffled."""
-    rows = lines(docs).withColumn("text", stripped(replaced(F.col("text"), MARKDOWN_STEPS))).where("text <> ''")
-    return rows.select("doc_id", (F.col("line") - 1).alias("para_id"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), "text")
+    return docs.select("doc_id", F.explode(_line_paragraphs(F.col("text"))).alias("_p")).select(
+        "doc_id", (F.col("_p.line") - 1).alias("para_id"), F.col("_p.line").alias("start_line"), F.col("_p.line").alias("end_line"), "_p.text"
+    )
+
+
+def _line_paragraphs(text: Column) -> Column:
+    """(line, text) of each line that isn't blank. A lambda's variable keeps each step from being written out in the next."""
+    lines_ = F.transform(F.split(text, LINE_BREAK), lambda x, i: F.struct((i + 1).alias("line"), unmarked(x).alias("text")))
+    return F.filter(F.transform(lines_, lambda p: F.struct(p["line"].alias("line"), stripped(p["text"]).alias("text"))), lambda p: p["text"] != "")
 
 
 def sentences(paras: DataFrame, least: int = 3) -> DataFrame:
@@ -96,7 +103,7 @@ def scored_sentences(paras: DataFrame, least: int = 4) -> DataFrame:
 
     start_byte and end_byte are the sentence's place in the document's scored text, a line for each sentence.
     """
-    clean = sentences(paras, 3).withColumn("text", cleaned_for_scoring(F.col("text"))).withColumn("n_words", word_count(F.col("text"))).where(F.col("n_words") >= least)
+    clean = sentences(paras, 3).withColumn("text", F.explode(F.array(cleaned_for_scoring(F.col("text"))))).withColumn("n_words", word_count(F.col("text"))).where(F.col("n_words") >= least)
     order = Window.partitionBy("doc_id").orderBy("para_id", "sent_id")
     ahead = order.rowsBetween(Window.unboundedPreceding, 0)
     size = F.octet_length("text") + 1
@@ -107,6 +114,31 @@ def scored_sentences(paras: DataFrame, least: int = 4) -> DataFrame:
     return out
 
 
+def document_sentences(docs: DataFrame, least: int = 4, enough: int = 5) -> DataFrame:
+    """(doc_id, sents, groups): the ``eligible`` ``scored_sentences`` of ``line_paragraphs``, a document a row; nothing is shuffled.
+
+    ``sents`` has (line, text, n_words, prose) of each sentence in order, ``groups`` the unit of each that is prose.
+    """
+    paras = _line_paragraphs(F.col("text"))
+    clean = lambda p: F.transform(sentence_array(p["text"], 3), lambda s: F.struct(p["line"].alias("line"), cleaned_for_scoring(s).alias("text")))
+    counted = F.transform(F.flatten(F.transform(paras, clean)), lambda s: F.struct(s["line"].alias("line"), s["text"].alias("text"), word_count(s["text"]).alias("n_words")))
+    kept = F.filter(counted, lambda s: s["n_words"] >= least)
+    rows = docs.select("doc_id", F.explode(F.array(kept)).alias("_k")).where(F.size("_k") >= enough)
+    marked = F.transform("_k", lambda s: F.struct(s["line"].alias("line"), s["text"].alias("text"), s["n_words"].alias("n_words"), is_prose(s["text"]).alias("prose")))
+    rows = rows.select("doc_id", F.explode(F.array(marked)).alias("sents"))
+    prose = F.transform(F.filter("sents", lambda s: s["prose"]), lambda s: s["n_words"])
+    return rows.select("doc_id", "sents", greedy_groups(prose, UNIT_WORDS, UNIT_WORDS).alias("groups"))
+
+
+def document_units(sents: DataFrame) -> DataFrame:
+    """(doc_id, unit_id, line, text) of ``document_sentences``: what ``units`` has of them."""
+    rows = sents.where(F.size("groups") > 0).select("doc_id", F.filter("sents", lambda s: s["prose"]).alias("_s"), "groups")
+    rows = rows.withColumn("_first", F.filter(F.transform("groups", lambda g, i: F.when((i == 0) | (g != F.get("groups", i - 1)), i)), lambda i: i.isNotNull()))
+    own = lambda at, i: F.slice("_s", at + 1, F.coalesce(F.get("_first", i + 1), F.size("_s")) - at)
+    made = F.transform("_first", lambda at, i: F.struct(F.get("_s", at)["line"].alias("line"), F.array_join(F.transform(own(at, i), lambda s: s["text"]), " ").alias("text")))
+    return rows.select("doc_id", F.posexplode(made).alias("unit_id", "_u")).select("doc_id", "unit_id", "_u.line", "_u.text")
+
+
 def eligible(scored: DataFrame, least: int = 5) -> DataFrame:
     """Sentences of documents that have enough of them to be scored at all."""
     return scored.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).where(F.col("_n") >= least).drop("_n")

@@ -23,6 +23,8 @@ HOT_QUANTILE, HOT_WINDOW, LEAST_HOT = 0.90, 50, 3
 CLASS_TOKENS, UNIT_TOKENS = 10, 5
 #: What a value must be beyond a quantile to be outside it, so that no tie hangs on the last bit of a sum.
 SLACK = 1e-9
+#: Parts of one that sums of units are made of, so that units of the same tokens are equal in whatever order they are added.
+EXACT = float(1 << 36)
 FAST_SEVERITY = 0.3
 #: Tokens of a vocabulary that is broadcast.
 MOST_TOKENS = 1_000_000
@@ -169,6 +171,11 @@ def b_value(lp: Column, xent: Column) -> Column:
     return -F.avg(lp) / F.greatest(F.avg(xent), F.lit(1e-6))
 
 
+def exact_avg(c: Column) -> Column:
+    """The mean of whole multiples of 1 / EXACT; it doesn't hang on the order of the rows."""
+    return F.sum(F.rint(c * EXACT).cast("decimal(38,0)")).cast("double") / F.lit(EXACT) / F.count(c)
+
+
 def burstiness(hot: DataFrame) -> DataFrame:
     """(doc_id, n_hot, burstiness): (sd - mean) / (sd + mean) of the gaps between hot tokens; few hot ones give 0."""
     order = Window.partitionBy("doc_id").orderBy("pos")
@@ -208,7 +215,7 @@ def unit_scores(hot: DataFrame, units: DataFrame, least: int = UNIT_TOKENS) -> D
     by = [*[c for c in ("pair",) if c in hot.columns], "doc_id", "unit_id"]
     member = units.select("doc_id", "unit_id", F.explode("sents").alias("sent"))
     rows = hot.where("valid").join(member, ["doc_id", "sent"]).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), b_value(F.col("lp_perf"), F.col("xent")).alias("b"), F.avg("delta").alias("delta_mean"), F.avg(F.col("hot").cast("double")).alias("hot_share")
+        F.count(F.lit(1)).alias("n"), (-exact_avg(F.col("lp_perf")) / F.greatest(exact_avg(F.col("xent")), F.lit(1e-6))).alias("b"), exact_avg(F.col("delta")).alias("delta_mean"), F.avg(F.col("hot").cast("double")).alias("hot_share")
     )
     out = rows.where(F.col("n") >= least).join(units.select("doc_id", "unit_id", "line", "text"), ["doc_id", "unit_id"])
     return out.select(*by, "line", "text", "n", "b", "delta_mean", "hot_share")
